@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 6, block_byt
     spark = docs.sparkSession
     least = shuffle_partitions(spark)
     _, volume = text_volume(docs)
-    chunks = pieces_for(volume, block_bytes, 4 * least)
+    chunks = pieces_for(volume, block_bytes, 2 * least)
     buckets = pieces_for(volume // 44, 1 << 20, least)
     other = [c for c in docs.columns if c not in ("doc_id", "text")] if texts else []
     extra = [F.struct(*[F.col(f"`{c}`") for c in other]).alias("_extra")] if other else []
