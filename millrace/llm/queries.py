@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
-from . import q01_substring_dedup, q02_pii, q04_minhash, q05_toxicity, q10_sharding
+from . import (
+    q01_substring_dedup,
+    q02_pii,
+    q03_sentencepiece,
+    q04_minhash,
+    q05_toxicity,
+    q06_packing,
+    q07_knn_exact,
+    q08_knn_forest,
+    q09_warc,
+    q10_sharding,
+)
 
-_MODULES = (q01_substring_dedup, q02_pii, q04_minhash, q05_toxicity, q10_sharding)
+_MODULES = (
+    q01_substring_dedup,
+    q02_pii,
+    q03_sentencepiece,
+    q04_minhash,
+    q05_toxicity,
+    q06_packing,
+    q07_knn_exact,
+    q08_knn_forest,
+    q09_warc,
+    q10_sharding,
+)
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL}

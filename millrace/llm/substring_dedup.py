@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 6, block_byt
     is repeated is judged on the input. Returns doc_id, n_words, n_removed,
     kept_sha256 (hex digest of the kept words joined by a space), n_factors and
     spans (array of [first word, last word + 1) as flat longs); with ``texts`` also
-    the input's other columns and ``kept_text``.
+    the input's other columns and ``kept_text`` (the text itself where nothing goes).
 
     Defined cases: null and empty texts have no words; a null id is smaller than all
     others; rows that share an id come one after another in order of their texts, so
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 6, block_byt
             factors.append(n)
             digests.append(hashlib.sha256(text).hexdigest())
             if texts:
-                kept.append(text.decode())
+                kept.append(text.decode() if flat else raw.decode())
         rows = pa.array(block.rows)
         result = {
             "doc_id": left["_did"].combine_chunks().take(rows),
