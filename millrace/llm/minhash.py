@@ -8,14 +8,16 @@
 3. Pairs are estimated from the packed signatures by bit counts, corrected for
    chance collisions, and those that may reach the threshold are confirmed on the
    full sets.
-4. Buckets whose members are then in different components give their remaining
-   pairs across components, in blocks; these are estimated, confirmed and linked as
-   well. Pairs within a component are never needed, so large groups of
-   near copies stay linear.
+4. Buckets whose members are then in different components are still open. Members
+   that meet in open buckets form a field. A field's sets are compared in blocks,
+   each pair of blocks in a task of its own, and only links that join components come
+   out. Pairs within a component are never needed, so large groups of near copies
+   stay linear in rows.
 
 The estimate only rules a pair out when it is six standard errors below the
-threshold. With 24 bands of 5 rows, a pair at similarity 0.85 shares no band with
-probability 8e-7.
+threshold. Bands have as many rows as the threshold allows (``rows_for``): a pair at
+0.85 shares none of 24 bands of 5 rows with probability 8e-7, a pair at 0.8 none of 30
+bands of 4 rows with 1e-7.
 """
 
 from __future__ import annotations
@@ -27,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces_for, shuffle_partitions, stored
 from .components import components
 from .words import U64, Words, grams, mix, slices, words
 
-BANDS, ROWS, BITS = 24, 5, 4
-MINIMA = BANDS * ROWS
+MINIMA, BITS = 120, 4
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -111,8 +112,14 @@ def possible(threshold: float) -> float:
     return threshold - 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (shingles), digest, sig, bands (binary of BANDS keys); the last three null without shingles."""
+def rows_for(percent: int) -> int:
+    """Rows a band; few enough that a pair at the threshold is missed less than once in a million."""
+    return next((rows for rows in (6, 5, 4, 3, 2) if (1 - (percent / 100) ** rows) ** (MINIMA // rows) < 1e-6), 1)
+
+
+def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
+    """doc_id, n (shingles), digest, sig, bands (keys made of ``rows`` minima each); the last three null without shingles."""
+    n_bands = MINIMA // rows
 
     def scan(batches):
         for batch in batches:
@@ -122,10 +129,10 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 full = np.flatnonzero(size)
                 m = minima(h, bounds)
                 sig = pack(m)
-                keys = np.empty((len(full), BANDS), U64)
-                for b in range(BANDS):
+                keys = np.empty((len(full), n_bands), U64)
+                for b in range(n_bands):
                     k = np.full(len(full), b + 1, U64)
-                    for c in m[:, b * ROWS : (b + 1) * ROWS].T:
+                    for c in m[:, b * rows : (b + 1) * rows].T:
                         k = mix(k * U64(0x9E3779B97F4A7C15) + c)
                     keys[:, b] = k
                 digest, sigs, bands = ([None] * (j - i) for _ in range(3))
@@ -187,6 +194,50 @@ def _likely(percent: int):
     return scan
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections."""
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, column = owner[times[column] > 1], column[times[column] > 1]
+    if not len(column):
+        return both
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for i in range(0, int(column[-1]) + 1, 4096):
+        part = slice(*np.searchsorted(column, (i, i + 4096)))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[part], column[part] - i] = 1
+        both += m @ m.T
+    return both
+
+
+def _field_links(percent: int):
+    """Confirmed links between different components of each field: as many as join them, no more."""
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("field", "ascending"), ("id", "ascending")])
+        field, ids, component = (table[c].to_numpy() for c in ("field", "id", "component"))
+        sets = [np.frombuffer(x, U64) for x in table["set"].to_pylist()]
+        at = np.flatnonzero(np.concatenate(([True], field[1:] != field[:-1])))
+        a, b = [], []
+        for i, j in zip(at, [*at[1:], len(ids)], strict=True):
+            part = sets[i:j]
+            n = np.array([len(x) for x in part])
+            both = _overlaps(part).astype(np.int64)
+            comp = component[i:j].copy()
+            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            for x, y in zip(*np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1)), strict=True):
+                if comp[x] != comp[y]:
+                    a.append(ids[i + x])
+                    b.append(ids[i + y])
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return scan
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block: int = 512) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
@@ -199,7 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
     share an id share its links, and are all kept if the id is; a table without rows
     gives none; extra columns are ignored.
     """
-    rows = stored(signatures(docs, shingle))
+    rows = stored(signatures(docs, shingle, rows_for(percent)))
     full = rows.where("n > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = stored(
@@ -220,31 +271,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
 
     links = stored(_confirm(likely(stars), sets, percent))
     found = components(links)
-    labelled = held.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    labelled = held.join(found, "id", "left").select("band", "pivot", "id", F.coalesce("component", "id").alias("component"))
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    rest = labelled.join(open_bands, "band").join(sigs, "id").select("band", "id", "component", "sig", "n")
-    least = possible(percent / 100)
-
-    def across(table: pa.Table) -> pa.Table:
-        ids_, comp, n = (table[c].to_numpy() for c in ("id", "component", "n"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids_), -1)
-        order = np.argsort(n, kind="stable")
-        ids_, comp, n, sig = ids_[order], comp[order], n[order], sig[order]
-        a, b = [], []
-        for i in range(0, len(ids_), 64):
-            top = int(np.searchsorted(n, n[min(i + 63, len(n) - 1)] * 100 // percent + 1, "right"))
-            for j in range(i, top, block):
-                x, y = slice(i, i + 64), slice(j, min(j + block, top))
-                good = (comp[x, None] != comp[None, y]) & (np.arange(len(ids_))[x, None] < np.arange(len(ids_))[None, y])
-                p, q = np.nonzero(good)
-                ok = estimated(sig[x][p], sig[y][q]) >= least
-                a.append(ids_[x][p[ok]])
-                b.append(ids_[y][q[ok]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    more = rest.groupBy("band").applyInArrow(across, "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
-    more = stored(_confirm(more, sets, percent))
+    rest = stored(labelled.join(open_bands, "band").groupBy("id", "component").agg(F.array_distinct(F.collect_list("pivot")).alias("pivots")))
+    least_pivot = F.array_min("pivots").alias("b")
+    near = rest.select(F.col("id").alias("a"), least_pivot).union(rest.select(F.explode("pivots").alias("a"), least_pivot).distinct())
+    # neighbours over open bands form a field; inside it, pairs are confirmed block by block
+    fields = components(near)
+    placed = rest.select("id", "component").join(fields.select("id", F.col("component").alias("field")), "id")
+    sizes = placed.groupBy("field").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    bundles = pieces_for(rest.count(), 2 * block, shuffle_partitions(docs.sparkSession))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    blocks = placed.join(sizes, "field").withColumn("mine", mine)
+    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    blocks = blocks.select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("field"), F.lit(bundles))).otherwise(F.col("field")).alias("bundle"),
+        F.when(F.col("blocks") == 1, -1).otherwise(F.least("mine", "other")).alias("x"),
+        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("mine", "other")).alias("y"),
+        "field", "id", "component",
+    )
+    more = stored(blocks.join(sets, "id").groupBy("bundle", "x", "y").applyInArrow(_field_links(percent), "a long, b long"))
     if more.limit(1).count():
         found = components(links.unionByName(more))
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
