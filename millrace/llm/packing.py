@@ -37,7 +37,7 @@ class WordTokenizer:
     case, special tokens) go through the whole tokenizer. ``most`` bounds the memory.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,7 +75,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each), ``end`` after each text."""
-        if len(self.number) > self.most:
+        if len(self.number) > self.most or len(self.pieces) > self.most:
             self.clear()
         w = words(texts)
         distinct, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
