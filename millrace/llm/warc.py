@@ -221,7 +221,7 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names)
 
-    files = manifest.select("file").repartition(F.col("file"))
+    files = manifest.select("file").repartition(max(1, manifest.count()), "file")
     return files.mapInArrow(scan, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * payload)
 
 
