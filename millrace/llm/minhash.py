@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
 
     Defined cases: null, empty and wordless texts have no shingles and are linked
     with nothing; a null id counts as the least id and comes back as null; rows that
-    share an id share its links, and are all kept if the id is; a table without rows
+    share an id share its links (of their texts one stands for the id in confirmation), and
+    are all kept if the id is; a table without rows
     gives none; extra columns are ignored.
     """
     rows = stored(signatures(docs, shingle, rows_for(percent)))
