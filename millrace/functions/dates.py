@@ -35,3 +35,19 @@ def age_hours_text(c: Column) -> Column:
 def age_hours(ts: Column, as_of: Column) -> Column:
     """FN-16: hours from ``ts`` to ``as_of``."""
     return (F.unix_micros(as_of) - F.unix_micros(ts)) / 3.6e9
+
+
+def short_age_days(c: Column) -> Column:
+    """FN-14, the dialect of one letter: days of "26d ago"; 0 for hours and minutes; else null."""
+    n, unit = F.regexp_extract(F.lower(c), r"([0-9]+)\s*([dhm])\+?\s*ago", 1).try_cast("int"), F.regexp_extract(F.lower(c), r"([0-9]+)\s*([dhm])\+?\s*ago", 2)
+    return F.when(unit == "d", n).when(unit.isin("h", "m"), 0)
+
+
+def parse_iso(c: Column) -> Column:
+    """FN-12: an ISO time, UTC unless it says otherwise; null where it is none."""
+    return F.try_to_timestamp(F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")))
+
+
+def from_millis(c: Column) -> Column:
+    """FN-13: a time from milliseconds since 1970."""
+    return F.timestamp_millis(c.cast("long"))

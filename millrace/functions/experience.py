@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONE = r"(?i)fresh graduates?|no experience (?:needed|required|necessary)|entry[- ]level"
-YEARS = [r"(?i)\b(\d{1,2})\s*\+?\s*(?:years?|yrs?)(?:\s+[\w-]+){0,4}\s+(?:experience|exp\b)", r"(?i)\bexperience\s*[:\-]?\s*(?:of|with|for|in)?\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)\b", r"(?i)\b(\d{1,2})\s*\+?\s*yoe\b"]
-RANGE = r"(?i)\b\d{1,2}\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)(?:\s+[\w-]+){0,4}\s+(?:experience|exp\b)"
-SENIOR = r"(?i)\b((?:senior|lead|principal|staff|head)(?:\s+\w+)?)"
+# Phrases that ask for years, waive them, or speak of seniority.
+_YEAR = r"(?:years?['’]?|yrs?|y\.?o\.?e\.?)(?![A-Za-z])"
+_FILL = r"(?:\s+[\w-]+){0,4}\s+"
+_WORK = "(?:experience|work|employment|development|engineering|programming|coding|exposure|testing|design|support|administration|operations|it|software|tech|industry|field|role)"
+NONE = r"(?i)\b(?:no\s+experience|fresh\s+graduates?|entry[- ]levels?|0\s*years?\s*experience)\b"
+YEARS = [
+    (rf"(?i)(\d{{1,2}})\b(?:\s*[-–to]+\s*(\d{{1,2}}))?\s*\+?\s*{_YEAR}{_FILL}experience\b", 2),
+    (rf"(?i)experience\s*[:\-]?\s*(?:of|with|for|in)?\s*(\d{{1,2}})\b\s*\+?\s*{_YEAR}", 1),
+    (rf"(?i)(\d{{1,2}})\s+(?:or\s+more|plus)\s*{_YEAR}{_FILL}experience\b", 1),
+    (rf"(?i)(\d{{1,2}})\s*\+?\s*{_YEAR}\s+(?:of\s+|in\s+)?(?:[\w-]+\s+){{0,2}}{_WORK}\b", 1),
+    (r"(?i)(\d{1,2})\s*\+?\s*y\.?o\.?e\.?(?![A-Za-z])|(\d{1,2})\s*\+\s*yrs?(?![A-Za-z])", 2),
+]
+SENIOR = [
+    r"\b(?:senior|sr\.?|lead|principal|staff|head|architect)\s+(?:developer|engineer|programmer|analyst|qa|tester|devops|designer|consultant|specialist|administrator|support)\b"
+    r"|\b(?:team|tech)\s*lead\b|\bengineering\s+manager\b",
+    r"\b(?:extensive\s+experience|proven\s+(?:experience|track\s+record)|seasoned\s+(?:professional|developer|engineer)|lead\s+a\s+team|manage\s+a\s+team"
+    r"|mentor\s+(?:junior|engineers?|a\s+team|your\s+team)|leadership\s+experience)\b",
+    r"\b([3-9]|1\d)\s*\+?\s*years?\s+(?:preferred|desired|favour(?:ed|able)|favor(?:ed|able)|a\s+plus)\b",
+    r"\b([3-9]|1\d)\s*\+\s*years?(?![A-Za-z])",
+]
 
 
 def max_experience(c: Column) -> Column:
     """FN-20: most years asked for; 0 where none are needed, null where nothing is said."""
     c = F.coalesce(c, F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), 1) for p in [*YEARS, RANGE]])
-    return F.when(c.rlike(NONE), F.lit(0)).otherwise(F.array_max(F.transform(F.filter(found, lambda x: x != ""), lambda x: x.cast("int"))))
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), g + 1) for p, groups in YEARS for g in range(groups)])
+    return F.when(c.rlike(NONE), F.lit(0)).otherwise(F.array_max(F.transform(found, lambda x: x.try_cast("int"))))
 
 
 def seniority(c: Column) -> Column:
-    """FN-21: first sign of seniority, in lower case; null where experience is not needed."""
-    c = F.coalesce(c, F.lit(""))
-    return F.when(~c.rlike(NONE), F.nullif(F.lower(F.substring(F.regexp_extract(c, SENIOR, 1), 1, 40)), F.lit("")))
+    """FN-21: the first sign of seniority in lower case, 40 characters at most; null where experience is waived."""
+    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " ")
+    first = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in SENIOR])
+    return F.when(~c.rlike(NONE), F.substring(F.trim(first), 1, 40))
 
 
 def experience_reason(description: Column, cap: int) -> Column:

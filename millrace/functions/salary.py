@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean
+
 # Symbols, codes, cadence words and month factors.
 SYMBOLS = {"₱": "PHP", "$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR"}
 CODES = "PHP|USD|EUR|GBP|JPY|INR|AUD|CAD|SGD"
@@ -15,6 +17,18 @@ CADENCE = {
     "monthly": r"per month|/m(o|onth)\b|\bmonthly\b|a month\b",
     "yearly": r"per year|per annum|/y(r|ear)\b|\bannual\w*\b|\byearly\b|a year\b|p\.a\.",
 }
+SIGNALS = [
+    "salar", "pay", "wage", "compensation", "remuneration", "per hour", "per day", "per week", "per month", "per year", "a month", "monthly", "yearly", "hourly",
+    "/hr", "/day", "/week", "/mo", "/yr", "/year",
+]
+PHP_FLOOR = {"hourly": 50.0, "daily": 300.0, "weekly": 1000.0, "monthly": 5000.0, "yearly": 60000.0, "unknown": 1000.0}
+AGE = r"(?i)\b\d+\s+(?:second|minute|hour|day|week|month|year)s?\s+ago\b"
+YEARS_ASKED = (
+    r"(?i)\b\d{1,2}\s*(?:[-–—to]+\s*\d{1,2}\s*)?\+?\s*(?:years?['’]?|yrs?|y\.?o\.?e\.?)(?![A-Za-z])(?:\s+[\w-]+){0,4}\s+(?:experience|exp\b|exposure)\b"
+    r"|\bexperience\s*[:\-]?\s*(?:of|with|for|in)?\s*\d{1,2}\b\s*\+?\s*(?:years?['’]?|yrs?|y\.?o\.?e\.?)(?![A-Za-z])"
+)
+AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?[kKmM]?)(?!\w)"
+MARK = r"(?:₱|PHP|\$|€|£|¥|₹)"
 MONTHLY = {"hourly": 160.0, "daily": 22.0, "weekly": 52.0 / 12.0, "monthly": 1.0, "yearly": 1.0 / 12.0}
 
 
@@ -48,3 +62,62 @@ def to_monthly(v: Column, interval: Column) -> Column:
     for name, factor in MONTHLY.items():
         out = out.when(interval == name, v / 12.0 if name == "yearly" else v * factor)
     return out
+
+
+def parse_salary(c: Column) -> Column:
+    """FN-25: struct (currency, min, max, interval) of a pay text; no amounts without a sign of pay.
+
+    Ages and demanded years are taken out first. Amounts after a currency mark win, two at
+    most; else the first range, else the first number. Implausibly small pesos are no pay.
+    """
+    t = F.regexp_replace(F.regexp_replace(clean(c), AGE, ""), YEARS_ASKED, "")
+    signal = t.rlike(f"[{''.join(SYMBOLS)}]") | t.rlike(rf"(?i)\b(?:{CODES})\b") | F.lower(t).rlike("|".join(SIGNALS))
+    marked = F.regexp_extract_all(t, F.lit(rf"(?i){MARK}\s*{AMOUNT}"), 1)
+    span = rf"(?i){AMOUNT}\s*(?:–|—|-|to)\s*{AMOUNT}"
+    pair = F.array(F.regexp_extract(t, span, 1), F.regexp_extract(t, span, 2))
+    found = F.when(F.size(marked) > 0, F.slice(marked, 1, 2)).when(t.rlike(span), pair).otherwise(F.array(F.regexp_extract(t, AMOUNT, 1)))
+    values = F.when(signal, F.filter(F.transform(found, parse_amount), lambda v: v.isNotNull()))
+    currency, interval, high = F.when(signal, pay_currency(t)).otherwise(""), F.when(signal, pay_interval(t)).otherwise("unknown"), F.array_max(values)
+    floor = F
+    for name, least in PHP_FLOOR.items():
+        floor = floor.when(interval == name, F.lit(least))
+    real = (high > 0) & ~((currency == "PHP") & (high < floor))
+    return F.struct(currency.alias("currency"), F.when(real, F.array_min(values)).alias("min"), F.when(real, high).alias("max"), interval.alias("interval"))
+
+
+def _short(v: Column) -> Column:
+    whole = lambda d: (v / d).cast("long").cast("string")
+    return F.when((v >= 1e6) & (v % 1e6 == 0), F.concat(whole(1e6), F.lit("M"))).when((v >= 1e3) & (v % 1e3 == 0), F.concat(whole(1e3), F.lit("k"))).otherwise(F.format_number(v, 0))
+
+
+def _range(low: Column, high: Column) -> Column:
+    return F.when(low == high, _short(low)).otherwise(F.concat(_short(low), F.lit("–"), F.coalesce(_short(high), F.lit(""))))
+
+
+def format_salary(currency: Column, low: Column, high: Column, interval: Column, month_low: Column, month_high: Column) -> Column:
+    """FN-27: "PHP 30k–40k/mo"; yearly pay also shows its monthly estimate; empty without amounts."""
+    sign = F.when(F.coalesce(currency, F.lit("")) == "", "").otherwise(F.concat(currency, F.lit(" ")))
+    base = F.concat(sign, _range(low, high))
+    yearly = F.concat(base, F.lit("/yr (~"), sign, _range(month_low, month_high), F.lit("/mo)"))
+    out = F.when(low.isNull(), "").when((interval == "yearly") & month_low.isNotNull(), yearly)
+    for name, end in {"monthly": "/mo", "hourly": "/hr", "daily": "/day", "weekly": "/wk"}.items():
+        out = out.when(interval == name, F.concat(base, F.lit(end)))
+    return out.otherwise(base)
+
+
+def pay_snippet(c: Column, most: int = 300) -> Column:
+    """FN-28: the words around the first marked amount, else the sentences that name money; empty unless it reads as pay."""
+    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", " ")
+    mark = rf"(?i){MARK}\s*[0-9][0-9,]*(?:\.[0-9]+)?"
+    at, n = F.regexp_instr(flat, F.lit(mark)), F.length(F.regexp_extract(flat, mark, 0))
+    begin, end = F.greatest(F.lit(0), at - 151), F.least(F.length(flat), at + n + 149)
+    cut = lambda start, size: F.substr(flat, start, size)
+    head = F.when((begin > 0) & (cut(begin + 1, F.lit(1)) != " "), F.substring_index(cut(F.lit(1), begin), " ", -1)).otherwise("")
+    tail = F.substring_index(cut(end + 1, F.length(flat)), " ", 1)
+    window = F.concat(head, cut(begin + 1, end - begin), tail)
+    money = rf"[{''.join(SYMBOLS)}]|PHP|\b(?:USD|EUR|GBP|JPY|INR|AUD|CAD|SGD)\b"
+    sentences = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?\n;•·])\s+"), lambda x: x.rlike(money) & x.rlike("[0-9]"))
+    out = F.when(at > 0, window).otherwise(F.array_join(sentences, " "))
+    out = F.trim(F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, most))
+    pay = parse_salary(out)
+    return F.when((pay["currency"] != "") & pay["min"].isNotNull(), out).otherwise("")

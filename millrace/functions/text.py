@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 COMPANY_SUFFIXES = ["inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "plc", "gmbh", "pty", "pvt", "philippines", "ph"]
 COMPANY_PHRASES = ["in the philippines"]
 COMPANY_PREFIXES = ["careers at ", "jobs at ", "hiring at ", "hiring by ", "jobs by "]
+STOP_WORDS = ["and", "the", "for", "with", "hiring", "wanted", "urgent", "role", "job", "jobs", "position", "jr", "sr", "i", "ii", "iii", "iv", "a", "an", "of", "in", "on", "to", "new"]
+PLACE_WORDS = ["city", "metro", "manila", "philippines", "ncr", "hybrid", "onsite", "remote"]
+WALL_MARKS = ["just a moment", "cf-turnstile", "cf-challenge", "attention required", "access denied", "verify you are human", "are you a robot", "sign in to view", "log in to view", "join now to view"]
+# Headings that open the demands of a posting, and those that end them.
+_LEAD = r"(?im)^[ \t*•\-#]{0,4}"
+DEMANDS = _LEAD + (
+    r"(?:qualifications?|requirements?|what\s+(?:you(?:'ll|\s+will)?\s+(?:need|bring|have)|we(?:'re|\s+are)?\s+looking\s+for)|key\s+(?:qualifications?|requirements?|skills?)"
+    r"|minimum\s+(?:qualifications?|requirements?)|preferred\s+(?:qualifications?|requirements?|skills?)|(?:must|nice)\s*-?\s*have|job\s+requirements?"
+    r"|who\s+you\s+are|about\s+you|ideal\s+candidate|what\s+you\s+bring)\s*:?\s*$"
+)
+AFTER_DEMANDS = _LEAD + (
+    r"(?:responsibilities|duties|what\s+you(?:'ll|\s+will)?\s+do|benefits?(?:\s+and\s+perks?)?|compensation|salary|about\s+(?:us|the\s+(?:company|role|team))|how\s+to\s+apply)\s*:?\s*$"
+)
 PLACEHOLDER_TITLES = ["", "untitled (manual)"]
 
 
@@ -38,15 +51,34 @@ def fingerprint(title: Column, company: Column) -> Column:
     return F.when((t == "") | (c == ""), F.lit("")).otherwise(F.concat_ws("|", c, t))
 
 
+def words(c: Column) -> Column:
+    """All runs of letters, digits and + # . of the lower-case text, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9+#.]+"), 0)
+
+
+def _telling(c: Column) -> Column:
+    return F.filter(words(c), lambda w: ~w.isin(STOP_WORDS))
+
+
 def tokens(c: Column) -> Column:
-    """FN-18: distinct tokens of letters, digits and + # . in order."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9+#.]+"), 0))
+    """FN-18: distinct words that are no stop-words, in order."""
+    return F.array_distinct(_telling(c))
 
 
 def phrases(c: Column) -> Column:
-    """FN-18: pairs of neighbouring tokens."""
-    t = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9+#.]+"), 0)
-    return F.array_distinct(F.transform(F.slice(t, 2, 100000), lambda x, i: F.concat_ws(" ", F.get(t, i), x)))
+    """FN-18: distinct pairs of neighbouring words, stop-words left out first."""
+    t = _telling(c)
+    return F.array_distinct(F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def norm_title(c: Column) -> Column:
+    """FN-18: the title without stop-words."""
+    return F.array_join(_telling(c), " ")
+
+
+def loc_tokens(c: Column) -> Column:
+    """FN-18: distinct words of a place, without numbers and generic words."""
+    return F.filter(tokens(c), lambda w: ~w.isin(PLACE_WORDS) & ~w.rlike("^[0-9]+$"))
 
 
 def is_placeholder(c: Column) -> Column:
@@ -66,3 +98,56 @@ def strip_html(c: Column) -> Column:
     for name, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(name), F.lit(text))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def quals_section(c: Column) -> Column:
+    """FN-19: what stands between the first heading of demands and the next other heading; else empty."""
+    tail = F.regexp_extract(F.coalesce(c, F.lit("")), DEMANDS + r"([\s\S]*)", 1)
+    return F.substring(F.regexp_replace(F.regexp_replace(tail, AFTER_DEMANDS + r"[\s\S]*", ""), r"^[ \n\t:\-–—]+|[ \n\t:\-–—]+\z", ""), 1, 6000)
+
+
+def split_page_title(c: Column) -> Column:
+    """FN-29: struct (title, company, location) of the three known shapes of page titles, else empty fields."""
+    t = clean(c)
+    shapes = [
+        (r"(?i)^(.+?)\s+job in\s+(.+?)\s*-\s*jobstreet\s*$", 1, None, 2),
+        (r"(?i)^(.+?)\s+hiring\s+(.+?)\s+in\s+(.+?)\s*$", 2, 1, 3),
+        (r"(?i)^(.+?)\s+in\s+(.+?)\s*-\s*(.+?)\s*$", 1, 3, 2),
+    ]
+
+    def field(which: int) -> Column:
+        out = F
+        for shape in shapes:
+            out = out.when(t.rlike(shape[0]), F.trim(F.regexp_extract(t, shape[0], shape[which])) if shape[which] else F.lit(""))
+        return out.otherwise("")
+
+    return F.struct(field(1).alias("title"), field(2).alias("company"), field(3).alias("location"))
+
+
+def bare_company(c: Column) -> Column:
+    """FN-29: without the site's decoration after a dash or bar."""
+    return F.regexp_replace(clean(c), r"\s+[—–\-|](?:\s+.*)?$", "")
+
+
+def is_wall(text: Column, title: Column) -> Column:
+    """FN-30: a challenge or login page, by its first 20,000 characters."""
+    both = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.lower(F.substring(both, 1, 20000)).rlike("|".join(WALL_MARKS))
+
+
+def desc_snippet(c: Column, most: int) -> Column:
+    """FN-32: one line of a description, long demands first, cut between words; a dash for nothing."""
+    line = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    s, q, n = line(c), line(quals_section(c)), max(100, most)
+    ahead = (F.length(q) > 200) & ~F.contains(F.left(s, F.length(q) + 10), q)
+    s = F.when(ahead, F.concat(F.lit("Requirements: "), q, F.lit(" | Posting: "), s)).otherwise(s)
+    cut = F.left(s, F.lit(n))
+    cut = F.when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut)
+    return F.when(s == "", "—").when(F.length(s) > n, F.concat(cut, F.lit("…"))).otherwise(s)
+
+
+def parse_verdicts(c: Column, n: int) -> Column:
+    """FN-34: array of (i, decision) from the JSON list within a reply; KEEP and SKIP for rows 0 to n - 1 only."""
+    items = F.from_json(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\[.*\]", 0), "array<struct<i:string,decision:string>>")
+    read = F.transform(F.coalesce(items, F.array()), lambda x: F.struct(x["i"].try_cast("int").alias("i"), F.upper(x["decision"]).alias("decision")))
+    return F.filter(read, lambda x: x["i"].between(0, n - 1) & x["decision"].isin("KEEP", "SKIP"))

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import clean
 
+# Known sites, label names, parameters that only track, parameters that identify.
+SITES = ["indeed", "linkedin", "jobstreet", "glassdoor", "trabajo", "greenhouse", "lever", "ashby", "remoteok", "kalibrr", "jora", "grabjobs"]
+JOB_LABELS = ["indeed", "linkedin", "jobstreet", "glassdoor", "google", "greenhouse", "lever"]
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_cid", "mc_eid", "igshid", "sk"]
+IDENTITY = {"indeed": ["jk", "vjk"]}
+
 
 def url_key(c: Column) -> Column:
     """FN-5: trimmed, lower case, no slashes at the end."""
@@ -17,9 +23,58 @@ def host(c: Column) -> Column:
     return F.lower(F.regexp_extract(clean(c), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)", 1))
 
 
-def site_of(c: Column) -> Column:
-    """FN-7: the host without a leading www."""
-    return F.regexp_replace(host(c), r"^www\.", "")
+def _first_name(c: Column, names: list[str], default: Column) -> Column:
+    out = F
+    for name in names:
+        out = out.when(F.contains(c, F.lit(name)), F.lit(name))
+    return out.otherwise(default)
+
+
+def site_of(c: Column, names: list[str] = SITES) -> Column:
+    """FN-7: the first known name within the host, else the host without a leading www."""
+    bare = F.regexp_replace(host(c), r"^www\.", "")
+    return _first_name(bare, names, bare)
+
+
+def source_label(site: Column, url: Column, names: list[str] = JOB_LABELS) -> Column:
+    """FN-8: a known name in the site's text, else that text; with no text, a known name in the URL or empty."""
+    text = F.lower(clean(site))
+    return F.when(text != "", _first_name(text, names, text)).otherwise(_first_name(F.lower(clean(url)), names, F.lit("")))
+
+
+def canonical_url(c: Column) -> Column:
+    """FN-6: one form of a link: https by default, lower-case scheme and host, no default port,
+    fragment, tracking parameters or slash at the end; path and query keep their case and escapes.
+
+    Sites with parameters that identify a posting keep those alone; a redirect of trabajo
+    gives the path it wraps. Empty and null become empty.
+    """
+    raw = clean(c)
+    u = F.when(F.contains(raw, F.lit("://")), raw).otherwise(F.concat(F.lit("https://"), raw))
+    part = lambda pattern, group=1: F.regexp_extract(u, pattern, group)
+    where = host(u)
+    port = F.regexp_extract(part(r"^[^:/?#]+://([^/?#]*)"), ":([0-9]+)$", 1)
+    path, params = part(r"^[^:/?#]+://[^/?#]*([^?#]*)"), F.filter(F.split(part(r"^[^?#]*\?([^#]*)"), "&"), lambda p: p != "")
+    key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    kept = F.filter(params, lambda p: ~key(p).isin(TRACKING))
+    for site, names in IDENTITY.items():
+        kept = F.when(site_of(u) == site, F.filter(params, lambda p, names=names: key(p).isin(names))).otherwise(kept)
+    query = F.array_join(kept, "&")
+    target = F.coalesce(F.try_url_decode(F.regexp_extract(u, r"[?&](?:url|u|redirect)=([^&#]+)", 1)), F.lit(""))
+    inner = F.when(target.startswith("/"), F.regexp_extract(target, "^[^?#]*", 0)).when(F.contains(target, F.lit("trabajo")), F.regexp_extract(target, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)).otherwise("")
+    wrapped = F.contains(where, F.lit("trabajo")) & (inner != "")
+    path, query = F.when(wrapped, inner).otherwise(path), F.when(wrapped, "").otherwise(query)
+    out = F.concat(
+        F.lower(part("^([^:/?#]+)://")), F.lit("://"), where, F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)),
+        F.regexp_replace(path, "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+    )
+    return F.when(raw == "", "").when(where == "", F.regexp_replace(F.lower(u), "/+$", "")).otherwise(F.regexp_replace(out, "/+$", ""))
+
+
+def clean_id_url(c: Column, name: str) -> Column:
+    """FN-10: the link with the one parameter that identifies it; empty where it is missing."""
+    value = F.regexp_extract(clean(c), rf"[?&]{name}=([^&#]+)", 1)
+    return F.when(value == "", "").otherwise(F.concat(strip_query(c), F.lit(f"?{name}="), value))
 
 
 def strip_query(c: Column) -> Column:

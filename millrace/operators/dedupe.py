@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint, norm_company, norm_text, tokens
+from ..functions.text import fingerprint, norm_company, norm_text, words
 
 ARCHIVED = ["DUPLICATE", "EXPIRED"]
 
@@ -69,9 +69,9 @@ def fuzzy_pairs(jobs: DataFrame, overlap: float = 0.6) -> DataFrame:
 
     Pairs must share a token, so the join is on (company, token).
     """
-    live = jobs.where(~F.col("status").isin(ARCHIVED)).select("id", norm_company(F.col("company")).alias("c"), tokens(norm_text(F.col("title"))).alias("t"))
-    words = live.where("c != ''").select("id", "c", F.size("t").alias("n"), F.explode("t").alias("w"))
-    a, b = words.toDF("a", "c", "na", "w"), words.toDF("b", "c", "nb", "w")
+    live = jobs.where(~F.col("status").isin(ARCHIVED)).select("id", norm_company(F.col("company")).alias("c"), F.array_distinct(words(norm_text(F.col("title")))).alias("t"))
+    each = live.where("c != ''").select("id", "c", F.size("t").alias("n"), F.explode("t").alias("w"))
+    a, b = each.toDF("a", "c", "na", "w"), each.toDF("b", "c", "nb", "w")
     both = a.join(b, ["c", "w"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     subset = F.col("k") == F.least("na", "nb")
     return both.where(subset | (F.col("k") >= F.lit(overlap) * F.greatest("na", "nb"))).select("a", "b", subset.alias("subset"))

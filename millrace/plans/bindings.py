@@ -98,7 +98,7 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("concat('Acme ', CAST(doc_id % 37 AS STRING), CASE doc_id % 3 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Corp. PH' ELSE '' END)").alias("company"),
         F.expr("CASE doc_id % 6 WHEN 0 THEN 'Makati, P00, PH' WHEN 1 THEN '' WHEN 2 THEN 'Cebu, Philippines' WHEN 3 THEN 'Philippines' WHEN 4 THEN 'Remote Worldwide' ELSE 'Quezon City' END").alias("location"),
         F.expr("concat('HTTPS://Jobs.Example.com/View/', CAST(doc_id % 700 AS STRING), CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END)").alias("job_url"),
-        F.expr("concat(substring(coalesce(text, ''), 1, 200), ' ', CASE doc_id % 7 WHEN 0 THEN 'Fresh graduates welcome' WHEN 1 THEN concat(CAST(doc_id % 12 AS STRING), '+ years of experience') WHEN 2 THEN 'experience: 3 years' ELSE '' END)").alias("description"),
+        F.expr("concat(coalesce(text, ''), ' ', CASE doc_id % 7 WHEN 0 THEN 'Fresh graduates welcome' WHEN 1 THEN concat(CAST(doc_id % 12 AS STRING), '+ years of experience') WHEN 2 THEN 'experience: 3 years' ELSE '' END)").alias("description"),
         F.col("source").alias("site"),
         F.expr("CAST(doc_id % 4 AS INT)").alias("source_rank"),
         F.expr("doc_id % 5 = 1").alias("loose_location"),
@@ -112,7 +112,7 @@ raw AS (SELECT doc_id AS seq,
   'Acme ' || CAST(doc_id % 37 AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Corp. PH' ELSE '' END AS company,
   CASE doc_id % 6 WHEN 0 THEN 'Makati, P00, PH' WHEN 1 THEN '' WHEN 2 THEN 'Cebu, Philippines' WHEN 3 THEN 'Philippines' WHEN 4 THEN 'Remote Worldwide' ELSE 'Quezon City' END AS location,
   'HTTPS://Jobs.Example.com/View/' || CAST(doc_id % 700 AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END AS job_url,
-  substring(coalesce(text, ''), 1, 200) || ' ' || CASE doc_id % 7 WHEN 0 THEN 'Fresh graduates welcome' WHEN 1 THEN CAST(doc_id % 12 AS VARCHAR) || '+ years of experience' WHEN 2 THEN 'experience: 3 years' ELSE '' END AS description,
+  coalesce(text, '') || ' ' || CASE doc_id % 7 WHEN 0 THEN 'Fresh graduates welcome' WHEN 1 THEN CAST(doc_id % 12 AS VARCHAR) || '+ years of experience' WHEN 2 THEN 'experience: 3 years' ELSE '' END AS description,
   source AS site, CAST(doc_id % 4 AS INT) AS source_rank, doc_id % 5 = 1 AS loose_location,
   CASE doc_id % 8 WHEN 0 THEN 'PHP 30,000 - 40,000 per month' WHEN 1 THEN '$42k/yr' WHEN 2 THEN '₱500 per day' WHEN 3 THEN '1.5m USD annually' WHEN 4 THEN '3 days ago' ELSE '' END AS salary_raw
   FROM documents)"""

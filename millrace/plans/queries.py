@@ -24,7 +24,9 @@ COMPANY = lambda c: (
 )
 FP = lambda t, c: f"CASE WHEN {NORM(t)} = '' OR {COMPANY(c)} = '' THEN '' ELSE {COMPANY(c)} || '|' || {NORM(t)} END"
 URL = lambda c: f"regexp_replace(lower(trim(coalesce({c}, ''))), '/+$', '')"
-TOKENS = lambda c: f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9+#.]+'))"
+WORDS = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9+#.]+')"
+STOPS = "('" + "', '".join(text.STOP_WORDS) + "')"
+TOKENS = lambda c: f"list_distinct(list_filter({WORDS(c)}, lambda w: w NOT IN {STOPS}))"
 
 
 @query("agg5_outcome_series", f"""
@@ -276,7 +278,7 @@ def default_keeper(spark, d):
 
 
 @query("jon11_fuzzy_pairs", f"""
-WITH {JOBS_SQL}, j AS (SELECT id, {COMPANY('company')} AS c, {TOKENS(NORM('title'))} AS t FROM jobs WHERE status NOT IN ('DUPLICATE', 'EXPIRED')),
+WITH {JOBS_SQL}, j AS (SELECT id, {COMPANY('company')} AS c, list_distinct({WORDS(NORM('title'))}) AS t FROM jobs WHERE status NOT IN ('DUPLICATE', 'EXPIRED')),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS na, len(b.t) AS nb FROM j a JOIN j b ON a.c = b.c AND a.id < b.id WHERE a.c <> '')
 SELECT a, b, k = least(na, nb) AS subset FROM p WHERE k > 0 AND (k = least(na, nb) OR k >= 0.6::DOUBLE * greatest(na, nb))""")
 def fuzzy_pairs(spark, d):
@@ -293,7 +295,7 @@ def keywords(spark, d):
 
 
 @query("min5_phrases", f"""
-WITH {JOBS_SQL}, {_LAB}, t AS (SELECT id, label, regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9+#.]+') AS w FROM lab),
+WITH {JOBS_SQL}, {_LAB}, t AS (SELECT id, label, list_filter({WORDS('title')}, lambda w: w NOT IN {STOPS}) AS w FROM lab),
 v AS (SELECT DISTINCT id, label, w[i] || ' ' || w[i + 1] AS value FROM t, unnest(range(1, len(w))) AS r(i)) {_RATE}""")
 def phrase_rules(spark, d):
     return mining.mine_phrases(mining.labelled(b.jobs(spark, d)), 5, 0.6)
