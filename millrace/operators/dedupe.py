@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, norm_company, norm_text, words
+from ..functions.urls import url_key
+from .lineage import cut
 
 ARCHIVED = ["DUPLICATE", "EXPIRED"]
 
@@ -64,14 +66,74 @@ def default_keeper(jobs: DataFrame) -> DataFrame:
     return best.where("size > 1")
 
 
+def title_classes(jobs: DataFrame) -> DataFrame:
+    """Live jobs by normal company and title: (company, title, first_id, size, words); either empty: left out."""
+    live = jobs.where(~F.col("status").isin(ARCHIVED)).select("id", norm_company(F.col("company")).alias("company"), norm_text(F.col("title")).alias("title"))
+    classes = live.where("company != '' and title != ''").groupBy("company", "title").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    return classes.withColumn("words", F.array_distinct(words(F.col("title"))))
+
+
 def fuzzy_pairs(jobs: DataFrame, overlap: float = 0.6) -> DataFrame:
-    """JON-11: pairs of one company whose titles' tokens are subsets or overlap enough.
+    """JON-11: (a, b, subset): pairs of titles of one company whose words are subsets or overlap enough.
 
-    Pairs must share a token, so the join is on (company, token).
+    Copies of a title are one class, named by its smallest id. Candidates share a rare word:
+    a subset holds the rarest word of the smaller title, and titles that overlap by a share t of
+    the larger one share one of the n - ceil(t * n) + 1 rarest words of each.
+    """
+    classes = title_classes(jobs).select(F.col("first_id").alias("id"), F.col("company").alias("c"), F.col("words").alias("t"), F.size("words").alias("n"))
+    each = classes.withColumn("w", F.explode("t"))
+    often = each.groupBy("c", "w").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "w"))
+    each = each.join(often, ["c", "w"]).withColumn("at", place).withColumn("first", F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(overlap)) + 1)
+    probe = each.where("first or at = 1").select("c", "w", *[F.col(x).alias(f"{x}1") for x in ("id", "t", "n", "at", "first")])
+    index = each.select("c", "w", *[F.col(x).alias(f"{x}2") for x in ("id", "t", "n", "first")])
+    met = probe.join(index, ["c", "w"]).where("id1 != id2 and ((at1 = 1 and n1 <= n2) or (first1 and first2))")
+    pairs = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.size(F.array_intersect("t1", "t2")).alias("k"), F.least("n1", "n2").alias("low"), F.greatest("n1", "n2").alias("high"))
+    subset = F.col("k") == F.col("low")
+    return pairs.dropDuplicates(["a", "b"]).where(subset | (F.col("k") >= F.lit(overlap) * F.col("high"))).select("a", "b", subset.alias("subset"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each end of the edges (a, b) can reach.
+
+    Labels take the smallest label next to them and then jump to their label's label, until
+    none changes; each round is a checkpoint.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    while True:
+        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near, labels["id"] == near["a"]).select("id", F.least("label", "near").alias("new"), F.col("label").alias("old"))
+        jump = new.select(F.col("id").alias("new"), F.col("new").alias("far"))
+        new = cut(new.join(jump, "new", "left").select("id", F.least("new", "far").alias("label"), "old"))
+        changed = new.where("label != old").limit(1).count()
+        labels = new.select("id", "label")
+        if not changed:
+            return labels.withColumnRenamed("label", "component")
+
+
+def fuzzy_groups(jobs: DataFrame, overlap: float = 0.6) -> DataFrame:
+    """DUP-2: (id, group_id, size, likely) of each job in a group of nearly equal titles of one company.
+
+    A group is a component of fuzzy pairs with all copies of its titles; likely if every
+    link is one of subsets.
     """
-    live = jobs.where(~F.col("status").isin(ARCHIVED)).select("id", norm_company(F.col("company")).alias("c"), F.array_distinct(words(norm_text(F.col("title")))).alias("t"))
-    each = live.where("c != ''").select("id", "c", F.size("t").alias("n"), F.explode("t").alias("w"))
-    a, b = each.toDF("a", "c", "na", "w"), each.toDF("b", "c", "nb", "w")
-    both = a.join(b, ["c", "w"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    subset = F.col("k") == F.least("na", "nb")
-    return both.where(subset | (F.col("k") >= F.lit(overlap) * F.greatest("na", "nb"))).select("a", "b", subset.alias("subset"))
+    pairs = cut(fuzzy_pairs(jobs, overlap))
+    member = components(pairs)
+    likely = pairs.join(member, pairs["a"] == member["id"]).groupBy("component").agg(F.bool_and("subset").alias("likely"))
+    classes = title_classes(jobs).join(member, F.col("first_id") == member["id"]).drop("id")
+    sizes = classes.groupBy("component").agg(F.sum("size").alias("size")).join(likely, "component")
+    live = jobs.where(~F.col("status").isin(ARCHIVED)).select("id", norm_company(F.col("company")).alias("company"), norm_text(F.col("title")).alias("title"))
+    return live.join(classes.select("company", "title", "component"), ["company", "title"]).join(sizes, "component").select("id", F.col("component").alias("group_id"), "size", "likely")
+
+
+def dupe_summary(groups: DataFrame) -> DataFrame:
+    """AGG-11: one row (groups, rows, surplus) of groups with a size."""
+    total = F.coalesce(F.sum("size"), F.lit(0))
+    return groups.agg(F.count(F.lit(1)).alias("groups"), total.alias("rows"), (total - F.count(F.lit(1))).alias("surplus"))
+
+
+def flag_known(df: DataFrame, jobs: DataFrame) -> DataFrame:
+    """JON-1: adds ``known``: whether a stored job has the row's url key; an empty key is never known."""
+    stored = jobs.select(url_key(F.col("url")).alias("_key")).where("_key != ''").distinct().withColumn("known", F.lit(True))
+    return df.withColumn("_key", url_key(F.col("job_url"))).join(stored, "_key", "left").drop("_key").withColumn("known", F.coalesce("known", F.lit(False)))

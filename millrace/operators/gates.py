@@ -95,3 +95,21 @@ def applications(jobs: DataFrame, view: str) -> DataFrame:
     jobs = jobs.where("status = 'APPLIED'").withColumn("stage", stage)
     kinds = {"in_progress": IN_PROGRESS, "offers": OFFERS, "rejected": ["OUT"]}
     return jobs.where(F.col("stage").isin(kinds[view])) if view in kinds else jobs
+
+
+def first_term(text: Column, terms: list[str]) -> Column:
+    """FLT-8: the first term with a word of three or more characters that the text holds, or null."""
+    out = F.lit(None).cast("string")
+    for term in reversed(terms):
+        out = F.when(_any(text, [w for w in term.split() if len(w) >= 3]), F.lit(term)).otherwise(out)
+    return out
+
+
+def recent(age_hours: Column, most: float) -> Column:
+    """FLT-9: at most so old; an unknown age passes."""
+    return F.coalesce(age_hours <= most, F.lit(True))
+
+
+def has_url(c: Column) -> Column:
+    """FLT-10."""
+    return F.coalesce(F.trim(c) != "", F.lit(False))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_company, phrases, tokens
+from ..functions.location import in_region
+from ..functions.text import desc_snippet, est_tokens, fingerprint, loc_tokens, norm_company, norm_title, parse_verdicts, phrases, tokens
+from .reports import top_n_per_side
+from .scoring import rule_sets, skill_hits
 
 GOOD, BAD = ["APPLIED", "REVIEWED"], ["REJECTED", "SKIP", "MISMATCH", "EXP_GAP"]
 
@@ -36,3 +39,114 @@ def mine_companies(lab: DataFrame, min_hits: int, min_rate: float, guard: list[s
     """MIN-6: companies."""
     values = lab.select("label", norm_company(F.col("company")).alias("value"))
     return _mine(values.where((F.col("value") != "") & ~F.col("value").isin(guard)), min_hits, min_rate)
+
+
+def mine_locations(lab: DataFrame, min_hits: int, min_rate: float) -> DataFrame:
+    """MIN-2: words of places outside the region; a posting inside, or without a place, teaches none."""
+    outside = lab.where(~in_region(F.col("location")))
+    return _mine(outside.select("label", F.explode(loc_tokens(F.col("location"))).alias("value")), min_hits, min_rate)
+
+
+def teachable(lab: DataFrame, bad_locations: DataFrame) -> DataFrame:
+    """MIN-3: without rejected rows outside the region that a mined place (value) already explains."""
+    explained = lab.where((F.col("label") == "BAD") & ~in_region(F.col("location"))).select("id", F.explode(loc_tokens(F.col("location"))).alias("value"))
+    return lab.join(explained.join(bad_locations.select("value"), "value", "left_semi").select("id"), "id", "left_anti")
+
+
+def mine_skills(lab: DataFrame, own: list[str], min_hits: int, min_rate: float) -> DataFrame:
+    """MIN-7: skills named in title or description; one's own skills are guarded."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    values = lab.select("label", F.explode(skill_hits(text)).alias("value"))
+    return _mine(values.where(~F.col("value").isin(own)), min_hits, min_rate)
+
+
+def enough_labels(lab: DataFrame, min_samples: int) -> DataFrame:
+    """MIN-8: one row (n, n_bad, enough)."""
+    counts = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "BAD").alias("n_bad"))
+    return counts.withColumn("enough", (F.col("n") >= min_samples) & (F.col("n_bad") > 0))
+
+
+def exclude_guarded(patterns: DataFrame, guard: DataFrame) -> DataFrame:
+    """JON-12: patterns (kind, value) without those in ``guard`` (kind, value)."""
+    return patterns.join(guard.select("kind", "value"), ["kind", "value"], "left_anti")
+
+
+def already_judged(df: DataFrame, lab: DataFrame) -> DataFrame:
+    """JON-4: adds ``judged``: (status, company, title) of the newest decision on the same fingerprint, or null."""
+    key = fingerprint(F.col("title"), F.col("company"))
+    newest = lab.select(key.alias("_fp"), F.struct("status_updated_at", "id").alias("_at"), F.struct("status", "company", "title").alias("judged")).where("_fp != ''")
+    newest = newest.groupBy("_fp").agg(F.max_by("judged", "_at").alias("judged"))
+    return df.withColumn("_fp", key).join(newest, "_fp", "left").drop("_fp")
+
+
+def token_hits(df: DataFrame, patterns: DataFrame, kind: str, key: str = "seq") -> DataFrame:
+    """JON-5 at any number of patterns: (key, hits), the sorted values of one kind among a posting's words."""
+    words = {"keyword": tokens(F.col("title")), "location": loc_tokens(F.col("location")), "company": F.array(F.lower(F.trim(F.coalesce("company", F.lit("")))))}[kind]
+    each = df.select(key, F.explode(words).alias("value"))
+    return each.join(patterns.where(F.col("kind") == kind).select("value").distinct(), "value").groupBy(key).agg(F.sort_array(F.collect_set("value")).alias("hits"))
+
+
+def phrase_hits(df: DataFrame, patterns: DataFrame) -> DataFrame:
+    """JON-6: adds ``phrase_hits``: mined phrases that are substrings of the normal title."""
+    title = norm_title(F.col("title"))
+    df = df.join(F.broadcast(rule_sets(patterns).select("_phrases")))
+    return df.withColumn("phrase_hits", F.filter("_phrases", lambda p: F.contains(title, p))).drop("_phrases")
+
+
+def apply_rules(df: DataFrame, patterns: DataFrame, lab: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """MIN-9: adds ``filter_reason``, that of the first rule that hits, or null for rows to keep.
+
+    Order: decided before, place (outside the region only), title word, title phrase,
+    company, skill. Hits are listed in sorted order.
+    """
+    df = already_judged(df, lab).join(F.broadcast(rule_sets(patterns)))
+    title, company = norm_title(F.col("title")), F.lower(F.trim(F.coalesce("company", F.lit(""))))
+    places = F.when(~in_region(F.col("location")), F.sort_array(F.array_intersect(loc_tokens(F.col("location")), "_locations")))
+    words, phrases_in = F.sort_array(F.array_intersect(tokens(F.col("title")), "_keywords")), F.filter("_phrases", lambda p: F.contains(title, p))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    skills = F.sort_array(F.array_intersect(skill_hits(text, lexicon), "_skills"))
+    seen = F.concat(F.lit("repeat-seen:"), F.lower("judged.status"), F.lit(":"), F.substring("judged.company", 1, 40), F.lit("|"), F.substring("judged.title", 1, 40))
+    listed = lambda name, hits, by: F.when(F.size(hits) > 0, F.concat(F.lit(f"{name}:"), F.array_join(hits, by)))
+    by_company = F.when((company != "") & F.array_contains("_companys", company), F.concat(F.lit("company:"), company))
+    reason = F.coalesce(seen, listed("location", places, ","), listed("title-keyword", words, ","), listed("title-phrase", phrases_in, "|"), by_company, listed("desc-skill", skills, ","))
+    return df.withColumn("filter_reason", reason).drop("judged", "_keywords", "_phrases", "_companys", "_locations", "_skills")
+
+
+def assign_chunks(df: DataFrame, size: int, most: int, order: list[str]) -> DataFrame:
+    """WIN-7: adds ``chunk`` and ``i`` to the first size * most rows by ``order``; null for the rest.
+
+    The first rows are found by a bounded top-k, so no task ranks the whole table.
+    """
+    first = df.select(*order).orderBy(*order).limit(size * most).withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
+    first = first.withColumn("chunk", F.floor(F.col("_n") / size).cast("int")).withColumn("i", (F.col("_n") % size).cast("int")).drop("_n")
+    return df.join(first, order, "left")
+
+
+def judge_requests(df: DataFrame, lab: DataFrame, size: int = 40, most: int = 3, snippet: int = 400, budget: int = 100_000, good: int = 20, bad: int = 30) -> DataFrame:
+    """MIN-10: a request a chunk: (chunk, n, good, bad, rows, est_tokens, within_budget).
+
+    Rows decided before are left out; examples are the newest decisions of each side. The
+    arrays hold at most ``size`` rows and ``good`` or ``bad`` examples. The budget is spent in
+    the order of chunks.
+    """
+    unseen = already_judged(df, lab).where("judged is null").drop("judged")
+    rows = assign_chunks(unseen, size, most, ["seq"]).where("chunk is not null")
+    line = F.concat_ws(" | ", F.col("i").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("company", F.lit("")), desc_snippet(F.col("description"), snippet))
+    chunks = rows.select("chunk", "i", line.alias("line")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("rows"))
+    newest = top_n_per_side(lab, max(good, bad)).withColumn("_line", F.concat_ws(" | ", "title", "company"))
+    side = lambda label, n: F.transform(F.sort_array(F.collect_list(F.when((F.col("label") == label) & (F.col("rank") <= n), F.struct("rank", "_line")))), lambda x: x["_line"])
+    out = chunks.join(F.broadcast(newest.agg(side("GOOD", good).alias("good"), side("BAD", bad).alias("bad"))))
+    out = out.withColumn("est_tokens", est_tokens(F.concat(F.array_join("rows", "\n"), F.array_join("good", "\n"), F.array_join("bad", "\n"))))
+    # at most ``most`` rows are left here
+    return out.withColumn("within_budget", F.sum("est_tokens").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) <= budget)
+
+
+def apply_verdicts(batch: DataFrame, replies: DataFrame, size: int = 40) -> DataFrame:
+    """MIN-11, JON-14: adds ``filter_reason`` (ai:provider) to rows of a chunk that its reply skips; the rest is kept.
+
+    Replies: (chunk, reply, provider). Of several verdicts on a row the last in the reply counts.
+    """
+    each = replies.select("chunk", "provider", F.posexplode(parse_verdicts(F.col("reply"), size)).alias("_at", "_v")).select("chunk", "provider", "_at", "_v.i", "_v.decision")
+    said = each.groupBy("chunk", "i").agg(F.max_by(F.struct("decision", "provider"), F.struct("_at", "provider")).alias("_said"))
+    reason = F.when(F.col("_said.decision") == "SKIP", F.concat(F.lit("ai:"), F.col("_said.provider")))
+    return batch.join(said, ["chunk", "i"], "left").withColumn("filter_reason", reason).drop("_said")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .gates import IN_PROGRESS, OFFERS, is_due
+from .gates import IN_PROGRESS, OFFERS, compile_search, is_due
 
 OUTCOMES = {"applied": ["APPLIED"], "rejected": ["REJECTED"], "skipped": ["SKIP"], "mismatch": ["MISMATCH"], "exp_gap": ["EXP_GAP"]}
 
@@ -76,3 +76,80 @@ def top_n_per_side(labelled: DataFrame, n: int) -> DataFrame:
     """WIN-8: the newest n rows of each label."""
     w = Window.partitionBy("label").orderBy(F.desc("status_updated_at"), F.desc("id"))
     return labelled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def source_health(notes: DataFrame) -> DataFrame:
+    """AGG-6: notes (source, rows, error) per source: searches, rows, distinct errors of 160 characters, and a warning when searched in vain."""
+    out = notes.groupBy("source").agg(F.count(F.lit(1)).alias("searches"), F.sum("rows").alias("rows"), F.sort_array(F.collect_set(F.substring("error", 1, 160))).alias("errors"))
+    return out.withColumn("warning", F.coalesce("rows", F.lit(0)) == 0)
+
+
+def term_audit(raw: DataFrame, kept: DataFrame, column: str = "matched_search_term") -> DataFrame:
+    """AGG-7: (term, raw, kept) for each term; sort by kept, then raw, downwards."""
+    n = lambda df, name: df.groupBy(F.col(column).alias("term")).agg(F.count(F.lit(1)).alias(name))
+    return n(raw, "raw").join(n(kept, "kept"), "term", "full").select("term", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+def top_reasons(held: DataFrame, n: int = 5) -> DataFrame:
+    """AGG-8: (kind, reason, n): the most frequent reasons of rules and of sifts, and all AI verdicts as one."""
+    kind = F.when(F.col("filter_reason").startswith("ai:"), "ai").when(F.col("filter_reason").startswith("exp-gap:"), "sift").otherwise("rule")
+    reason = F.when(F.col("filter_reason").startswith("ai:"), "ai").otherwise(F.substring("filter_reason", 1, 60))
+    counts = held.where("filter_reason is not null").groupBy(kind.alias("kind"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "reason"))).where(F.col("_r") <= n).drop("_r")
+
+
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """AGG-13: one row of counts of a run from (outcome) rows: scraped, filtered, held, added, refreshed."""
+    n = lambda *v: F.count_if(F.col("outcome").isin(*v))
+    return outcomes.agg(F.count(F.lit(1)).alias("scraped"), n("dropped").alias("filtered"), n("held").alias("held"), n("new").alias("added"), n("fingerprint", "url").alias("refreshed"))
+
+
+def facets(df: DataFrame, column: str) -> DataFrame:
+    """AGG-14: values that are not blank, with their counts."""
+    return counts_by(df.where(F.trim(column) != ""), column)
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """WIN-5: the run that started last."""
+    return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(1)
+
+
+def sort_view(jobs: DataFrame, column: str = "score", down: bool = True) -> DataFrame:
+    """SRT-1, SRT-2, SRT-3: by a column with missing values last either way; scores tie by time scraped; then by id."""
+    first = F.col(column).desc_nulls_last() if down else F.col(column).asc_nulls_last()
+    tie = [F.col("scraped_at").desc_nulls_last()] if column == "score" else []
+    return jobs.orderBy(first, *tie, F.desc("id") if down else F.col("id"))
+
+
+def sort_applications(jobs: DataFrame) -> DataFrame:
+    """SRT-4."""
+    return jobs.orderBy(F.col("status_updated_at").desc_nulls_last(), F.desc("id"))
+
+
+def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
+    """SRT-5: the first k rows, without a full sort."""
+    return df.orderBy(*order).limit(k)
+
+
+def held_view(held: DataFrame, reason=None, source=None, query=None) -> DataFrame:
+    """FLT-17: held rows not restored, by start of the reason, source and search."""
+    held = held.where(~F.coalesce("restored", F.lit(False)))
+    held = held.where(F.col("filter_reason").startswith(reason)) if reason else held
+    held = held.where(F.col("source") == source) if source else held
+    return held.where(compile_search(query)) if query else held
+
+
+def needs_backfill(jobs: DataFrame, source=None, skip=(), limit: int = 100) -> DataFrame:
+    """FLT-18: the jobs of smallest id without a description or without a salary."""
+    jobs = jobs.where((F.coalesce("description", F.lit("")) == "") | (F.coalesce("salary_display", F.lit("")) == ""))
+    jobs = jobs.where(F.col("source") == source) if source else jobs
+    jobs = jobs.where(~F.col("source").isin(list(skip))) if skip else jobs
+    return top_k(jobs, ["id"], limit)
+
+
+def all_held(*parts: DataFrame) -> DataFrame:
+    """SET-1, SET-3: tables of differing columns as one, missing columns null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

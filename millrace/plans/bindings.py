@@ -24,6 +24,9 @@ STATUS = "element_at(array('NEW','REVIEWED','APPLIED','SKIP','MISMATCH','EXP_GAP
 STAGE = "element_at(array('APPLIED','INITIAL','TECHNICAL','FINAL','OFFER','OUT'), CAST(o_custkey % 6 AS INT) + 1)"
 SUFFIX = "element_at(array(' Inc','',' Corp PH',' Co.',' in the Philippines'), CAST(o_custkey % 5 AS INT) + 1)"
 
+PLACE = "CASE o_orderkey % 7 WHEN 0 THEN 'Cebu City' WHEN 1 THEN 'Makati' WHEN 2 THEN NULL WHEN 3 THEN 'Davao del Sur 8000' WHEN 4 THEN 'Baguio' WHEN 5 THEN 'Remote' ELSE 'Quezon City' END"
+TEXT = "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '3 days ago' WHEN 3 THEN 'We use python and sql' WHEN 4 THEN 'Docker on linux' ELSE 'Sales calls' END"
+
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
@@ -46,6 +49,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 50 AS INT))")).alias("last_seen"),
         F.expr("CASE WHEN o_orderkey % 9 = 0 THEN date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 20 AS INT)) END").alias("follow_up_at"),
         F.expr("CAST(o_orderkey % 101 AS INT)").alias("score"),
+        F.when(status == "APPLIED", F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 40 AS INT))")).alias("applied_at"),
+        F.expr(PLACE).alias("location"),
+        F.expr(TEXT).alias("description"),
     )
 
 
@@ -60,7 +66,10 @@ jobs AS (
     o_orderdate AS scraped_at, o_orderdate + to_days(CAST(o_orderkey % 40 AS INT)) AS status_updated_at,
     CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + to_days(CAST(o_orderkey % 50 AS INT)) END AS last_seen,
     CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT) END AS follow_up_at,
-    CAST(o_orderkey % 101 AS INT) AS score
+    CAST(o_orderkey % 101 AS INT) AS score,
+    CASE WHEN o_orderkey % 8 = 2 THEN o_orderdate + to_days(CAST(o_orderkey % 40 AS INT)) END AS applied_at,
+    CASE o_orderkey % 7 WHEN 0 THEN 'Cebu City' WHEN 1 THEN 'Makati' WHEN 2 THEN NULL WHEN 3 THEN 'Davao del Sur 8000' WHEN 4 THEN 'Baguio' WHEN 5 THEN 'Remote' ELSE 'Quezon City' END AS location,
+    CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '3 days ago' WHEN 3 THEN 'We use python and sql' WHEN 4 THEN 'Docker on linux' ELSE 'Sales calls' END AS description
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON p_partkey = o_orderkey % 500 + 1
 )"""
 
@@ -116,3 +125,21 @@ raw AS (SELECT doc_id AS seq,
   source AS site, CAST(doc_id % 4 AS INT) AS source_rank, doc_id % 5 = 1 AS loose_location,
   CASE doc_id % 8 WHEN 0 THEN 'PHP 30,000 - 40,000 per month' WHEN 1 THEN '$42k/yr' WHEN 2 THEN '₱500 per day' WHEN 3 THEN '1.5m USD annually' WHEN 4 THEN '3 days ago' ELSE '' END AS salary_raw
   FROM documents)"""
+
+
+REASON = "CASE doc_id % 5 WHEN 0 THEN 'location:cebu' WHEN 1 THEN concat('title-keyword:k', CAST(doc_id % 11 AS STRING)) WHEN 2 THEN 'repeat-seen:skip:x' WHEN 3 THEN 'ai:judge' ELSE concat('exp-gap:needs ', CAST(doc_id % 9 AS STRING), ' yrs') END"
+
+
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh posting as a held one, with a url of its own."""
+    d = raw_postings(spark, sf_dir).where("seq % 7 = 0").withColumn("doc_id", F.col("seq"))
+    return d.select(
+        F.col("seq").alias("id"), F.col("site").alias("source"), "title", "company", F.expr("concat('https://held.example.com/', CAST(seq AS STRING))").alias("url"),
+        F.expr(REASON).alias("filter_reason"), F.lit(None).cast("timestamp").alias("filtered_at"), (F.col("seq") % 4 == 0).alias("restored"),
+    )
+
+
+HELD_SQL = """
+held AS (SELECT seq AS id, site AS source, title, company, 'https://held.example.com/' || CAST(seq AS VARCHAR) AS url,
+  CASE seq % 5 WHEN 0 THEN 'location:cebu' WHEN 1 THEN 'title-keyword:k' || CAST(seq % 11 AS VARCHAR) WHEN 2 THEN 'repeat-seen:skip:x' WHEN 3 THEN 'ai:judge' ELSE 'exp-gap:needs ' || CAST(seq % 9 AS VARCHAR) || ' yrs' END AS filter_reason,
+  seq % 4 = 0 AS restored FROM raw WHERE seq % 7 = 0)"""

@@ -277,14 +277,6 @@ def default_keeper(spark, d):
     return dedupe.default_keeper(b.jobs(spark, d))
 
 
-@query("jon11_fuzzy_pairs", f"""
-WITH {JOBS_SQL}, j AS (SELECT id, {COMPANY('company')} AS c, list_distinct({WORDS(NORM('title'))}) AS t FROM jobs WHERE status NOT IN ('DUPLICATE', 'EXPIRED')),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS na, len(b.t) AS nb FROM j a JOIN j b ON a.c = b.c AND a.id < b.id WHERE a.c <> '')
-SELECT a, b, k = least(na, nb) AS subset FROM p WHERE k > 0 AND (k = least(na, nb) OR k >= 0.6::DOUBLE * greatest(na, nb))""")
-def fuzzy_pairs(spark, d):
-    return dedupe.fuzzy_pairs(b.jobs(spark, d))
-
-
 _LAB = "lab AS (SELECT id, title, company, CASE WHEN status IN ('APPLIED', 'REVIEWED') THEN 'GOOD' ELSE 'BAD' END AS label FROM jobs WHERE status IN ('APPLIED', 'REVIEWED', 'REJECTED', 'SKIP', 'MISMATCH', 'EXP_GAP') AND coalesce(stage, '') <> 'OUT')"
 _RATE = "SELECT value, count(*) AS hits, count(*) FILTER (label = 'BAD') AS bad_hits FROM v GROUP BY value HAVING count(*) >= 5 AND count(*) FILTER (label = 'BAD') >= 0.6::DOUBLE * count(*)"
 
