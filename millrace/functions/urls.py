@@ -56,9 +56,10 @@ def canonical_url(c: Column) -> Column:
     port = F.regexp_extract(part(r"^[^:/?#]+://([^/?#]*)"), ":([0-9]+)$", 1)
     path, params = part(r"^[^:/?#]+://[^/?#]*([^?#]*)"), F.filter(F.split(part(r"^[^?#]*\?([^#]*)"), "&"), lambda p: p != "")
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    only = lambda names: F.filter(params, lambda p: key(p).isin(names))
     kept = F.filter(params, lambda p: ~key(p).isin(TRACKING))
     for site, names in IDENTITY.items():
-        kept = F.when(site_of(u) == site, F.filter(params, lambda p, names=names: key(p).isin(names))).otherwise(kept)
+        kept = F.when(site_of(u) == site, only(names)).otherwise(kept)
     query = F.array_join(kept, "&")
     target = F.coalesce(F.try_url_decode(F.regexp_extract(u, r"[?&](?:url|u|redirect)=([^&#]+)", 1)), F.lit(""))
     inner = F.when(target.startswith("/"), F.regexp_extract(target, "^[^?#]*", 0)).when(F.contains(target, F.lit("trabajo")), F.regexp_extract(target, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)).otherwise("")

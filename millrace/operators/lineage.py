@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -13,3 +14,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir() and sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """A new folder beside the checkpoints, where driver and executors can meet."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

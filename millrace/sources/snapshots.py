@@ -1,0 +1,51 @@
+"""Tables as numbered versions; what is read is never overwritten."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Snapshots:
+    """SRC-9: versions of one table under a folder, ``v=N`` each; the newest complete one counts.
+
+    A version is complete when Spark has left _SUCCESS in it, so a lost writer leaves nothing
+    that is read. Paths go through Hadoop's file system, so shared stores work.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3) -> None:
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+
+    def _folder(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm.org.apache.hadoop.fs.Path
+
+    def versions(self) -> list[int]:
+        fs, path, make = self._folder()
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(make(f"{self.path}/{n}/_SUCCESS")))
+
+    def holds(self, batch: int) -> bool:
+        """Whether a version of this batch, or a later one, is there."""
+        return any(v > batch for v in self.versions())
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1] if version is None else version}")
+
+    def write(self, df: DataFrame, batch: int | None = None) -> int:
+        """Writes the next version, that of the batch plus one if a batch is named; older ones than ``keep`` go."""
+        have = self.versions()
+        version = (have[-1] + 1 if have else 0) if batch is None else batch + 1
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        fs, _, make = self._folder()
+        for old in self.versions()[: -self.keep]:
+            fs.delete(make(f"{self.path}/v={old}"), True)
+        return version
+
+
+def stamped(df: DataFrame, batch: str) -> DataFrame:
+    """Adds batch_id, so that rows tell where they came from."""
+    return df.withColumn("batch_id", F.lit(batch))
