@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean
+from .text import clean, let
 
 # Symbols, codes, cadence words and month factors.
 SYMBOLS = {"₱": "PHP", "$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR"}
@@ -70,19 +70,27 @@ def parse_salary(c: Column) -> Column:
     Ages and demanded years are taken out first. Amounts after a currency mark win, two at
     most; else the first range, else the first number. Implausibly small pesos are no pay.
     """
-    t = F.regexp_replace(F.regexp_replace(clean(c), AGE, ""), YEARS_ASKED, "")
+    return let(let(F.regexp_replace(F.regexp_replace(clean(c), AGE, ""), YEARS_ASKED, ""), _found), _plausible)
+
+
+def _found(t: Column) -> Column:
     signal = t.rlike(f"[{''.join(SYMBOLS)}]") | t.rlike(rf"(?i)\b(?:{CODES})\b") | F.lower(t).rlike("|".join(SIGNALS))
-    marked = F.regexp_extract_all(t, F.lit(rf"(?i){MARK}\s*{AMOUNT}"), 1)
     span = rf"(?i){AMOUNT}\s*(?:–|—|-|to)\s*{AMOUNT}"
     pair = F.array(F.regexp_extract(t, span, 1), F.regexp_extract(t, span, 2))
-    found = F.when(F.size(marked) > 0, F.slice(marked, 1, 2)).when(t.rlike(span), pair).otherwise(F.array(F.regexp_extract(t, AMOUNT, 1)))
-    values = F.when(signal, F.filter(F.transform(found, parse_amount), lambda v: v.isNotNull()))
-    currency, interval, high = F.when(signal, pay_currency(t)).otherwise(""), F.when(signal, pay_interval(t)).otherwise("unknown"), F.array_max(values)
-    floor = F
+    other = F.when(t.rlike(span), pair).otherwise(F.array(F.regexp_extract(t, AMOUNT, 1)))
+    texts = let(F.regexp_extract_all(t, F.lit(rf"(?i){MARK}\s*{AMOUNT}"), 1), lambda marked: F.when(F.size(marked) > 0, F.slice(marked, 1, 2)).otherwise(other))
+    values = F.filter(F.transform(texts, parse_amount), lambda v: v.isNotNull())
+    return F.when(signal, F.struct(pay_currency(t).alias("currency"), pay_interval(t).alias("interval"), values.alias("values"))).otherwise(
+        F.struct(F.lit("").alias("currency"), F.lit("unknown").alias("interval"), F.array().cast("array<double>").alias("values"))
+    )
+
+
+def _plausible(p: Column) -> Column:
+    high, floor = F.array_max(p["values"]), F
     for name, least in PHP_FLOOR.items():
-        floor = floor.when(interval == name, F.lit(least))
-    real = (high > 0) & ~((currency == "PHP") & (high < floor))
-    return F.struct(currency.alias("currency"), F.when(real, F.array_min(values)).alias("min"), F.when(real, high).alias("max"), interval.alias("interval"))
+        floor = floor.when(p["interval"] == name, F.lit(least))
+    real = (high > 0) & ~((p["currency"] == "PHP") & (high < floor))
+    return F.struct(p["currency"].alias("currency"), F.when(real, F.array_min(p["values"])).alias("min"), F.when(real, high).alias("max"), p["interval"].alias("interval"))
 
 
 def _short(v: Column) -> Column:
@@ -107,17 +115,20 @@ def format_salary(currency: Column, low: Column, high: Column, interval: Column,
 
 def pay_snippet(c: Column, most: int = 300) -> Column:
     """FN-28: the words around the first marked amount, else the sentences that name money; empty unless it reads as pay."""
-    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", " ")
     mark = rf"(?i){MARK}\s*[0-9][0-9,]*(?:\.[0-9]+)?"
-    at, n = F.regexp_instr(flat, F.lit(mark)), F.length(F.regexp_extract(flat, mark, 0))
-    begin, end = F.greatest(F.lit(0), at - 151), F.least(F.length(flat), at + n + 149)
-    cut = lambda start, size: F.substr(flat, start, size)
-    head = F.when((begin > 0) & (cut(begin + 1, F.lit(1)) != " "), F.substring_index(cut(F.lit(1), begin), " ", -1)).otherwise("")
-    tail = F.substring_index(cut(end + 1, F.length(flat)), " ", 1)
-    window = F.concat(head, cut(begin + 1, end - begin), tail)
+    cut = F.substr
+
+    def around(flat: Column) -> Column:
+        at, n = F.regexp_instr(flat, F.lit(mark)), F.length(F.regexp_extract(flat, mark, 0))
+        return let(F.struct(at.alias("at"), F.greatest(F.lit(0), at - 151).alias("begin"), F.least(F.length(flat), at + n + 149).alias("end")), lambda p: window(flat, p))
+
+    def window(flat: Column, p: Column) -> Column:
+        begin, end = p["begin"], p["end"]
+        head = F.when((begin > 0) & (cut(flat, begin + 1, F.lit(1)) != " "), F.substring_index(cut(flat, F.lit(1), begin), " ", -1)).otherwise("")
+        return F.when(p["at"] > 0, F.concat(head, cut(flat, begin + 1, end - begin), F.substring_index(cut(flat, end + 1, F.length(flat)), " ", 1)))
+
     money = rf"[{''.join(SYMBOLS)}]|PHP|\b(?:USD|EUR|GBP|JPY|INR|AUD|CAD|SGD)\b"
     sentences = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?\n;•·])\s+"), lambda x: x.rlike(money) & x.rlike("[0-9]"))
-    out = F.when(at > 0, window).otherwise(F.array_join(sentences, " "))
-    out = F.trim(F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, most))
-    pay = parse_salary(out)
-    return F.when((pay["currency"] != "") & pay["min"].isNotNull(), out).otherwise("")
+    found = F.coalesce(let(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", " "), around), F.array_join(sentences, " "))
+    line = F.trim(F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, most))
+    return let(line, lambda out: let(parse_salary(out), lambda pay: F.when((pay["currency"] != "") & pay["min"].isNotNull(), out).otherwise("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ AFTER_DEMANDS = _LEAD + (
 PLACEHOLDER_TITLES = ["", "untitled (manual)"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """FN-1: null becomes empty; white space at both ends goes."""
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")

@@ -269,21 +269,27 @@ def chunks(spark, d):
     return mining.assign_chunks(b.raw_postings(spark, d), 40, 3, ["seq"]).select("seq", "chunk", "i")
 
 
-_CLASSES = f"k AS (SELECT {COMPANY('company')} AS c, {NORM('title')} AS t, min(id) AS id, count(*) AS size FROM jobs WHERE status NOT IN ('DUPLICATE', 'EXPIRED') GROUP BY 1, 2), w AS (SELECT *, list_distinct({WORDS('t')}) AS ws FROM k WHERE c <> '' AND t <> '')"
+_FIRMS = "fz AS (SELECT id, status, title || CASE id % 3 WHEN 0 THEN ' lead' WHEN 1 THEN ' small lead night' ELSE '' END AS title, 'Firm ' || CAST(id % 150 AS VARCHAR) AS company FROM jobs)"
+_CLASSES = f"{_FIRMS}, k AS (SELECT {COMPANY('company')} AS c, {NORM('title')} AS t, min(id) AS id, count(*) AS size FROM fz WHERE status NOT IN ('DUPLICATE', 'EXPIRED') GROUP BY 1, 2), w AS (SELECT *, list_distinct({WORDS('t')}) AS ws FROM k WHERE c <> '' AND t <> '')"
 _PAIRS = "p AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, len(list_intersect(x.ws, y.ws)) AS n, least(len(x.ws), len(y.ws)) AS low, greatest(len(x.ws), len(y.ws)) AS high FROM w x JOIN w y ON x.c = y.c AND x.id < y.id), e AS (SELECT a, b, n = low AS subset FROM p WHERE n = low OR n >= 0.6::DOUBLE * high)"
 
 
+def _firms(spark, d):
+    jobs = b.jobs(spark, d)
+    return jobs.withColumn("title", F.expr("concat(title, CASE id % 3 WHEN 0 THEN ' lead' WHEN 1 THEN ' small lead night' ELSE '' END)")).withColumn("company", F.expr("concat('Firm ', id % 150)"))
+
+
 @query("jon11_fuzzy_pairs", f"WITH {JOBS_SQL}, {_CLASSES}, {_PAIRS} SELECT * FROM e")
 def fuzzy_pairs(spark, d):
-    return dedupe.fuzzy_pairs(b.jobs(spark, d))
+    return dedupe.fuzzy_pairs(_firms(spark, d))
 
 
 @query("dup2_fuzzy_groups", f"""
 WITH RECURSIVE {JOBS_SQL}, {_CLASSES}, {_PAIRS}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS reach FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reach),
 m AS (SELECT id, min(reach) AS g FROM r GROUP BY id), l AS (SELECT g, bool_and(subset) AS likely FROM e JOIN m ON m.id = e.a GROUP BY g), s AS (SELECT w.c, w.t, m.g, sum(w.size) OVER (PARTITION BY m.g) AS size FROM w JOIN m USING (id))
-SELECT j.id, s.g AS group_id, CAST(s.size AS BIGINT) AS size, likely FROM jobs j JOIN s ON s.c = {COMPANY('j.company')} AND s.t = {NORM('j.title')} JOIN l ON l.g = s.g WHERE j.status NOT IN ('DUPLICATE', 'EXPIRED')""")
+SELECT j.id, s.g AS group_id, CAST(s.size AS BIGINT) AS size, likely FROM fz j JOIN s ON s.c = {COMPANY('j.company')} AND s.t = {NORM('j.title')} JOIN l ON l.g = s.g WHERE j.status NOT IN ('DUPLICATE', 'EXPIRED')""")
 def fuzzy_groups(spark, d):
-    return dedupe.fuzzy_groups(b.jobs(spark, d))
+    return dedupe.fuzzy_groups(_firms(spark, d))
 
 
 _KEYED = f"y AS (SELECT *, {COMPANY('company')} || '|' || {NORM('title')} AS key, status IN ('DUPLICATE', 'EXPIRED') AS gone, CASE status WHEN 'APPLIED' THEN 0 WHEN 'REVIEWED' THEN 1 WHEN 'NEW' THEN 2 ELSE 3 END AS rank FROM jobs), z AS (SELECT *, row_number() OVER (PARTITION BY key, gone ORDER BY rank, scraped_at NULLS LAST, id) AS n FROM y)"
@@ -299,13 +305,13 @@ def dupe_summary(spark, d):
     return dedupe.dupe_summary(dedupe.exact_groups(b.jobs(spark, d)))
 
 
-_BATCH = f"""bt AS (SELECT seq, 'Junior Developer' AS title, 'Acme ' || CAST(seq AS VARCHAR) AS company, 'https://jobs.example.com/view/' || CAST(seq * 3 AS VARCHAR) AS url FROM raw),
+_BATCH = f"""bt AS (SELECT seq, 'Junior Developer' AS title, 'Acme ' || CAST(seq AS VARCHAR) AS company, 'https://jobs.example.com/view/' || CAST(seq * 7 AS VARCHAR) AS url FROM raw),
 u AS (SELECT {URL('url')} AS k, min(id) AS id FROM jobs GROUP BY 1), f AS (SELECT bt.*, u.id AS job_id FROM bt LEFT JOIN u ON u.k = bt.url)"""
 
 
 def _merged(spark, d):
     raw = b.raw_postings(spark, d)
-    batch = raw.select("seq", F.lit("Junior Developer").alias("title"), F.concat(F.lit("Acme "), F.col("seq")).alias("company"), F.concat(F.lit("https://jobs.example.com/view/"), F.col("seq") * 3).alias("url"), F.lit("NEW").alias("status"), F.lit("fresh text").alias("description"))
+    batch = raw.select("seq", F.lit("Junior Developer").alias("title"), F.concat(F.lit("Acme "), F.col("seq")).alias("company"), F.concat(F.lit("https://jobs.example.com/view/"), F.col("seq") * 7).alias("url"), F.lit("NEW").alias("status"), F.lit("fresh text").alias("description"))
     return merge.merge_postings(b.jobs(spark, d), batch, AS_OF)
 
 
