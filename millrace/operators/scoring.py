@@ -79,14 +79,16 @@ def flatten_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_id", F.lower(F.array_join(parts, "\n")).alias("text"))
 
 
-def rule_sets(patterns: DataFrame) -> DataFrame:
+def rule_sets(patterns: DataFrame, most: int = 100_000) -> DataFrame:
     """One row of sorted arrays from patterns (kind, value), kinds keyword, phrase, company, location, skill.
 
-    Rules are values that passed the thresholds of mining; each kind's array is joined to the
-    postings as one row. Where rules may run to millions, join by value instead (token_hits).
+    The row goes to every task, so more than ``most`` rules are an error; words, places and
+    companies beyond that are matched by value with token_hits.
     """
     kinds = ["keyword", "phrase", "company", "location", "skill"]
-    return patterns.agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(f"_{k}s") for k in kinds])
+    too_many = F.raise_error(F.lit(f"more than {most} rules: use token_hits"))
+    values = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value"))))
+    return patterns.agg(*[F.when(F.count(F.lit(1)) > most, too_many).otherwise(values(k)).alias(f"_{k}s") for k in kinds])
 
 
 def penalty(df: DataFrame, patterns: DataFrame) -> DataFrame:

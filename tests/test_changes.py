@@ -123,3 +123,28 @@ def test_salary_edit_and_reports(spark):
     assert sorted(map(tuple, reports.source_health(notes).collect())) == [("a", 2, 0, ["x"], True), ("b", 1, 3, [], False)]
     assert merge.heal_report(df, once).first() == (0, 1, 1)
     assert reports.run_summary(spark.createDataFrame([("new",), ("url",), ("held",)], "outcome string")).first() == (3, 0, 1, 1, 1)
+
+
+def test_sorts_and_small_operators(spark):
+    from pyspark.sql.types import IntegerType, StructType
+
+    df = jobs(spark, {"id": 1}, {"id": 2}, {"id": 3}).withColumn("score", F.expr("CASE id WHEN 1 THEN NULL WHEN 2 THEN 5 ELSE 5 END")).withColumn("scraped_at", F.expr("CASE id WHEN 2 THEN TIMESTAMP '2026-01-02' END"))
+    assert [r["id"] for r in reports.sort_view(df).collect()] == [2, 3, 1] and [r["id"] for r in reports.sort_view(df, "score", False).collect()] == [2, 3, 1]
+    assert [r["id"] for r in reports.sort_applications(df.withColumn("status_updated_at", F.col("scraped_at"))).collect()] == [2, 3, 1]
+    runs = spark.createDataFrame([(1, "2026-01-01"), (2, "2026-01-03"), (3, "2026-01-02")], "id bigint, t string").withColumn("started_at", F.col("t").cast("timestamp"))
+    assert reports.latest_run(runs).first()["id"] == 2
+    assert reports.all_held(df.select("id"), df.select("id", "title"), df.select("title")).where("id is null or title is null").count() == 6
+    grown = merge.evolve(df.withColumn("applied_at", F.lit(None).cast("timestamp")), StructType().add("seen", IntegerType()).add("score", IntegerType()), {"seen": 7})
+    assert grown.where("id = 2").select("seen", F.col("status_updated_at").cast("date").cast("string")).first() == (7, "2026-01-02")
+    rules = spark.createDataFrame([("keyword", "cold"), ("company", "cold")], "kind string, value string")
+    assert mining.exclude_guarded(rules, rules.where("kind = 'company'")).collect() == [("keyword", "cold")]
+    with pytest.raises(Exception, match="more than 1 rules"):
+        scoring.rule_sets(rules, 1).select("_keywords").collect()
+    kind = "profile_id string, summary struct<variants:array<string>>, skills array<struct<group:string,items:array<string>>>, experience array<struct<title:string,bullets:array<string>>>, soft_skills array<string>"
+    profile = spark.createDataFrame([("p", (["python"],), None, None, None)], kind)
+    stored = df.withColumn("profile_id", F.lit("p")).withColumn("title", F.lit("Python")).withColumn("score_reason", F.lit("old"))
+    got = {r["id"]: (r["score"], r["score_reason"]) for r in scoring.rescore(stored, profile, rules).collect()}
+    assert got == {1: (55, "+Python"), 2: (5, "old"), 3: (5, "old")}
+    postings = spark.createDataFrame([(1, "Dev", "Acme", "https://X/1/", "about", "greenhouse boards", "location:cebu", "Cebu")], "seq bigint, title string, company string, job_url string, description string, site string, filter_reason string, location string")
+    assert projections.to_held_rows(postings, AT).select("source", "url", "filter_reason", "restored").first() == ("greenhouse boards", "https://x/1", "location:cebu", False)
+    assert merge.untracked(spark.createDataFrame([("https://x/1",), ("https://x/9",)], "url string"), df).collect() == [("https://x/9",)]
