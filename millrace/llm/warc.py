@@ -2,16 +2,18 @@
 
 Pages are cut into shards by ranges of their id, each of about ``shard_bytes`` of
 payload, from an exact histogram of the ids, so the cuts depend on the pages alone.
-Inside a task records are in order of their id and files roll at ``file_bytes`` of
-compressed size. Every record is a gzip member of its own, with digests and lengths
-made anew. Record ids and dates are derived from the page, so equal pages give
-equal files.
-
-Which pages repeat a payload is found first, from digests alone; that verdict travels
-to the writer as a row of its own that sorts just before the page's row, so the pages
-are shuffled once. A file is written under a temporary name, then renamed; what a
-task wrote is listed in a manifest, which Spark commits with the job. Files that are
-not in the manifest (of lost or repeated attempts) do not count.
+Bins of the histogram that hold too much are cut again until they fit, so ids may
+have gaps of any width. Each shard is one task; in it records are in order of their
+id and files roll at ``file_bytes`` of compressed size. Every record is a gzip member
+of its own, with digests and lengths made anew. Record ids and dates are derived from
+the page, so equal pages give equal files.
+
+Ids, digests and lengths are stored once. The histogram and the verdict which pages
+repeat a payload come from them; the verdict travels to the writer as a row of its own
+that sorts just before the page's row, so the pages are shuffled once. A file is
+written under a temporary name, then renamed; what a task wrote is listed in a
+manifest, which Spark commits with the job. A repeated attempt makes the same bytes
+and leaves a file that is already there; files not in the manifest do not count.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("5f2b0f6e-8d0c-4b57-9a55-6a1d1f5a7c11")
@@ -101,7 +103,11 @@ class _Writer:
         if self.out is None:
             return None
         self.out.close()
-        self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        there = self.fs.get_file_info(f"{self.root}/{self.name}")
+        if there.type == pafs.FileType.File and there.size == self.size:  # an earlier attempt's
+            self.fs.delete_file(self.temporary)
+        else:
+            self.fs.move(self.temporary, f"{self.root}/{self.name}")
         row, self.out, self.seq = (self.shard, self.name, self.count, self.size, self.sha.hexdigest()), None, self.seq + 1
         return row
 
@@ -109,35 +115,68 @@ class _Writer:
 MANIFEST = "shard int, file string, records long, bytes long, sha1 string"
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes: int = 1 << 25, least_payload: int = 0, bins: int = 1 << 14) -> DataFrame:
-    """Writes the archives and their manifest below ``folder``; returns the manifest.
+def _cells(sizes: DataFrame, shard_bytes: int, bits: int) -> list[tuple[int, int, int]]:
+    """(shift, id >> shift, bytes) of disjoint ranges of ids, each within a quarter of a shard or of one id.
+
+    A pass over the ids makes at most 2**bits ranges; a further one cuts those that hold
+    too much, as finely as the widest of them needs. What the driver gets grows with
+    the number of shards, not of pages.
+    """
+    ends = sizes.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    if ends["low"] is None:
+        return []
+    shift, done, rest = max(0, (ends["high"] - ends["low"]).bit_length() - bits), [], sizes
+    while True:
+        key = F.shiftright("page_id", shift)
+        found = rest.groupBy(key.alias("key")).agg(F.sum("size").alias("bytes"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect()
+        over = [r for r in found if shift and r["bytes"] > shard_bytes / 4]
+        done += [(shift, r["key"], r["bytes"]) for r in found if not shift or r["bytes"] <= shard_bytes / 4]
+        if not over:
+            return done
+        keys = sizes.sparkSession.createDataFrame([(r["key"],) for r in over], "key long")
+        rest = rest.join(F.broadcast(keys), key == keys["key"], "left_semi")
+        parts = 4 * max(r["bytes"] for r in over) // shard_bytes
+        step = max(parts.bit_length() + 1, min(bits, 20 - len(over).bit_length()))
+        shift = max(0, min(shift - 1, max((r["high"] - r["low"]).bit_length() for r in over) - step))
+
+
+def _with_shard(df: DataFrame, cells: list[tuple[int, int, int]], shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds the number of the shard: neighbouring cells together, as many as fit."""
+    tables, held, shard = {}, 0, 0
+    for shift, key, size in sorted(cells, key=lambda c: c[1] << c[0]):
+        if held and held + size > shard_bytes:
+            held, shard = 0, shard + 1
+        held += size
+        tables.setdefault(shift, []).append((key, shard))
+    found = [F.lit(None).cast("int")]
+    for shift, rows in tables.items():
+        table = df.sparkSession.createDataFrame(rows, f"_key{shift} long, _shard{shift} int")
+        df = df.join(F.broadcast(table), F.shiftright("page_id", shift) == F.col(f"_key{shift}"), "left")
+        found.append(F.col(f"_shard{shift}"))
+    return df.withColumn("shard", F.coalesce(*found)), shard + 1
+
+
+def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes: int = 1 << 25, least_payload: int = 0, bits: int = 14) -> DataFrame:
+    """Writes the archives and their manifest below the new ``folder``; returns the manifest.
 
     Of pages with equal payloads of ``least_payload`` bytes or more, that with the
     smallest id is a response and the others revisit it.
 
     Defined cases: a null html is an empty payload, a null url a made-up one; rows with a
     null id are left out (a record needs one); of rows that share an id and payload
-    one is a response and the others revisit that id; extra columns are ignored; no
-    rows give an empty manifest.
+    one is a response and the others revisit that id; rows of one id share a shard;
+    extra columns are ignored; no rows give an empty manifest.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     data = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    marks = data.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n"))
-    ends = data.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, width = ends["low"] or 0, ((ends["high"] or 0) - (ends["low"] or 0)) // bins + 1
-    place = F.floor((F.col("page_id") - low) / width).cast("int")
-    held, shards = 0, []
-    for r in sorted(data.groupBy(place.alias("bin")).agg(F.sum(F.octet_length("payload") + 512).alias("b")).collect()):  # a row a bin at most
-        new = not shards or held + r["b"] > shard_bytes
-        held = r["b"] + held * (not new)
-        shards.append((r["bin"], (shards[-1][1] if shards else -1) + new))
-    of_bin = pages.sparkSession.createDataFrame(shards, "bin int, shard int")
+    marks = stored(data.select("page_id", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n")))
+    cells = _cells(marks.select("page_id", (F.col("n").cast("long") + 512).alias("size")), shard_bytes, bits)
     first = marks.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("held")).where(f"held > 1 and n >= {least_payload}")
     verdict = marks.join(first, ["sha", "n"]).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first"))
     verdict = verdict.dropDuplicates(["page_id", "first"]).withColumn("kind", F.lit(0))
     both = verdict.unionByName(data.withColumn("first", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
-    n_shards = shards[-1][1] + 1 if shards else 1
-    both = both.withColumn("bin", place).join(F.broadcast(of_bin), "bin").repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "kind", "payload")
+    both, n_shards = _with_shard(both, cells, shard_bytes)
+    both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("page_id", "kind", "payload")
 
     def scan(batches):
         writer, rows, at, first_of, seen = None, [], None, set(), set()

@@ -155,3 +155,21 @@ def test_sharding(docs, empty):
         assert slots == list(range(len(slots)))
     assert sharding.shard(empty, shards=3).count() == 0
     assert sharding.smallest_capacity([4, 4, 4, 4], 2) == 8 and sharding.cut_points([4, 4, 4, 4], 2) == [2]
+
+
+def test_warc_shards_of_scattered_ids(spark, tmp_path):
+    ids = [-(2**63), -5, *range(200), 2**40, 2**40 + 1, 2**63 - 1]
+    pages = spark.createDataFrame([(i, None, f"{i % 90}" * 400) for i in ids], "page_id long, url string, html string")
+    first = {}
+    for i in ids:
+        first.setdefault(i % 90, i)
+    written = []
+    for name in ("one", "two"):
+        folder = (tmp_path / name).as_uri()
+        manifest = warc.write(pages, folder, shard_bytes=1 << 14, bits=4)
+        written.append(sorted(map(tuple, manifest.collect())))
+        got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(manifest, folder).collect()}
+        assert got == {i: (400 * len(str(i % 90)), *(("response", None) if first[i % 90] == i else ("revisit", first[i % 90]))) for i in ids}
+    assert written[0] == written[1] and len(written[0]) > 10 and max(r[2] for r in written[0]) < 40
+    empty = (tmp_path / "none").as_uri()
+    assert warc.read(warc.write(pages.limit(0), empty), empty).count() == 0
