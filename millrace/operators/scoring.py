@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.experience import max_experience, seniority
-from ..functions.text import norm_title, quals_section, tokens
+from ..functions.text import let, norm_title, quals_section, tokens
 
 # Skills and what counts as a mention.
 SKILLS = {
@@ -62,10 +62,11 @@ def mentions(c: Column, aliases: list[str]) -> Column:
 def skill_hits(c: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """JON-7: skills mentioned in a text, in the order of the lexicon; a mention is a substring.
 
-    The lexicon is configuration, so each alias is one native test; nothing is joined.
+    The lexicon is configuration, so each alias is one native test; nothing is joined. The
+    text in lower case is bound once instead of being made again for each alias.
     """
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_compact(F.array(*[F.when(mentions(low, aliases), F.lit(skill)) for skill, aliases in (lexicon or SKILLS).items()]))
+    found = lambda low: F.array_compact(F.array(*[F.when(mentions(low, aliases), F.lit(skill)) for skill, aliases in (lexicon or SKILLS).items()]))
+    return let(F.lower(F.coalesce(c, F.lit(""))), found)
 
 
 def flatten_profiles(profiles: DataFrame) -> DataFrame:
@@ -95,16 +96,16 @@ def penalty(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """SCO-2: adds ``penalty`` (0 or less) and ``penalty_notes`` for a posting's company and title."""
     df = df.join(F.broadcast(rule_sets(patterns)))
     company = F.lower(F.trim(F.coalesce("company", F.lit(""))))
-    avoided, title = (company != "") & F.array_contains("_companys", company), norm_title(F.col("title"))
-    hits = F.sort_array(F.array_intersect(tokens(F.col("title")), "_keywords"))
-    inside = F.slice(F.filter("_phrases", lambda p: F.contains(title, p)), 1, 2)
+    df = df.withColumn("_avoided", (company != "") & F.array_contains("_companys", company)).withColumn("_norm", norm_title(F.col("title")))
+    df = df.withColumn("_hits", F.sort_array(F.array_intersect(tokens(F.col("title")), "_keywords"))).withColumn("_inside", F.slice(F.filter("_phrases", lambda p: F.contains(F.col("_norm"), p)), 1, 2))
+    avoided, hits, inside = F.col("_avoided"), F.col("_hits"), F.col("_inside")
     words = F.when(F.size(hits) > 0, F.least(F.size(hits) * WORD_COST, F.lit(WORD_CAP))).when(F.size(inside) > 0, WORD_COST).otherwise(0)
     notes = F.array_compact(F.array(
         F.when(avoided, F.concat(F.lit("avoided company ("), F.trim("company"), F.lit(")"))),
         F.when(F.size(hits) > 0, F.concat(F.lit("reject-pattern: "), F.array_join(F.slice(hits, 1, 3), ","))).when(F.size(inside) > 0, F.concat(F.lit("reject-pattern: "), F.array_join(inside, "|"))),
     ))
     cost = -(F.when(avoided, COMPANY_COST).otherwise(0) + words)
-    return df.withColumn("penalty", cost.cast("int")).withColumn("penalty_notes", notes).drop("_keywords", "_phrases", "_companys", "_locations", "_skills")
+    return df.withColumn("penalty", cost.cast("int")).withColumn("penalty_notes", notes).drop("_keywords", "_phrases", "_companys", "_locations", "_skills", "_avoided", "_norm", "_hits", "_inside")
 
 
 def score(df: DataFrame, profiles: DataFrame, patterns: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
@@ -132,9 +133,10 @@ def score(df: DataFrame, profiles: DataFrame, patterns: DataFrame, lexicon: dict
         F.when(F.size("_twice") > 0, F.concat(F.lit("quals: "), top("_twice", 3))),
         F.when(F.col("_senior").isNotNull(), F.concat(F.lit("seniority flag ("), F.col("_senior"), F.lit(")"))),
     )), F.col("penalty_notes"))
-    reason = F.when(F.size(notes) > 0, F.substring(F.array_join(notes, "; "), 1, 280)).otherwise("no skill overlap detected")
+    df = df.withColumn("_notes", notes)
+    reason = F.when(F.size("_notes") > 0, F.substring(F.array_join("_notes", "; "), 1, 280)).otherwise("no skill overlap detected")
     df = df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")).withColumn("score_reason", reason)
-    return df.drop("_own", "_quals", "_asked", "_named", "_twice", "_years", "_senior", "penalty", "penalty_notes")
+    return df.drop("_own", "_quals", "_asked", "_named", "_twice", "_years", "_senior", "_notes", "penalty", "penalty_notes")
 
 
 def rescore(jobs: DataFrame, profiles: DataFrame, patterns: DataFrame, only_zero: bool = True, with_description: bool = False) -> DataFrame:
