@@ -55,6 +55,35 @@ def test_pii(spark):
     assert masked == ["mail <EMAIL>, ip <IP> or 1.2.3.400", "card <CARD> phone <PHONE>", "iban <IBAN>", None, ""]
 
 
+def test_pii_base_kinds_against_plain_patterns(spark):
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind, found):
+        number = re.sub("[^0-9]", "", found)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in found.split("."))
+        if kind == "card":
+            twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
+            return 12 <= len(number) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+        return kind == "email" or 9 <= len(number) <= 15
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(letters), 120)) for letters in ("a1.@-", "0123456789 -", "+1() .-29", "12.", "a.@+\u00e9\U0001f600 1\n", "0 -+@.a") for _ in range(150)]
+    texts += ["1" * 50000, "a." * 4000 + "@", "1." * 5000, "+1" * 20000, "@a." * 20000, "4111 1111 1111 1111 " * 2000, "\u0661" * 16, "0001.002.03.255"]
+    want = {}
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), n, m.end(), k) for n, (k, p) in enumerate(kinds.items()) for m in re.finditer(p, t) if good(k, m.group()))
+        want[i] = hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, e, k in spans).encode()).hexdigest()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["base_sha256"] for r in pii.digest(df).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
 def test_sentencepiece(docs):
     v = Vocabulary(P.path("piece_bpe_32k.model"))
     text = "▁the▁antireti▁ö☃x"
