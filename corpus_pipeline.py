@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_table, stored
+from millrace.llm.common import packed, read_table, stored, unpacked
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.pii import masked
@@ -17,19 +17,22 @@ from millrace.llm.toxicity import score, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labels outside one fold."""
     model = train(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    return score(docs, model).where("score < 0.5").select(*docs.columns)
+    return unpacked(score(packed(docs, "doc_id", "text"), model).where("score < 0.5"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
-    kept = near_duplicates(docs, percent=80, shingle=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs.select("doc_id", "text"), percent=80, shingle=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words in windows of 20 that also start earlier; a text of nothing else goes."""
-    found = remove_repeats(docs, window=20, texts=True).where("n_removed < n_words or n_words = 0")
-    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # no name of theirs can clash
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(to) for c, to in place.items()])
+    found = remove_repeats(plain, window=20, texts=True).where("n_removed < n_words or n_words = 0")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[(new[c] if c in new else F.col(place[c])).alias(c) for c in docs.columns])
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,5 +48,16 @@ def pieces_for(total: int, each: int, least: int) -> int:
     return max(least, math.ceil(total / each), 1)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others as one struct ``_row``, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*(rest or [F.lit(True).alias("_none")])).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that ``packed`` was given, some of them with new values."""
+    return df.select(*[new.get(c, F.col(c) if c in df.columns and c in ("doc_id", "text") else F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -16,6 +16,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 # Possessive quantifiers where backtracking can't lead to another match, so that
 # long runs without a match are not scanned again and again.
 PATTERNS = {
@@ -110,7 +112,8 @@ def find(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """Adds ``_text`` and ``pii``: array of (start, end, kind, score, base) in order.
 
     Defined cases: a null text is an empty one, and neither has spans; all rows are
-    kept, repeated ones too; other columns pass through unchanged.
+    kept, repeated ones too; other columns pass through unchanged, but for those named as what
+    is added, or ``_m_``, ``_s_`` or ``_p_`` and a kind (``masked`` keeps these, too).
     """
     df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     kinds = list(PATTERNS)
@@ -149,10 +152,10 @@ def masked(docs: DataFrame) -> DataFrame:
     Spans that overlap an earlier one are covered by its replacement as far as it
     reaches and dropped beyond. Texts without spans, null ones too, stay as they are.
     """
-    found = find(docs)
+    found = find(packed(docs, "text"))
     step = lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"),
     )
     text = F.aggregate("pii", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
-    return found.withColumn("text", F.when(F.size("pii") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    return unpacked(found, docs.columns, text=F.when(F.size("pii") > 0, text).otherwise(F.col("text")))

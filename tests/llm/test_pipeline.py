@@ -111,3 +111,23 @@ def test_packing(spark, outputs):
         total += at
     assert sorted(p["sequence_id"] * 4096 + p["offset"] + k for p in pieces for k in range(p["length"])) == list(range(total))
     assert pipeline.run(spark, SF).count() == len(pieces)
+
+
+EXTRA = ["score", "pii", "_text", "_kept", "kept", "kept_text", "n_words", "n_removed", "chunk", "_id", "component_id", "length", "_extra", "spans"]
+
+
+def test_odd_rows_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    values = [(0, text), (1, text), (1, text), (None, "mail a@b.co now"), (None, None), (2, None), (3, ""), (4, "word " * 30000), (5, "call +1 (555) 123-4567 now")]
+    kind = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"{c} string" for c in EXTRA]])
+    odd = spark.createDataFrame([(*v, None, None, None, *[f"x{v[0]}"] * len(EXTRA)) for v in values], kind)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stored(stage(spark, docs, SF))
+            assert out.columns == docs.columns, name
+            found = out.collect()
+            assert all(r[c] == f"x{r['doc_id']}" for r in found for c in EXTRA), name
+            docs = out
+        last = pipeline.STAGES[-1][1](spark, docs, SF)
+        assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in found}
+    assert stored(pipeline.STAGES[3][1](spark, odd, SF)).where("text = 'call <PHONE> now' or text = 'mail <EMAIL> now'").count() == 2
