@@ -5,12 +5,13 @@ payload, from an exact histogram of the ids, so the cuts depend on the pages alo
 Bins of the histogram that hold too much are cut again until they fit, so ids may
 have gaps of any width. Each shard is one task; in it records are in order of their
 id and files roll at ``file_bytes`` of compressed size. Every record is a gzip member
-of its own, with digests and lengths made anew. Record ids and dates are derived from
-the page, so equal pages give equal files.
+of its own, with digests and lengths made anew. Record ids are derived from the page's
+id, its payload's digest and the number of earlier rows with both, dates are fixed, so
+equal pages give equal files and no two records share an id.
 
 Ids, digests and lengths are stored once. The histogram and the verdict which pages
-repeat a payload come from them; the verdict travels to the writer as a row of its own
-that sorts just before the page's row, so the pages are shuffled once. A file is
+repeat a payload come from them; the verdict on an id and payload travels to the writer
+as a row of its own that sorts just before their rows, so the pages are shuffled once. A file is
 written under a temporary name, then renamed; what a task wrote is listed in a
 manifest, which Spark commits with the job. A repeated attempt makes the same bytes
 and leaves a file that is already there; files not in the manifest do not count.
@@ -39,27 +40,31 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, str(page_id))}>"
+def record_id(page_id: int, digest: str, nth: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {digest} {nth}')}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record of the page ``refers_to``; not compressed."""
+def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, nth: int = 0) -> bytes:
+    """A response record, or a revisit record of the page ``refers_to``; not compressed.
+
+    ``nth`` counts the earlier records of the same id and payload.
+    """
+    digest = payload_digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     url = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, nth)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{payload_digest(block)}",
         f"X-Page-ID: {page_id}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -164,37 +169,37 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
 
     Defined cases: a null html is an empty payload, a null url a made-up one; rows with a
     null id are left out (a record needs one); of rows that share an id and payload
-    one is a response and the others revisit that id; rows of one id share a shard;
+    one is a response and the others revisit that id; payloads of one id are told apart by
+    digest, each a response or a revisit of its own; rows of one id share a shard;
     extra columns are ignored; no rows give an empty manifest.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     data = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    marks = stored(data.select("page_id", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n")))
+    data = data.withColumn("sha", F.unhex(F.sha1("payload")))
+    marks = stored(data.select("page_id", "sha", F.octet_length("payload").alias("n")))
     cells = _cells(marks.select("page_id", (F.col("n").cast("long") + 512).alias("size")), shard_bytes, bits)
     first = marks.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("held")).where(f"held > 1 and n >= {least_payload}")
-    verdict = marks.join(first, ["sha", "n"]).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first"))
-    verdict = verdict.dropDuplicates(["page_id", "first"]).withColumn("kind", F.lit(0))
+    verdict = marks.join(first, ["sha", "n"]).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first")
+    verdict = verdict.dropDuplicates(["page_id", "sha"]).withColumn("kind", F.lit(0))
     both = verdict.unionByName(data.withColumn("first", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
     both, n_shards = _with_shard(both, cells, shard_bytes)
-    both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("page_id", "kind", "payload")
+    both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("page_id", "sha", "kind", "url")
 
     def scan(batches):
-        writer, rows, at, first_of, seen = None, [], None, set(), set()
+        writer, rows, at, first, nth = None, [], None, None, 0
         for batch in batches:
-            for page_id, url, data_, first_, kind, shard_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, data_, sha, first_, kind, shard_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None or writer.shard != shard_:
                     rows.append(writer.close() if writer else None)
                     writer = _Writer(folder, shard_, file_bytes)
-                if page_id != at:
-                    at, first_of, seen = page_id, set(), set()
+                if (page_id, sha) != at:
+                    at, first, nth = (page_id, sha), None, 0
                 if kind == 0:
-                    first_of.add(first_)
+                    first = first_
                     continue
-                refers = min(first_of, default=None)
-                key = hashlib.sha1(data_).digest()
-                again = refers is not None and (refers != page_id or key in seen)
-                seen.add(key)
-                rows.append(writer.add(record(page_id, url, data_, refers if again else None)))
+                again = first is not None and (first != page_id or nth)
+                rows.append(writer.add(record(page_id, url, data_, first if again else None, nth)))
+                nth += 1
             done, rows = [r for r in rows if r], []
             if done:
                 yield table(done)
@@ -204,7 +209,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "file", "records", "bytes", "sha1"])
 
-    manifest = both.select("page_id", "url", "payload", "first", "kind", "shard").mapInArrow(scan, MANIFEST)
+    manifest = both.select("page_id", "url", "payload", "sha", "first", "kind", "shard").mapInArrow(scan, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
