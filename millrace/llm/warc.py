@@ -7,7 +7,8 @@ have gaps of any width. Each shard is one task; in it records are in order of th
 id and files roll at ``file_bytes`` of compressed size. Every record is a gzip member
 of its own, with digests and lengths made anew. Record ids are derived from the page's
 id, its payload's digest and the number of earlier rows with both, dates are fixed, so
-equal pages give equal files and no two records share an id.
+equal pages give equal files and no two records share an id. Pages without an id are
+placed by a hash of payload and url instead, in shards of their own.
 
 Ids, digests and lengths are stored once. The histogram and the verdict which pages
 repeat a payload come from them; the verdict on an id and payload travels to the writer
@@ -40,31 +41,38 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int, digest: str, nth: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {digest} {nth}')}>"
+def _name(no_id: bool, key: int) -> str:
+    """What record ids call a page: its id, or for none its place in the order."""
+    return f"none-{key}" if no_id else str(key)
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, nth: int = 0) -> bytes:
+def record_id(page: str, digest: str, nth: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page} {digest} {nth}')}>"
+
+
+def record(page: str, url: str | None, payload: bytes, refers_to: str | None, nth: int = 0) -> bytes:
     """A response record, or a revisit record of the page ``refers_to``; not compressed.
 
-    ``nth`` counts the earlier records of the same id and payload.
+    Pages are given by ``_name``; ``nth`` counts the earlier records of the same page and payload.
     """
     digest = payload_digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    url = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
+    url = (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, digest, nth)}",
+        f"WARC-Record-ID: {record_id(page, digest, nth)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{payload_digest(block)}",
-        f"X-Page-ID: {page_id}",
     ]
+    if not page.startswith("none"):
+        head.append(f"X-Page-ID: {page}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+        head += [] if refers_to.startswith("none") else [f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -145,20 +153,23 @@ def _cells(sizes: DataFrame, shard_bytes: int, bits: int) -> list[tuple[int, int
         shift = max(0, min(shift - 1, max((r["high"] - r["low"]).bit_length() for r in over) - step))
 
 
-def _with_shard(df: DataFrame, cells: list[tuple[int, int, int]], shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds the number of the shard: neighbouring cells together, as many as fit."""
-    tables, held, shard = {}, 0, 0
-    for shift, key, size in sorted(cells, key=lambda c: c[1] << c[0]):
-        if held and held + size > shard_bytes:
-            held, shard = 0, shard + 1
-        held += size
-        tables.setdefault(shift, []).append((key, shard))
-    found = [F.lit(None).cast("int")]
-    for shift, rows in tables.items():
-        table = df.sparkSession.createDataFrame(rows, f"_key{shift} long, _shard{shift} int")
-        df = df.join(F.broadcast(table), F.shiftright("page_id", shift) == F.col(f"_key{shift}"), "left")
-        found.append(F.col(f"_shard{shift}"))
-    return df.withColumn("shard", F.coalesce(*found)), shard + 1
+def _with_shard(df: DataFrame, cells: dict[bool, list[tuple[int, int, int]]], shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds the number of the shard: neighbouring cells together, as many as fit; pages with an id, then those without."""
+    found, shard = [F.lit(None).cast("int")], -1
+    for no_id, ranges in cells.items():
+        tables, held = {}, 0
+        shard += bool(ranges)
+        for shift, key, size in sorted(ranges, key=lambda c: c[1] << c[0]):
+            if held and held + size > shard_bytes:
+                held, shard = 0, shard + 1
+            held += size
+            tables.setdefault(shift, []).append((key, shard))
+        for shift, rows in tables.items():
+            name = f"{shift}_{int(no_id)}"
+            table = df.sparkSession.createDataFrame(rows, f"_key{name} long, _shard{name} int")
+            df = df.join(F.broadcast(table), (F.col("no_id") == no_id) & (F.shiftright("key", shift) == F.col(f"_key{name}")), "left")
+            found.append(F.col(f"_shard{name}"))
+    return df.withColumn("shard", F.coalesce(*found)), max(1, shard + 1)
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes: int = 1 << 25, least_payload: int = 0, bits: int = 14) -> DataFrame:
@@ -168,37 +179,42 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
     smallest id is a response and the others revisit it.
 
     Defined cases: a null html is an empty payload, a null url a made-up one; rows with a
-    null id are left out (a record needs one); of rows that share an id and payload
+    null id have records without X-Page-ID and are a response only if no page with an id has
+    their payload (refers_to is null in revisits of such a response; their WARC-Refers-To names
+    it), and share a shard only if they share payload and url; of rows that share an id and payload
     one is a response and the others revisit that id; payloads of one id are told apart by
     digest, each a response or a revisit of its own; rows of one id share a shard;
     extra columns are ignored; no rows give an empty manifest.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    data = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    data = data.withColumn("sha", F.unhex(F.sha1("payload")))
-    marks = stored(data.select("page_id", "sha", F.octet_length("payload").alias("n")))
-    cells = _cells(marks.select("page_id", (F.col("n").cast("long") + 512).alias("size")), shard_bytes, bits)
-    first = marks.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("held")).where(f"held > 1 and n >= {least_payload}")
-    verdict = marks.join(first, ["sha", "n"]).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first")
-    verdict = verdict.dropDuplicates(["page_id", "sha"]).withColumn("kind", F.lit(0))
-    both = verdict.unionByName(data.withColumn("first", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
+    data = pages.select(F.col("page_id").cast("long").alias("key"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    data = data.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("no_id", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.xxhash64("sha", "url")))
+    marks = stored(data.select("no_id", "key", "sha", F.octet_length("payload").alias("n")))
+    sized = F.col("key").alias("page_id"), (F.col("n").cast("long") + 512).alias("size")
+    cells = {no_id: _cells(marks.where(F.col("no_id") == no_id).select(*sized), shard_bytes, bits) for no_id in (False, True)}
+    least = F.min(F.when(~F.col("no_id"), F.col("key")))
+    first = marks.groupBy("sha", "n").agg(F.coalesce(least, F.min("key")).alias("first"), least.isNull().alias("first_no_id"), F.count(F.lit(1)).alias("held")).where(f"held > 1 and n >= {least_payload}")
+    verdict = marks.join(first, ["sha", "n"]).select("no_id", "key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first", "first_no_id")
+    verdict = verdict.dropDuplicates(["no_id", "key", "sha"]).withColumn("kind", F.lit(0))
+    both = verdict.unionByName(data.withColumn("first", F.lit(None).cast("long")).withColumn("first_no_id", F.lit(None).cast("boolean")).withColumn("kind", F.lit(1)))
     both, n_shards = _with_shard(both, cells, shard_bytes)
-    both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("page_id", "sha", "kind", "url")
+    both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("no_id", "key", "sha", "kind", "url")
 
     def scan(batches):
         writer, rows, at, first, nth = None, [], None, None, 0
         for batch in batches:
-            for page_id, url, data_, sha, first_, kind, shard_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for no_id, key, url, data_, sha, first_, first_no_id, kind, shard_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None or writer.shard != shard_:
                     rows.append(writer.close() if writer else None)
                     writer = _Writer(folder, shard_, file_bytes)
-                if (page_id, sha) != at:
-                    at, first, nth = (page_id, sha), None, 0
+                page = _name(no_id, key)
+                if (page, sha) != at:
+                    at, first, nth = (page, sha), None, 0
                 if kind == 0:
-                    first = first_
+                    first = _name(first_no_id, first_)
                     continue
-                again = first is not None and (first != page_id or nth)
-                rows.append(writer.add(record(page_id, url, data_, first if again else None, nth)))
+                again = first is not None and (first != page or nth)
+                rows.append(writer.add(record(page, url, data_, first if again else None, nth)))
                 nth += 1
             done, rows = [r for r in rows if r], []
             if done:
@@ -209,7 +225,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "file", "records", "bytes", "sha1"])
 
-    manifest = both.select("page_id", "url", "payload", "sha", "first", "kind", "shard").mapInArrow(scan, MANIFEST)
+    manifest = both.select("no_id", "key", "url", "payload", "sha", "first", "first_no_id", "kind", "shard").mapInArrow(scan, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -234,7 +250,7 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """The pages in the archives of the manifest, checked against their digests.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and with
-    ``payload`` the html of responses. A payload that does not match its digest raises.
+    ``payload`` the html of responses; page_id is null where the page's was. A payload that does not match its digest raises.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["html"] if payload else [])]
 
@@ -252,8 +268,8 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         if headers["WARC-Type"] == "response" and (len(body) != size or payload_digest(body) != digest):
                             raise ValueError(f"{name}: record {headers['WARC-Record-ID']} does not match its digest")
-                        back = headers.get("X-Refers-To-Page-ID")
-                        values = [int(headers["X-Page-ID"]), size, digest, headers["WARC-Type"], int(back) if back else None, body.decode() if headers["WARC-Type"] == "response" else None]
+                        own, back = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID")
+                        values = [int(own) if own else None, size, digest, headers["WARC-Type"], int(back) if back else None, body.decode() if headers["WARC-Type"] == "response" else None]
                         for column, x in zip(rows, values, strict=False):
                             column.append(x)
                         if len(rows[0]) >= 2000:

@@ -24,3 +24,21 @@ def test_payloads_of_one_id_are_told_apart(spark, tmp_path):
         if h["WARC-Type"] == "revisit":
             to = by_id[h["WARC-Refers-To"]]
             assert (to["WARC-Type"], to["X-Page-ID"], to["WARC-Payload-Digest"]) == ("response", h["X-Refers-To-Page-ID"], h["WARC-Payload-Digest"])
+
+
+def test_pages_without_an_id_are_kept(spark, tmp_path):
+    rows = [(1, "a", "x" * 50), (None, "b", "x" * 50), (None, "c", "none"), (None, "d", "none"), (None, "d", "none"), (None, None, None), (-3, "e", "y" * 50), *[(None, f"u{i}", f"{i}" * 300) for i in range(100)]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    written = []
+    for name in ("one", "two"):
+        folder = tmp_path / name
+        manifest = warc.write(pages.repartition(3) if name == "two" else pages, folder.as_uri(), shard_bytes=1 << 13)
+        written.append(sorted(map(tuple, manifest.collect())))
+    assert written[0] == written[1] and len(written[0]) > 4
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.read(manifest, folder.as_uri()).collect())
+    other = [(0, 4, "response", 0), (0, 4, "revisit", 0), (0, 4, "revisit", 0), (0, 0, "response", 0), (0, 50, "revisit", 1), (1, 50, "response", 0), (-3, 50, "response", 0)]
+    assert got == sorted(other + [(0, 300 * len(str(i)), "response", 0) for i in range(100)])
+    found = heads(manifest, folder)
+    by_id = {h["WARC-Record-ID"]: h for h in found}
+    assert len(by_id) == len(rows) and sorted(h["WARC-Target-URI"] for h in found if "b" <= h["WARC-Target-URI"] < "e") == ["b", "c", "d", "d"]
+    assert all(by_id[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in found if h["WARC-Type"] == "revisit")
