@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import packed, read_table, stored, unpacked
-from millrace.llm.minhash import near_duplicates
+from millrace.llm.minhash import LEAST_ID, near_duplicates, text_sha
 from millrace.llm.packing import pack
 from millrace.llm.pii import masked
 from millrace.llm.substring_dedup import remove_repeats
@@ -21,9 +21,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent=80, shingle=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles.
+
+    Rows are told apart by id and text; of rows that share both, one stays, all if they have no word.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), percent=80, shingle=5, sha=True)
+    kept = found.groupBy(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_id"), F.col("sha").alias("_sha")).agg(F.count(F.lit(1)).alias("_held"), F.count_if("kept").alias("_kept"))
+    kept = stored(kept.where("_kept > 0"))
+    rows = packed(docs, "doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))).withColumn("_sha", text_sha(F.col("text")))
+    one_of, key = kept.where("_held > _kept"), ["_id", "_sha"]
+    if one_of.limit(1).count():
+        rows = rows.join(kept.where("_held = _kept"), key, "left_semi").unionByName(rows.join(one_of, key, "left_semi").dropDuplicates(key))
+    else:
+        rows = rows.join(kept, key, "left_semi")
+    return unpacked(rows, docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 1. A scan turns each document into a digest of its shingle set, the set's size, a
    signature of the low ``bits`` bits of its minima (packed), and band keys made
-   of full minima. Documents with equal sets form a class, kept as its smallest id.
+   of full minima. Documents with equal sets form a class, known up to the last step by a
+   64-bit key made of its digest, so rows that share an id are told apart by their sets.
 2. Classes that share a band key are candidates. First each is paired with the
    smallest class that shares one of its bands: one pair for each at most.
 3. Pairs are estimated from the packed signatures by bit counts, corrected for
@@ -26,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_for, shuffle_partitions, stored
@@ -117,8 +118,12 @@ def rows_for(percent: int) -> int:
     return next((rows for rows in (6, 5, 4, 3, 2) if (1 - (percent / 100) ** rows) ** (MINIMA // rows) < 1e-6), 1)
 
 
+def text_sha(text: Column) -> Column:
+    return F.unhex(F.sha1(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
-    """doc_id, n (shingles), digest, sig, bands (keys made of ``rows`` minima each); the last three null without shingles."""
+    """doc_id, sha (of the text), row (a number of its own), n (shingles), digest, sig, bands (keys made of ``rows`` minima each); digest, sig and bands null without shingles."""
     n_bands = MINIMA // rows
 
     def scan(batches):
@@ -137,28 +142,33 @@ def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
                     keys[:, b] = k
                 digest, sigs, bands = ([None] * (j - i) for _ in range(3))
                 for r, d in enumerate(full):
-                    digest[d] = hashlib.blake2b(h[bounds[d] : bounds[d + 1]].tobytes(), digest_size=16).digest()
+                    digest[d] = _digest(h[bounds[d] : bounds[d + 1]])
                     sigs[d], bands[d] = sig[r].tobytes(), keys[r].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "digest", "sig", "bands"],
+                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "sha", "n", "digest", "sig", "bands"],
                 )
 
-    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return data.mapInArrow(scan, "doc_id long, n long, digest binary, sig binary, bands array<long>")
+    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_sha(F.col("text")).alias("sha"))
+    return data.mapInArrow(scan, "doc_id long, sha binary, n long, digest binary, sig binary, bands array<long>").withColumn("row", F.monotonically_increasing_id())
+
+
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, set) of the wanted documents: the sorted hashes as bytes."""
+    """(id, set) of the classes of all documents with the wanted doc_ids: key and the sorted hashes as bytes."""
 
     def scan(batches):
         for batch in batches:
             for i, j, bounds, h in shingle_sets(batch.column(1), shingle):
-                sets = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sets, pa.binary())], ["id", "set"])
+                sets = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "set"])
 
-    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return data.join(ids, "id", "left_semi").mapInArrow(scan, "id long, set binary")
+    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = data.join(ids, "doc_id", "left_semi").mapInArrow(scan, "digest binary, set binary")
+    return found.select(F.xxhash64("digest").alias("id"), "set")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +248,7 @@ def _field_links(percent: int):
     return scan
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block: int = 512, sha: bool = False) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
     Words are the texts' with A-Z in lower case. Returns one row for each input row:
@@ -247,22 +257,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
 
     Defined cases: null, empty and wordless texts have no shingles and are linked
     with nothing; a null id counts as the least id and comes back as null; rows that
-    share an id share its links (of their texts one stands for the id in confirmation), and
-    are all kept if the id is; a table without rows
-    gives none; extra columns are ignored.
+    share an id have the links of their own texts, and of those in a group whose least id
+    they share, one row is kept; a table without rows gives none; extra columns are ignored.
+    With ``sha`` the SHA-1 of each row's text comes back, too.
     """
     rows = stored(signatures(docs, shingle, rows_for(percent)))
     full = rows.where("n > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = stored(
-        full.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), "n", "sig", "bands")
+        full.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["digest"]).select(F.xxhash64("digest").alias("id"), "doc_id", "n", "sig", "bands")
     )
     buckets = members.select("id", F.explode("bands").alias("band"))
     shared = stored(buckets.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "pivot"))
     held = buckets.join(shared, "band")
     stars = held.where("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     ids = shared.select(F.col("pivot").alias("id")).union(held.select("id")).distinct()
-    sets = stored(_sets(docs, ids, shingle).dropDuplicates(["id"]))
+    wanted = members.join(ids, "id", "left_semi").select("doc_id").distinct()
+    sets = stored(_sets(docs, wanted, shingle).dropDuplicates(["id"]))
     sigs = members.select("id", "sig", "n")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -294,12 +305,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
     more = stored(blocks.join(sets, "id").groupBy("bundle", "x", "y").applyInArrow(_field_links(percent), "a long, b long"))
     if more.limit(1).count():
         found = components(links.unionByName(more))
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    result = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
+    keyed = classes.withColumn("id", F.xxhash64("digest"))
+    kept = keyed.join(found, "id").groupBy("component").agg(F.min("rep").alias("least"), F.min_by("digest", F.struct("rep", "digest")).alias("keeper"))
+    named = keyed.join(found.join(kept, "component"), "id", "left").select("digest", F.coalesce("least", "rep").alias("component"), F.coalesce("keeper", "digest").alias("keeper"))
+    result = rows.select("doc_id", "sha", "row", "n", "digest").join(named, "digest", "left")
     own = F.coalesce("component", "doc_id")
+    # of rows that share the kept id and its set, the first stays
+    again = full.groupBy("digest", "doc_id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"), "first")
+    result = result.join(again, (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("_i")), "left")
     return result.select(
         F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(own != LEAST_ID, own).alias("component_id"),
-        (own == F.col("doc_id")).alias("kept"),
+        ((own == F.col("doc_id")) & F.coalesce(F.col("digest") == F.col("keeper"), F.lit(True)) & F.coalesce(F.col("row") == F.col("first"), F.lit(True))).alias("kept"),
+        *(["sha"] if sha else []),
     )
