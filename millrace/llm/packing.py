@@ -9,84 +9,116 @@ ids are shuffled. All sequences but the last are full.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .words import slices, words
-
-# The tokenizer's own rule for pieces of a word.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: chr(b) for b in _printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_printable))}
+from .words import U64, Words, same, slices, words
 
 
 class WordTokenizer:
     """Ids of words, each distinct word tokenized once while it stays in memory.
 
-    Holds for tokenizers that drop white space and never join two words, such as
-    the word-end BPE this module is used with. Plain words take the direct way to
-    the BPE model; all others (control characters, scripts with context-dependent
-    case, special tokens) go through the whole tokenizer. ``most`` bounds the memory.
+    Holds for tokenizers that drop white space and never join two words, such as the
+    word-end BPE this module is used with. New words are tokenized together, joined by
+    spaces, and parted again by the places of their tokens. The memory is an
+    open-addressing table in arrays; a word counts as known only if its bytes
+    are those kept with the hash. ``most`` bounds the words held.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.most = self.tokenizer.model, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.n, self.slots = 0, np.full(1 << 16, -1, np.int32)
+        self.hash = np.zeros(1 << 14, U64)
+        self.at, self.size, self.first, self.count = (np.zeros(1 << 14, np.int64) for _ in range(4))  # bytes and ids of each word
+        self.letters, self.n_letters = np.zeros(1 << 18, np.uint8), 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def encode_word(self, word: str) -> list[int]:
-        if max(word) >= "ɐ" or "İ" in word or "<|" in word or not word.isprintable() or not unicodedata.is_normalized("NFC", word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECES.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize("".join(map(_BYTES.__getitem__, piece.encode())))]
-            out += ids
+
+    def find(self, w: Words, of: np.ndarray) -> np.ndarray:
+        """Number of the entry with the hash of each of the words ``of``, or -1."""
+        h, mask, out, left = w.hash[of], len(self.slots) - 1, np.full(len(of), -1, np.int64), np.arange(len(of))
+        place = (h & U64(mask)).astype(np.int64)
+        while len(left):
+            entry = self.slots[place[left]].astype(np.int64)
+            hit = (entry >= 0) & (self.hash[entry] == h[left])
+            out[left[hit]] = entry[hit]
+            left = left[(entry >= 0) & ~hit]
+            place[left] = (place[left] + 1) & mask
         return out
 
-    def add(self, key: int, word: str) -> int:
-        ids, n = self.encode_word(word), len(self.number)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)))
-        if n == len(self.first):
-            self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
+    def right(self, w: Words, of: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether the entries hold the words' bytes."""
+        wide = self.letters[: len(self.letters) // 8 * 8].view(U64)
+        return same(w.wide, w.first[of], w.last[of] - w.first[of], wide, self.at[entry], self.size[entry], w.data, self.letters)
+
+    def tokenize(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each word)."""
+        parts = [x.decode() for x in parts]
+        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        begin = np.cumsum([0, *[len(x) + 1 for x in parts[:-1]]])
+        place = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+        return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begin, place, "right") - 1, minlength=len(parts))
+
+    def add(self, w: Words, of: np.ndarray, known: bool) -> np.ndarray:
+        """Makes entries of the words ``of``; with ``known`` they can be found later."""
+        n, sizes = len(of), w.last[of] - w.first[of]
+        words_ = [w.data[a:b].tobytes() for a, b in zip(w.first[of].tolist(), w.last[of].tolist(), strict=True)]
+        ids, count = self.tokenize(words_)
+        fill = lambda x, used, new: x if used + new <= len(x) - 16 else np.concatenate((x, np.zeros(max(len(x), -(-new // 8) * 8 + 16), x.dtype)))
+        self.pool, self.letters = fill(self.pool, self.used, len(ids)), fill(self.letters, self.n_letters, int(sizes.sum()))
+        self.hash, self.at, self.size, self.first, self.count = (fill(x, self.n, n) for x in (self.hash, self.at, self.size, self.first, self.count))
+        new = slice(self.n, self.n + n)
+        self.hash[new], self.size[new], self.count[new] = w.hash[of], sizes, count
+        self.at[new] = self.n_letters + np.cumsum(sizes) - sizes
+        self.first[new] = self.used + np.cumsum(count) - count
+        self.letters[self.n_letters : self.n_letters + sizes.sum()] = np.frombuffer(b"".join(words_), np.uint8)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.first[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.number[key] = n
-        return n
+        self.n, self.n_letters, self.used = self.n + n, self.n_letters + int(sizes.sum()), self.used + len(ids)
+        entries = np.arange(self.n - n, self.n)
+        if known:
+            if 2 * self.n > len(self.slots):
+                old = self.slots[self.slots >= 0].astype(np.int64)
+                self.slots = np.full(4 * len(self.slots), -1, np.int32)
+                self._place(old)
+            self._place(entries)
+        return entries
+
+    def _place(self, entries: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        place = (self.hash[entries] & U64(mask)).astype(np.int64)
+        while len(entries):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = entries[free]
+            left = self.slots[place] != entries
+            entries, place = entries[left], (place[left] + 1) & mask
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each), ``end`` after each text."""
-        if len(self.number) > self.most or len(self.pieces) > self.most:
+        if self.n > self.most:
             self.clear()
         w = words(texts)
-        distinct, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        known = np.empty(len(distinct), np.int64)
-        for i, key in enumerate(distinct.tolist()):
-            n = self.number.get(key)
-            if n is None:
-                n = self.add(key, w.data[w.first[at[i]] : w.last[at[i]]].tobytes().decode())
-            known[i] = n
-        number = known[back] if len(back) else np.zeros(0, np.int64)
-        size = self.size[number]
+        every = np.arange(len(w.hash))
+        number = self.find(w, every)
+        new = every[number < 0]
+        if len(new):
+            _, at = np.unique(w.hash[new], return_index=True)
+            for i in range(0, len(at), 1 << 15):
+                self.add(w, new[at[i : i + (1 << 15)]], True)
+            number[new] = self.find(w, new)
+        odd = every[~self.right(w, every, number)]  # another word has the same hash
+        if len(odd):
+            number[odd] = self.add(w, odd, False)
+        size = self.count[number]
         per_doc = np.bincount(w.doc, size, w.n_docs).astype(np.int64)
         tail = int(end is not None)
         out = np.empty(int(per_doc.sum()) + tail * w.n_docs, np.uint32)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .words import _BASES, _LOWER, U64, mix, powers, slices, text_bytes
+from .words import _LOWER, U64, eights, run_hash, slices, text_bytes
 
 TABLE_BITS = 20
 FACTORS = 8
@@ -43,15 +43,14 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edge[at] = True
     first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:n]))
     last = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-    up, down = powers(_BASES[0], n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
+    lower = _LOWER[data]
+    wide = eights(lower)
     doc = np.searchsorted(at, first, "right") - 1
     docs, found = [], []
     for kind in (0, 4, 5, 6):
         sel = np.flatnonzero(last - first > kind)
         end = last[sel] if kind == 0 else first[sel] + kind
-        h = mix((total[end] - total[first[sel]]) * down[first[sel]] + U64(kind * 0x12BE59BD9B4E019))
+        h = run_hash(lower, wide, first[sel], end, kind)
         docs.append(doc[sel])
         found.append(h >> U64(64 - TABLE_BITS))
     both = np.unique((np.concatenate(docs).astype(U64) << U64(TABLE_BITS)) | np.concatenate(found))

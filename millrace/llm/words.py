@@ -2,10 +2,16 @@
 
 Words are the runs matched by ``[^\\x20\\x09-\\x0D]+``. All hashes are over the
 UTF-8 bytes, so no text is decoded. A text's words never run into the next's.
+
+A word's hash takes eight bytes at a time through a bijective mixer, starting from
+its length; words of a kilobyte and more have a BLAKE2 hash. No sum or polynomial is
+taken, so no arrangement of letters gives equal hashes other than by chance. Where a
+result rests on words being equal, ``same`` compares their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Pairs of odd multipliers, one pair for each family of gram hashes.
+_TIMES = [(U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)), (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)), (U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3))]
+LONG = 1024
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,24 +39,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The bytes as 64-bit integers, with room to load eight bytes from every place."""
+    out = np.zeros(len(data) // 8 + 2, U64)
+    out.view(np.uint8)[: len(data)] = data
+    return out
+
+
+def load(wide: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place on as an integer; ``size`` above 8 counts as 8."""
+    i, shift = at >> 3, ((at & 7) << 3).astype(U64)
+    return ((wide[i] >> shift) | (wide[i + 1] << (U64(64) - shift))) & _MASK[np.minimum(size, 8)]
+
+
+def run_hash(data: np.ndarray, wide: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each run of bytes [first, last)."""
+    size = last - first
+    h = mix(size.astype(U64) + U64(seed << 40) + U64(0x5851F42D4C957F2D))
+    h = mix(h ^ load(wide, first, size))
+    more, step = np.flatnonzero((size > 8) & (size < LONG)), 8
+    while len(more):
+        h[more] = mix(h[more] ^ load(wide, first[more] + step, size[more] - step))
+        step += 8
+        more = more[size[more] > step]
+    for i in np.flatnonzero(size >= LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]], digest_size=8, salt=seed.to_bytes(2, "little")).digest(), "little")
+    return h
+
+
+def same(a: np.ndarray, a_first: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_size: np.ndarray, a_data: np.ndarray, b_data: np.ndarray) -> np.ndarray:
+    """Whether the runs of bytes of two tables (``eights``) are equal, one by one."""
+    out = a_size == b_size
+    left, step = np.flatnonzero(out & (a_size < LONG)), 0
+    while len(left):
+        size = a_size[left] - step
+        good = load(a, a_first[left] + step, size) == load(b, b_first[left] + step, size)
+        out[left[~good]] = False
+        step += 8
+        left = left[good & (size > 8)]
+    for i in np.flatnonzero(out & (a_size >= LONG)):
+        out[i] = np.array_equal(a_data[a_first[i] : a_first[i] + a_size[i]], b_data[b_first[i] : b_first[i] + b_size[i]])
+    return out
 
 
 @dataclass
 class Words:
-    """The words of several texts: first and last byte + 1, number of the text, hash."""
+    """The words of several texts: their bytes (also as ``eights``), first and last byte + 1, number of the text, hash."""
 
     data: np.ndarray
+    wide: np.ndarray
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
@@ -90,7 +129,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     n_docs, n = len(at) - 1, len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, none, np.zeros(0, U64), n_docs)
+        return Words(data, eights(data), none, none, none, np.zeros(0, U64), n_docs)
     if lower:
         data = _LOWER[data]
     inside = ~_SPACE[data]
@@ -107,23 +146,35 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     after |= edge[1:]
     last = np.flatnonzero(inside & after) + 1
     doc = np.searchsorted(at, first, "right") - 1
-    up, down = powers(_BASES[0], n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=total[1:])
-    h = (total[last] - total[first]) * down[first]
-    h ^= (last - first).astype(U64) << U64(40)
-    return Words(data, first, last, doc, mix(h), n_docs)
+    wide = eights(data)
+    return Words(data, wide, first, last, doc, run_hash(data, wide, first, last), n_docs)
+
 
+def word_numbers(w: Words) -> np.ndarray:
+    """A number for each word: equal exactly where the words' bytes are."""
+    _, at, number = np.unique(w.hash, return_index=True, return_inverse=True)
+    rep, size = at[number], w.last - w.first
+    odd = np.flatnonzero(~same(w.wide, w.first, size, w.wide, w.first[rep], size[rep], w.data, w.data))
+    known: dict[bytes, int] = {}
+    for i in odd:  # equal hashes of different words
+        number[i] = known.setdefault(w.data[w.first[i] : w.last[i]].tobytes(), len(at) + len(known))
+    return number
 
-def grams(w: Words, k: int, which: int = 1) -> np.ndarray:
+
+def grams(w: Words, k: int, which: int = 0) -> np.ndarray:
     """Hash of the k words from each word on; only good where all k lie in one text."""
-    n = len(w.hash)
+    n, (p, q) = len(w.hash), _TIMES[which]
     if n < k:
         return np.zeros(0, U64)
-    up, down = powers(_BASES[which], n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(w.hash * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    out, held, power, size = None, 0, w.hash, 1  # hashes of ``held`` and of ``size`` words
+    while True:
+        if k & size:
+            out = power if out is None else mix(out[: n - held - size + 1] * p + power[held : n - size + 1] * q)
+            held += size
+            if held == k:
+                return out[: n - k + 1] if k > 1 else mix(out * p)
+        power = mix(power[: n - 2 * size + 1] * p + power[size : n - size + 1] * q)
+        size *= 2
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
