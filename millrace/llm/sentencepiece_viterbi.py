@@ -2,9 +2,12 @@
 
 The best path maximises the sum of the pieces' scores from the model file (ties: the
 longer last piece). The stream keeps back pointers for a window of positions only.
-Once the window is twice the longest piece, all positions that a piece could still
-extend are traced back; where their paths converge on one boundary, the ids before it
-are committed and the window is cut there.
+Once the window is twice the longest piece, the paths of all positions that a piece
+could still extend, and that some path reaches, are followed back together, the latest
+always first, until one boundary is left; the ids before it are committed and the window
+is cut there. A position that no path reaches has none that survives and does not count. Paths that do not
+converge, as in a run of one sign whose pieces can be shifted against each other, are
+followed again when the window has doubled, so such a run takes time in proportion, too.
 
 Where no piece of the vocabulary holds two neighbouring characters in that order,
 every path has a boundary between them. Texts are cut there first, and each distinct
@@ -20,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 SPACE = "▁"
+_PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Vocabulary:
@@ -33,14 +38,14 @@ class Vocabulary:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.byte_ids = [-1] * 256
-        self.bytes_of = {}
+        self.bytes_of = [x.replace(SPACE, " ").encode() for x in self.pieces]
         self.trie: dict = {}
         self.longest, lowest = 1, 0.0
         pairs = set()
         for i, piece in enumerate(self.pieces):
             if p.is_byte(i):
                 value = int(piece[3:5], 16)
-                self.byte_ids[value], self.bytes_of[i] = i, value
+                self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 node = self.trie
                 for ch in piece:
@@ -51,13 +56,14 @@ class Vocabulary:
                 pairs.update(zip(piece, piece[1:], strict=False))
         self.unknown_id, self.unknown_score = p.unk_id(), lowest - 10
         self.pairs, self.most = pairs, most
+        self.sign = np.array(self._plain(SPACE), "<u4").tobytes()
         self.words: dict[str, bytes] = {}
         self.segments: dict[str, list[int]] = {}
 
-    def stream(self, text: str):
-        """Yields lists of ids as soon as they are certain."""
+    def stream(self, text: str, commits: list | None = None):
+        """Yields lists of ids as soon as they are certain; ``commits`` collects (size of the window, characters committed)."""
         trie, unknown, longest = self.trie, self.unknown_score, self.longest
-        base, n = 0, len(text)  # positions below base are committed
+        base, n, due = 0, len(text), 2 * longest  # positions below base are committed
         best, back = [0.0], [(0, -1)]
         for i in range(n):
             here, node, j = best[i - base], trie, i
@@ -68,21 +74,20 @@ class Vocabulary:
                     self._relax(best, back, j - base, here + found[1], i, found[0])
             if "" not in trie.get(text[i], ()):
                 self._relax(best, back, i + 1 - base, here + unknown, i, -1)
-            if i + 1 - base >= 2 * longest:
-                common = None
-                for end in range(i + 1, base + len(best)):
-                    path = set()
-                    at = end
-                    while at > base:
-                        at = back[at - base][0]
-                        path.add(at)
-                    path.add(end)
-                    common = path if common is None else common & path
-                cut = max(common)
+            if i + 1 - base >= due:
+                open_ends = {base + e for e in range(i + 1 - base, len(best)) if best[e] is not None}
+                while len(open_ends) > 1:
+                    last = max(open_ends)
+                    open_ends.remove(last)
+                    open_ends.add(back[last - base][0])
+                cut = open_ends.pop()
+                if commits is not None:
+                    commits.append((i + 1 - base, cut - base))
                 if cut > base:
                     yield self._trace(text, back, base, cut)
                     best, back = best[cut - base :], [(0, -1), *back[cut - base + 1 :]]
                     base = cut
+                due = 2 * max(longest, i + 1 - base) if cut == base else max(2 * longest, i + 1 - base + longest)
         if n > base:
             yield self._trace(text, back, base, n)
 
@@ -90,7 +95,7 @@ class Vocabulary:
     def _relax(best: list, back: list, at: int, score: float, start: int, piece: int) -> None:
         while len(best) <= at:
             best.append(None)
-            back.append((0, -1))
+            back.append(None)
         if best[at] is None or score > best[at]:
             best[at], back[at] = score, (start, piece)
 
@@ -101,11 +106,14 @@ class Vocabulary:
             if piece >= 0:
                 out.append([piece])
             else:
-                raw = text[start:end].encode()
-                out.append([self.byte_ids[b] for b in raw] if min(self.byte_ids) >= 0 else [self.unknown_id])
+                out.append(self._plain(text[start:end]))
             end = start
         return [i for part in reversed(out) for i in part]
 
+    def _plain(self, text: str) -> list[int]:
+        """Ids of the text's bytes, or the unknown piece where the vocabulary has no byte pieces."""
+        return [self.byte_ids[b] for b in text.encode()] if min(self.byte_ids) >= 0 else [self.unknown_id]
+
     def segment(self, text: str) -> list[int]:
         ids = self.segments.get(text)
         if ids is None:
@@ -124,31 +132,31 @@ class Vocabulary:
         return np.array(out, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; a space is put before the text."""
+        """Ids as little-endian unsigned 32-bit integers; a space is put before the text.
+
+        The sign that stands for a space in pieces is encoded by its bytes where the text itself
+        holds it, so that it comes back as it was.
+        """
         if not text:
             return b""
         if len(self.words) + len(self.segments) > self.most:
             self.words.clear()
             self.segments.clear()
         words, parts = self.words, []
-        for part in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE)):
-            ids = words.get(part)
-            if ids is None:
-                ids = self.word(part)
-                if len(part) <= 64:
-                    words[part] = ids
-            parts.append(ids)
+        for n, piece in enumerate((" " + text).split(SPACE)):
+            if n:
+                parts.append(self.sign)
+            for part in _PARTS.findall(piece.replace(" ", SPACE)):
+                ids = words.get(part)
+                if ids is None:
+                    ids = self.word(part)
+                    if len(part) <= 64:
+                        words[part] = ids
+                parts.append(ids)
         return b"".join(parts)
 
     def decode(self, ids: np.ndarray) -> str:
-        out = bytearray()
-        for i in ids.tolist():
-            value = self.bytes_of.get(i)
-            if value is None:
-                out += self.pieces[i].encode()
-            else:
-                out.append(value)
-        return out.decode(errors="replace").replace(SPACE, " ")[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")[1:]
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -165,7 +173,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """Adds ``ids`` (binary, little-endian unsigned 32-bit), replacing a column of that name.
 
     A null text has null ids, an empty one none. All rows are kept. Characters without
-    a piece become their UTF-8 byte pieces.
+    a piece become their UTF-8 byte pieces. Other columns pass through unchanged, but for one named ``ids``.
     """
     docs = docs.drop("ids")
     at = docs.columns.index("text")
@@ -176,7 +184,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             ids = [None if t is None else v.encode(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(scan, docs.select("*", F.lit(b"").alias("ids")).schema)
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField("ids", BinaryType())]))
 
 
 def decode(df: DataFrame, model: str) -> DataFrame:
@@ -197,7 +205,11 @@ def decode(df: DataFrame, model: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: doc_id, n_ids, ids_crc32, and whether the ids decode to the text (▁ read as a space)."""
+    """Per document: doc_id, n_ids, ids_crc32, and whether the ids decode to the text.
+
+    ``doc_id`` is cast to long. A null text counts as an empty one, which has no ids; all
+    rows are kept, repeated ones and null ids too; extra columns are ignored; no rows give none.
+    """
 
     def scan(batches):
         v = vocabulary_at(model)
@@ -207,7 +219,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
                 ids = v.encode(t or "")
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
-                same.append(v.decode(np.frombuffer(ids, "<u4")) == (t or "").replace(SPACE, " "))
+                same.append(v.decode(np.frombuffer(ids, "<u4")) == (t or ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
