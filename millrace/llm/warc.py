@@ -116,15 +116,43 @@ class _Writer:
         if self.out is None:
             return None
         self.out.close()
-        there = self.fs.get_file_info(f"{self.root}/{self.name}")
-        if there.type == pafs.FileType.File and there.size == self.size:  # an earlier attempt's
-            self.fs.delete_file(self.temporary)
-        else:
-            self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        final = f"{self.root}/{self.name}"
+        there = self.fs.get_file_info(final)
+        if there.type == pafs.FileType.File:  # an earlier attempt's
+            if there.size == self.size and self._sha1(final) == self.sha.hexdigest():
+                self.fs.delete_file(self.temporary)
+                final = None
+            else:
+                self.fs.delete_file(final)
+        if final:
+            self.fs.move(self.temporary, final)
         row, self.out, self.seq = (self.shard, self.name, self.count, self.size, self.sha.hexdigest()), None, self.seq + 1
         return row
 
 
+    def _sha1(self, path: str) -> str:
+        with self.fs.open_input_stream(path, compression=None) as stream:
+            return _Counted(stream).rest().sha.hexdigest()
+
+
+class _Counted:
+    """A stream that counts and digests what is read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha1()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+    def rest(self) -> _Counted:
+        while self.read(1 << 20):
+            pass
+        return self
+
+
 MANIFEST = "shard int, file string, records long, bytes long, sha1 string"
 
 
@@ -172,11 +200,14 @@ def _with_shard(df: DataFrame, cells: dict[bool, list[tuple[int, int, int]]], sh
     return df.withColumn("shard", F.coalesce(*found)), max(1, shard + 1)
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes: int = 1 << 25, least_payload: int = 0, bits: int = 14) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes: int = 1 << 25, least_payload: int = 0, bits: int = 14, most_shards: int = 1 << 14) -> DataFrame:
     """Writes the archives and their manifest below the new ``folder``; returns the manifest.
 
     Of pages with equal payloads of ``least_payload`` bytes or more, that with the
-    smallest id is a response and the others revisit it.
+    smallest id is a response and the others revisit it. There are about ``most_shards``
+    shards at most: with more than ``most_shards * shard_bytes`` of payload they grow beyond
+    ``shard_bytes``, and so does a task, but not its memory nor its files. So the shuffle has a
+    bounded number of partitions, and the driver a bounded number of ranges of ids.
 
     Defined cases: a null html is an empty payload, a null url a made-up one; rows with a
     null id have records without X-Page-ID and are a response only if no page with an id has
@@ -190,6 +221,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
     data = pages.select(F.col("page_id").cast("long").alias("key"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     data = data.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("no_id", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.xxhash64("sha", "url")))
     marks = stored(data.select("no_id", "key", "sha", F.octet_length("payload").alias("n")))
+    volume = marks.agg(F.sum(F.col("n").cast("long") + 512)).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-volume // most_shards))
     sized = F.col("key").alias("page_id"), (F.col("n").cast("long") + 512).alias("size")
     cells = {no_id: _cells(marks.where(F.col("no_id") == no_id).select(*sized), shard_bytes, bits) for no_id in (False, True)}
     least = F.min(F.when(~F.col("no_id"), F.col("key")))
@@ -231,38 +264,48 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
 
 
 def records(stream):
-    """(headers, block) of each record of an archive; reads a member at a time."""
+    """(headers, block) of each record of an archive; reads a member at a time and raises where one is cut short."""
     inflate, text, data = zlib.decompressobj(31), io.BytesIO(), stream.read(1 << 20)
+    begun = False
     while data:
+        begun = True
         text.write(inflate.decompress(data))
         data = inflate.unused_data
         if inflate.eof:
-            raw = text.getvalue()
-            head, _, rest = raw.partition(b"\r\n\r\n")
+            head, _, rest = text.getvalue().partition(b"\r\n\r\n")
             headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            yield headers, rest[: int(headers["Content-Length"])]
-            inflate, text = zlib.decompressobj(31), io.BytesIO()
+            size = int(headers["Content-Length"])
+            if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
+                raise ValueError(f"record {headers.get('WARC-Record-ID')} is not as long as it says")
+            yield headers, rest[:size]
+            inflate, text, begun = zlib.decompressobj(31), io.BytesIO(), False
         if not data:
             data = stream.read(1 << 20)
+    if begun:
+        raise ValueError("the archive ends inside a record")
 
 
 def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """The pages in the archives of the manifest, checked against their digests.
+    """The pages in the archives of the manifest, checked against it and their digests.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and with
-    ``payload`` the html of responses; page_id is null where the page's was. A payload that does not match its digest raises.
+    ``payload`` the html of responses; page_id is null where the page's was. An archive whose
+    records, bytes or SHA-1 are not those of the manifest raises, as does one that
+    ends inside a record, and a payload that does not match its digest.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["html"] if payload else [])]
 
     def scan(batches):
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, n_records, n_bytes, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, root = pafs.FileSystem.from_uri(folder)
-                rows = [[] for _ in names]
+                rows, found = [[] for _ in names], 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    stream = _Counted(stream)
                     for headers, block in records(stream):
                         if headers["WARC-Type"] == "warcinfo":
                             continue
+                        found += 1
                         http, _, body = block.partition(b"\r\n\r\n")
                         size = int(http.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -275,13 +318,15 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                         if len(rows[0]) >= 2000:
                             yield out(rows)
                             rows = [[] for _ in names]
+                    if (found, stream.size, stream.sha.hexdigest()) != (n_records, n_bytes, sha):
+                        raise ValueError(f"{name} has {found} records and {stream.size} bytes, or another SHA-1, where the manifest has {n_records} and {n_bytes}")
                 yield out(rows)
 
     def out(rows):
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names)
 
-    files = manifest.select("file").repartition(max(1, manifest.count()), "file")
+    files = manifest.select("file", "records", "bytes", "sha1").repartition(max(1, manifest.count()), "file")
     return files.mapInArrow(scan, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * payload)
 
 

@@ -1,5 +1,7 @@
 """Archives of pages whose ids are not unique."""
 
+import pytest
+
 from millrace.llm import warc
 
 
@@ -42,3 +44,39 @@ def test_pages_without_an_id_are_kept(spark, tmp_path):
     by_id = {h["WARC-Record-ID"]: h for h in found}
     assert len(by_id) == len(rows) and sorted(h["WARC-Target-URI"] for h in found if "b" <= h["WARC-Target-URI"] < "e") == ["b", "c", "d", "d"]
     assert all(by_id[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in found if h["WARC-Type"] == "revisit")
+
+
+def test_archives_that_are_not_as_the_manifest_says_raise(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 3000) for i in range(30)], "page_id long, url string, html string")
+    manifest = warc.write(pages, tmp_path.as_uri())
+    (file,) = [r["file"] for r in manifest.collect()]
+    whole = (tmp_path / file).read_bytes()
+    member = whole.index(b"\x1f\x8b\x08", len(whole) * 2 // 3)  # the start of a record
+    for broken in (whole[:member], whole[: member + 40], whole[:-3], whole + whole[member:], whole[:-5] + b"xxxxx", b""):
+        (tmp_path / file).write_bytes(broken)
+        with pytest.raises(Exception, match="manifest|inside a record|incorrect|Error"):
+            warc.read(manifest, tmp_path.as_uri()).collect()
+    (tmp_path / file).write_bytes(whole)
+    assert warc.read(manifest, tmp_path.as_uri()).count() == 30
+
+
+def test_a_file_of_an_earlier_attempt_is_taken_only_if_it_is_the_same(tmp_path):
+    def made():
+        w = warc._Writer(tmp_path.as_uri(), 0, 1 << 20)
+        w.add(warc.record("1", "u", b"payload", None))
+        return w.close()
+
+    row = made()
+    path = tmp_path / row[1]
+    good = path.read_bytes()
+    for found in (good, good[:-1], good[:-9] + b"123456789"):
+        path.write_bytes(found)
+        assert made() == row and path.read_bytes() == good
+    assert [p.name for p in tmp_path.iterdir()] == [row[1]]
+
+
+def test_shards_grow_where_there_would_be_too_many(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 3000) for i in range(60)], "page_id long, url string, html string")
+    manifest = warc.write(pages, tmp_path.as_uri(), shard_bytes=1, most_shards=4)
+    assert 1 < manifest.select("shard").distinct().count() <= 8
+    assert warc.read(manifest, tmp_path.as_uri()).count() == 60
