@@ -1,14 +1,15 @@
 """Near-duplicate groups by b-bit MinHash, confirmed on full shingle sets.
 
-1. A scan turns each document into a digest of its shingle set, the set's size, a
-   signature of the low ``bits`` bits of its minima (packed), and band keys made
-   of full minima. Documents with equal sets form a class, known up to the last step by a
-   64-bit key made of its digest, so rows that share an id are told apart by their sets.
+1. A scan turns each document into a digest of its words in order, the size of its
+   shingle set, a signature of the low ``bits`` bits of its minima (packed), and band keys
+   made of full minima. Documents with equal words form a class, known up to the last
+   step by its 128-bit digest, so rows that share an id are told apart by their words.
 2. Classes that share a band key are candidates. First each is paired with the
    smallest class that shares one of its bands: one pair for each at most.
 3. Pairs are estimated from the packed signatures by bit counts, corrected for
    chance collisions, and those that may reach the threshold are confirmed on the
-   full sets.
+   full sets, made anew from both texts: words and shingles count as equal there only if
+   their bytes are (``shingle_numbers``), whatever their hashes.
 4. Buckets whose members are then in different components are still open. Members
    that meet in open buckets form a field. A field's sets are compared in blocks,
    each pair of blocks in a task of its own, and only links that join components come
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces_for, shuffle_partitions, stored
 from .components import components
-from .words import U64, Words, grams, mix, slices, words
+from .words import _LOWER, U64, Words, grams, mix, slices, text_bytes, word_numbers, words
 
 MINIMA, BITS = 120, 4
 _rng = np.random.default_rng(20240229)
@@ -64,6 +65,33 @@ def shingle_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, h
 
 
+def shingle_numbers(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, number) of the distinct shingles of all texts, in order; numbers are equal exactly where the words are."""
+    w = words(texts)
+    number, n = word_numbers(w), len(w.hash) - size + 1
+    good = np.flatnonzero(w.doc[:n] == w.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
+    doc = w.doc[good]
+    _, at, shingle = np.unique(grams(w, size)[good] if n > 0 else np.zeros(0, U64), return_index=True, return_inverse=True)
+    rep, equal = good[at[shingle]], np.ones(len(good), bool)
+    for k in range(size):
+        equal &= number[good + k] == number[rep + k]
+    known: dict[bytes, int] = {}
+    name = lambda *words_: known.setdefault(np.array(words_).tobytes(), len(at) + len(known))
+    for i in np.flatnonzero(~equal):  # equal hashes of different shingles
+        shingle[i] = name(*number[good[i] : good[i] + size])
+    count = w.per_doc()
+    short = np.flatnonzero((count > 0) & (count < size))
+    if len(short):
+        first = np.cumsum(count) - count
+        doc = np.concatenate((doc, short))
+        shingle = np.concatenate((shingle, [name(*number[first[d] : first[d] + count[d]]) for d in short]))
+    order = np.lexsort((shingle, doc))
+    doc, shingle = doc[order], shingle[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
+    return doc[new], shingle[new]
+
+
 def shingle_sets(texts: pa.Array, size: int, lower: bool = True):
     """For each slice of texts: first row, row after the last, bounds of the rows' sets, the sorted distinct hashes."""
     for i, j in slices(texts):
@@ -142,7 +170,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
                     keys[:, b] = k
                 digest, sigs, bands = ([None] * (j - i) for _ in range(3))
                 for r, d in enumerate(full):
-                    digest[d] = _digest(h[bounds[d] : bounds[d + 1]])
+                    digest[d] = _digest(_plain(texts[i + int(d)]))
                     sigs[d], bands[d] = sig[r].tobytes(), keys[r].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -153,39 +181,62 @@ def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
     return data.mapInArrow(scan, "doc_id long, sha binary, n long, digest binary, sig binary, bands array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
-def _digest(found: np.ndarray) -> bytes:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+_TO_LOWER = _LOWER.tobytes()
+
+
+def _plain(text: pa.Scalar) -> bytes:
+    """The words in lower case, joined by one space."""
+    return b" ".join(text.as_buffer().to_pybytes().translate(_TO_LOWER).split())
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, set) of the classes of all documents with the wanted doc_ids: key and the sorted hashes as bytes."""
+def _digest(plain: bytes) -> bytes:
+    return hashlib.blake2b(plain, digest_size=16).digest()
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, plain) of the classes of all documents with the wanted doc_ids: digest and words."""
 
     def scan(batches):
         for batch in batches:
-            for i, j, bounds, h in shingle_sets(batch.column(1), shingle):
-                sets = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "set"])
+            plain = [_plain(x) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in plain], pa.binary()), pa.array(plain, pa.binary())], ["id", "plain"])
 
     data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = data.join(ids, "doc_id", "left_semi").mapInArrow(scan, "digest binary, set binary")
-    return found.select(F.xxhash64("digest").alias("id"), "set")
+    return data.join(ids, "doc_id", "left_semi").mapInArrow(scan, "id binary, plain binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
     def scan(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
-
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(scan, "a long, b long, linked boolean").where("linked").select("a", "b")
+            both = pa.concat_arrays([batch.column(2), batch.column(3)])
+            order = pa.array(np.arange(2 * batch.num_rows).reshape(2, -1).T.ravel())
+            both, keep = both.take(order), []  # the texts of a pair lie together
+            for i, j in _pair_slices(both):
+                doc, number = shingle_numbers(both[2 * i : 2 * j], shingle)
+                n = np.bincount(doc, minlength=2 * (j - i)).reshape(-1, 2)
+                of = doc >> 1
+                at = np.lexsort((number, of))
+                same_ = (of[at][1:] == of[at][:-1]) & (number[at][1:] == number[at][:-1])
+                held = np.bincount(of[at][1:][same_], minlength=j - i)
+                keep.append((100 * held >= percent * (n.sum(1) - held)) & (held > 0))
+            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    left, right = texts.select(F.col("id").alias("a"), F.col("plain").alias("ta")), texts.select(F.col("id").alias("b"), F.col("plain").alias("tb"))
+    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return full.mapInArrow(scan, "a binary, b binary")
+
+
+def _pair_slices(both: pa.Array, most: int = 1 << 21):
+    """Ranges of pairs with about ``most`` bytes of text each; one pair at least."""
+    _, at = text_bytes(both)
+    i, n = 0, len(both) // 2
+    while i < n:
+        j = max(i + 1, (int(np.searchsorted(at, at[2 * i] + most, "right")) - 1) // 2)
+        yield i, j
+        i = j
 
 
 def _likely(percent: int):
@@ -204,11 +255,10 @@ def _likely(percent: int):
     return scan
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _overlaps(owner: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of all intersections of n sets, given as (set, element) in order of the set."""
+    both = np.zeros((n, n), np.float32)
+    _, column, times = np.unique(column, return_inverse=True, return_counts=True)
     owner, column = owner[times[column] > 1], column[times[column] > 1]
     if not len(column):
         return both
@@ -217,33 +267,33 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[order], column[order]
     for i in range(0, int(column[-1]) + 1, 4096):
         part = slice(*np.searchsorted(column, (i, i + 4096)))
-        m = np.zeros((len(sets), 4096), np.float32)
+        m = np.zeros((n, 4096), np.float32)
         m[owner[part], column[part] - i] = 1
         both += m @ m.T
     return both
 
 
-def _field_links(percent: int):
+def _field_links(percent: int, shingle: int):
     """Confirmed links between different components of each field: as many as join them, no more."""
 
     def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("field", "ascending"), ("id", "ascending")])
-        field, ids, component = (table[c].to_numpy() for c in ("field", "id", "component"))
-        sets = [np.frombuffer(x, U64) for x in table["set"].to_pylist()]
-        at = np.flatnonzero(np.concatenate(([True], field[1:] != field[:-1])))
+        table = table.sort_by([("field", "ascending"), ("id", "ascending")]).combine_chunks()
+        ids, field, component = (table[c].to_pylist() for c in ("id", "field", "component"))
+        texts = table["plain"].combine_chunks()
+        at = [i for i in range(len(ids)) if not i or field[i] != field[i - 1]]
         a, b = [], []
         for i, j in zip(at, [*at[1:], len(ids)], strict=True):
-            part = sets[i:j]
-            n = np.array([len(x) for x in part])
-            both = _overlaps(part).astype(np.int64)
-            comp = component[i:j].copy()
-            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            owner, number = shingle_numbers(texts[i:j], shingle)
+            n = np.bincount(owner, minlength=j - i)
+            both = _overlaps(owner, number, j - i).astype(np.int64)
+            _, comp = np.unique(np.array(component[i:j], object), return_inverse=True)
+            linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
             for x, y in zip(*np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1)), strict=True):
                 if comp[x] != comp[y]:
                     a.append(ids[i + x])
                     b.append(ids[i + y])
                     comp[comp == comp[y]] = comp[x]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return scan
 
@@ -263,9 +313,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
     """
     rows = stored(signatures(docs, shingle, rows_for(percent)))
     full = rows.where("n > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"))
     members = stored(
-        full.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["digest"]).select(F.xxhash64("digest").alias("id"), "doc_id", "n", "sig", "bands")
+        full.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["digest"]).select(F.col("digest").alias("id"), "doc_id", "n", "sig", "bands")
     )
     buckets = members.select("id", F.explode("bands").alias("band"))
     shared = stored(buckets.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "pivot"))
@@ -273,15 +323,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
     stars = held.where("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     ids = shared.select(F.col("pivot").alias("id")).union(held.select("id")).distinct()
     wanted = members.join(ids, "id", "left_semi").select("doc_id").distinct()
-    sets = stored(_sets(docs, wanted, shingle).dropDuplicates(["id"]))
+    texts = stored(_texts(docs, wanted).dropDuplicates(["id"]))
     sigs = members.select("id", "sig", "n")
 
     def likely(pairs: DataFrame) -> DataFrame:
         left, right = sigs.toDF("a", "sa", "na"), sigs.toDF("b", "sb", "nb")
         full_rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb")
-        return full_rows.mapInArrow(_likely(percent), "a long, b long")
+        return full_rows.mapInArrow(_likely(percent), "a binary, b binary")
 
-    links = stored(_confirm(likely(stars), sets, percent))
+    links = stored(_confirm(likely(stars), texts, percent, shingle))
     found = components(links)
     labelled = held.join(found, "id", "left").select("band", "pivot", "id", F.coalesce("component", "id").alias("component"))
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
@@ -297,22 +347,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block:
     blocks = placed.join(sizes, "field").withColumn("mine", mine)
     blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("field"), F.lit(bundles))).otherwise(F.col("field")).alias("bundle"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("field"), F.lit(bundles))).otherwise(F.xxhash64("field")).alias("bundle"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.least("mine", "other")).alias("x"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("mine", "other")).alias("y"),
         "field", "id", "component",
     )
-    more = stored(blocks.join(sets, "id").groupBy("bundle", "x", "y").applyInArrow(_field_links(percent), "a long, b long"))
+    more = stored(blocks.join(texts, "id").groupBy("bundle", "x", "y").applyInArrow(_field_links(percent, shingle), "a binary, b binary"))
     if more.limit(1).count():
         found = components(links.unionByName(more))
-    keyed = classes.withColumn("id", F.xxhash64("digest"))
-    kept = keyed.join(found, "id").groupBy("component").agg(F.min("rep").alias("least"), F.min_by("digest", F.struct("rep", "digest")).alias("keeper"))
-    named = keyed.join(found.join(kept, "component"), "id", "left").select("digest", F.coalesce("least", "rep").alias("component"), F.coalesce("keeper", "digest").alias("keeper"))
-    result = rows.select("doc_id", "sha", "row", "n", "digest").join(named, "digest", "left")
-    own = F.coalesce("component", "doc_id")
+    keyed = classes.withColumnRenamed("digest", "id")
+    kept = keyed.join(found, "id").groupBy("component").agg(F.min("rep").alias("least"), F.min_by("id", F.struct("rep", "id")).alias("keeper"))
+    named = stored(keyed.join(found.join(kept, "component"), "id", "left").select(F.col("id").alias("digest"), "held", F.coalesce("least", "rep").alias("component"), F.coalesce("keeper", "id").alias("keeper")))
+    # classes with a thousandth of the rows and more, a thousand at most, meet their rows by broadcast
+    least = (named.agg(F.sum("held")).first()[0] or 0) / 1000
+    many = F.broadcast(named.where(F.col("held") >= least).drop("held"))
     # of rows that share the kept id and its set, the first stays
-    again = full.groupBy("digest", "doc_id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"), "first")
-    result = result.join(again, (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("_i")), "left")
+    again = full.groupBy("digest", "doc_id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("again")).where("again > 1").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"), "first")
+    part = rows.select("doc_id", "sha", "row", "n", "digest")
+    with_words = part.where("digest is not null")
+    result = with_words.join(many, "digest").unionByName(with_words.join(many.select("digest"), "digest", "left_anti").join(named.drop("held"), "digest"))
+    result = result.join(again, (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("_i")), "left").drop("_d", "_i")
+    result = result.unionByName(part.where("digest is null"), allowMissingColumns=True)
+    own = F.coalesce("component", "doc_id")
     return result.select(
         F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
