@@ -1,15 +1,23 @@
-"""What both vector searches share: valid vectors, shards, blocks of queries, merging."""
+"""What both vector searches share: valid vectors, stored indexes of shards, streams of queries.
+
+Rows go to shards by a hash of their id. Each shard's index is built once, in a task of its
+own, and written to the shared folder as one row. A search then sends every query to the
+shards it has to ask; in a task the index of a shard comes first and its queries
+stream past it in batches, so a task holds one index and one batch, and no vector but
+the queries' is sent twice.
+"""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_for, shuffle_partitions
+from .common import pieces_for, shuffle_partitions, stored
 
 
 def usable(df: DataFrame, key: str, vector: str, nonzero: bool) -> DataFrame:
@@ -21,46 +29,98 @@ def usable(df: DataFrame, key: str, vector: str, nonzero: bool) -> DataFrame:
     return df.where(good & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("_id"), v.alias("_v")).withColumn("_dim", F.size("_v"))
 
 
-def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if isinstance(flat, pa.ListArray | pa.LargeListArray) else pa.concat_arrays([x.flatten() for x in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in chunks]).astype(np.float64).reshape(-1, dim)
+
+
+def saved(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
 
+def loaded(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(data)))
 
-def search(rows: DataFrame, is_query: Column, k: int, per_shard: Callable, score: str, shard_rows: int, query_block: int = 4096) -> DataFrame:
-    """The k best of all rows for each query row, by ``per_shard``.
 
-    ``per_shard(ids, vectors, query_ids, queries)`` gives (number of query, id, score)
-    arrays with at most k rows a query. Rows go to shards by a hash of their id and
-    queries to blocks; a task sees one shard and one block.
+class Search:
+    """The shards of a table, their indexes, and its queries.
+
+    ``build(ids, vectors)`` gives an index as bytes, for rows in order of their id.
+    Queries are the rows whose id is divisible by ``every``; equal rows are asked once and answered
+    as often as they occur. Vectors meet only those of equal length.
     """
-    spark = rows.sparkSession
-    n = rows.count()
-    shards = pieces_for(n, shard_rows, min(shuffle_partitions(spark), -(-n // 4096)))
-    queries = rows.where(is_query)
-    blocks = pieces_for(queries.count(), query_block, 1)
-    numbers = lambda m: F.expr(f"sequence(0, {m - 1})")
-    held = rows.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(numbers(blocks)))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(numbers(shards)))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = ([], [], [])
-        if left.num_rows and right.num_rows:
-            left, right = left.sort_by("_id"), right.sort_by("_id")
-            dim = left["_dim"][0].as_py()
-            ids, qids = left["_id"].to_numpy(), right["_id"].to_numpy()
-            q, i, s = per_shard(ids, matrix(left["_v"], dim), qids, matrix(right["_v"], dim))
-            found = (qids[q], i, s)
-        kind = pa.int64() if score == "long" else pa.float64()
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})
-
-    keys = ["shard", "block", "_dim"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, f"query_id long, vec_id long, score {score}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def __init__(self, rows: DataFrame, every: int, build: Callable, shard_bytes: int):
+        spark = rows.sparkSession
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_dim").cast("long") * 8).alias("bytes")).first()
+        self.shards = pieces_for(size["bytes"] or 0, shard_bytes, min(shuffle_partitions(spark), -(-size["n"] // 4096)))
+        self.home = F.pmod(F.xxhash64("_id"), F.lit(self.shards)).cast("int")
+
+        def index(table: pa.Table) -> pa.Table:
+            table = table.sort_by("_id")
+            dim = table["_dim"][0].as_py()
+            made = build(table["_id"].to_numpy(), matrix(table["_v"], dim))
+            return pa.table({"shard": table["shard"][:1].cast(pa.int32()), "dim": pa.array([dim], pa.int32()), "index": pa.array([made], pa.large_binary()).cast(pa.binary())})
+
+        self.index = stored(rows.withColumn("shard", self.home).groupBy("shard", "_dim").applyInArrow(index, "shard int, dim int, index binary"), compression="none")
+        asked = rows.where(F.col("_id") % every == 0).groupBy("_id", "_v", "_dim").agg(F.count(F.lit(1)).alias("times"))
+        self.queries = stored(asked.withColumn("key", F.xxhash64("_v")))
+
+    def ask(self, queries: DataFrame, answer: Callable, score: str) -> DataFrame:
+        """query, key, vec_id, score of ``answer(index, ids, vectors, kths)`` for queries with a ``shard`` and a ``kth``.
+
+        ``answer`` gives arrays (number of query, id, score).
+        """
+        index = self.index.select("shard", "dim", F.lit(0).alias("kind"), "index", *[F.lit(None).cast(k).alias(c) for c, k in (("_id", "long"), ("key", "long"), ("_v", "array<double>"), ("kth", "double"))])
+        asked = queries.select("shard", F.col("_dim").alias("dim"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("index"), "_id", "key", "_v", "kth")
+        both = index.unionByName(asked).repartition(self.shards, "shard").sortWithinPartitions("shard", "dim", "kind")
+        number = pa.int64() if score == "long" else pa.float64()
+
+        def scan(batches):
+            held, at = None, None
+            for batch in batches:
+                place = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+                edges = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(1), [True])))
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    part = batch.slice(i, j - i)
+                    if not place[i, 2]:
+                        held, at = loaded(part.column(3)[0].as_py()), tuple(place[i, :2])
+                        continue
+                    if at != tuple(place[i, :2]):
+                        continue  # no row of this length in the shard
+                    for b in range(0, len(part), 512):
+                        some = part.slice(b, 512)
+                        ids = some.column(4).to_numpy()
+                        q, found, scores = answer(held, ids, matrix(some.column(6), at[1]), some.column(7).to_numpy(zero_copy_only=False))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(some.column(5).to_numpy()[q]), pa.array(found, pa.int64()), pa.array(scores, number)], ["query_id", "key", "vec_id", "score"])
+
+        return both.mapInArrow(scan, f"query_id long, key long, vec_id long, score {score}")
+
+    def best(self, found: DataFrame, k: int) -> DataFrame:
+        """The k best of what was found for each query row: query_id, rank, vec_id, score."""
+        order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        again = self.queries.where("times > 1").select(F.col("_id").alias("query_id"), "key", "times")
+        each = ranked.join(again, ["query_id", "key"], "left").withColumn("_n", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+        return each.select("query_id", "rank", "vec_id", "score")
+
+
+def own_rows(ids: np.ndarray, x: np.ndarray, place: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Number of each query's own row, or -1; ``place`` has the places in x of the rows by id. Of equal rows the first."""
+    low, high = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, "right")
+    out = np.full(len(query_ids), -1)
+    for n in np.flatnonzero(high > low):
+        same = np.flatnonzero((x[place[low[n] : high[n]]] == queries[n]).all(1))
+        if len(same):
+            out[n] = low[n] + same[0]
+    return out
 
 
 def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to smaller ids; ids are ascending."""
+    """Positions of the k highest scores, ties to smaller ids."""
+    if len(scores) > 4 * k:
+        kept = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
     return np.lexsort((ids, -scores))[:k]
