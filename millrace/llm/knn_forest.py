@@ -1,98 +1,106 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
-Each shard holds a forest over all its rows. A node splits its rows at the median of a
-random projection. A query's search keeps one priority queue for all trees: the far
-side of a split is worth minus its distance to the split, the least along the way. The
-leaves taken first give candidates until ``part`` of the shard's rows (and at least
-``least``) are gathered; their inner products with the query are then computed in
-full and the best kept. Splits stop at equal projections, so a vector with many copies
-makes a large leaf, which is searched whole.
+Each shard holds a forest over all its rows, built once and stored. A tree draws a random
+direction for each of its levels and splits every node at the median of its rows'
+projections, so all leaves hold about ``leaf`` rows, copies of one vector included.
+
+A query's search has one priority queue for the leaves of all trees: a leaf is worth minus
+the sum of squared distances to the splits on whose far side it lies. As this sum only
+grows on the way down, taking leaves in order of it is what a best-first search from all
+roots does, and the queue is one partial sort. Leaves are taken until they hold the
+``reach``-th part of the rows of all trees. Rows met in many trees are likely near: the
+``part`` of the shard's rows met most often (``spread * k`` at least) are the candidates,
+whose inner products are then computed in full. Nothing depends on the size of the table.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import search, top, usable
-
-
-class Forest:
-    def __init__(self, x: np.ndarray, trees: int, leaf: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.plane, self.cut, self.kids, self.rows, self.roots = [], [], [], [], []
-        for _ in range(trees):
-            self.roots.append(len(self.cut))
-            stack = [(np.arange(len(x)), -1, 0)]
-            while stack:
-                rows, parent, side = stack.pop()
-                node, d, cut = len(self.cut), rng.normal(size=x.shape[1]), 0.0
-                d /= np.linalg.norm(d)
-                left = None
-                if len(rows) > leaf:
-                    p = x[rows] @ d
-                    cut = float(np.median(p))
-                    left = p < cut
-                    if not left.any():
-                        left = p <= cut
-                    if left.all():
-                        left = None
-                self.plane.append(d)
-                self.cut.append(cut)
-                self.kids.append((-1, -1))
-                self.rows.append(rows if left is None else None)
-                if parent >= 0:
-                    self.kids[parent] = (self.kids[parent][0], node) if side else (node, self.kids[parent][1])
-                if left is not None:
-                    stack += [(rows[~left], node, 1), (rows[left], node, 0)]
-        self.plane, self.cut = np.array(self.plane), np.array(self.cut)
-
-    def candidates(self, margin: np.ndarray, enough: int) -> np.ndarray:
-        heap = [(-np.inf, r) for r in self.roots]
-        heapq.heapify(heap)
-        found, n = [], 0
-        while heap and n < enough:
-            worse, node = heapq.heappop(heap)
-            while self.rows[node] is None:
-                m, (a, b) = margin[node], self.kids[node]
-                near, far = (a, b) if m < 0 else (b, a)
-                heapq.heappush(heap, (max(worse, abs(m)), far))
-                node = near
-            found.append(self.rows[node])
-            n += len(self.rows[node])
-        return np.unique(np.concatenate(found))
+from .vectors import Search, own_rows, saved, top, usable
+
+
+def forest(x: np.ndarray, trees: int, leaf: int, seed: int = 11) -> dict[str, np.ndarray]:
+    """Directions (trees x levels x dim), cuts (trees x nodes, level by level), rows of the leaves (trees * leaves x size; -1 fills up), and the mean taken off first."""
+    n, dim = x.shape
+    levels = max(0, int(np.ceil(np.log2(max(1.0, n / leaf)))))
+    rng = np.random.default_rng(seed)
+    ways = rng.normal(size=(trees, levels, dim))
+    ways /= np.linalg.norm(ways, axis=2, keepdims=True)
+    mean, edges = x.mean(0), [0, n]
+    cuts, rows = np.zeros((trees, (1 << levels) - 1)), np.tile(np.arange(n, dtype=np.int32), (trees, 1))
+    projected = [(x - mean) @ way.T for way in ways]
+    for level in range(levels):
+        halves = [(i, (i + j) // 2, j) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        for t in range(trees):
+            p = projected[t][rows[t], level]
+            for node, (i, half, j) in enumerate(halves):
+                if i < half:
+                    order = np.argpartition(p[i:j], half - i)
+                    rows[t, i:j], split = rows[t, i:j][order], p[i:j][order]
+                    cuts[t, (1 << level) - 1 + node] = (split[: half - i].max() + split[half - i]) / 2
+        edges = [0, *[e for _, half, j in halves for e in (half, j)]]
+    size = max(j - i for i, j in zip(edges[:-1], edges[1:], strict=True))
+    leaves = np.full((trees, len(edges) - 1, size), -1, np.int32)
+    for number, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        leaves[:, number, : j - i] = rows[:, i:j]
+    return {"ways": ways, "cuts": cuts, "leaves": leaves.reshape(-1, size), "mean": mean}
+
+
+def far_sides(f: dict, q: np.ndarray) -> np.ndarray:
+    """(queries x leaves of all trees) sums of squared distances to the splits on the other side of which the query lies."""
+    trees, levels, dim = f["ways"].shape
+    p = ((q - f["mean"]) @ f["ways"].reshape(-1, dim).T).reshape(len(q), trees, levels)
+    out = np.zeros((len(q), trees, 1))
+    for level in range(levels):
+        m = p[:, :, level, None] - f["cuts"][None, :, (1 << level) - 1 : (2 << level) - 1]
+        out = np.stack((out + np.maximum(m, 0) ** 2, out + np.minimum(m, 0) ** 2), axis=3).reshape(len(q), trees, -1)
+    return out.reshape(len(q), -1)
+
+
+def candidates(f: dict, worth: np.ndarray, n: int, reach: float, most: int) -> np.ndarray:
+    """The ``most`` of n rows that lie most often in the nearest leaves; ``worth``: the query's ``far_sides``."""
+    take = min(len(worth), max(len(f["ways"]), int(reach * len(worth))))
+    near = np.argpartition(worth, take - 1)[:take]
+    met = np.bincount(f["leaves"][near].ravel() + 1, minlength=n + 1)[1:]
+    return np.argpartition(-met, most - 1)[:most] if most < n else np.arange(n)
 
 
 def approximate_top_k(
-    df: DataFrame, every: int, k: int = 20, trees: int = 12, leaf: int = 48, part: float = 1.0, least: int = 1500, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 1 << 15
+    df: DataFrame, every: int, k: int = 20, trees: int = 64, leaf: int = 96, reach: float = 0.2, part: float = 0.1, spread: int = 10, key: str = "vec_id", vector: str = "embedding", shard_bytes: int = 1 << 25
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, nearest first.
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all rows but
-    those with the query's id. Scores are exact inner products in double precision;
-    ties go to the smaller id. ``part`` counts rows of all trees together, repeated
-    ones too, so fewer distinct rows of the shard are reranked.
+    Queries are the rows whose id is divisible by ``every``; candidates of a query are all rows but
+    its own. Scores are exact inner products in double precision; ties go to the smaller
+    id. Every query visits every shard and ranks ``part`` of its rows in full, or
+    ``spread * k`` if that is more.
 
     Defined cases: rows with a null id, or a vector that is null, empty, zero or holds null
-    or non-finite components take no part; vectors meet only those of equal length;
-    repeated ids are candidates each; fewer candidates than k give all found; no rows
-    give none; extra columns are ignored.
+    or non-finite components take no part; vectors meet only those of equal length; of
+    rows that share an id, each is a candidate, also of the others, and each that is a query has
+    rows of its own; fewer candidates than k give all of them; no rows give none; extra columns are ignored.
     """
 
-    def per_shard(ids, x, qids, q):
-        forest, out = Forest(x, trees, leaf), []
-        enough = max(int(part * len(x)), least)
-        for i in range(0, len(q), 256):
-            margins = q[i : i + 256] @ forest.plane.T - forest.cut
-            for n, margin in enumerate(margins):
-                rows = forest.candidates(margin, enough)
-                rows = rows[ids[rows] != qids[i + n]]
-                scores = x[rows] @ q[i + n]
+    def build(ids, x):
+        return saved(x=x, ids=ids, **forest(x, trees, leaf))
+
+    def answer(f, qids, q, kth):
+        x, ids = f["x"], f["ids"]
+        own, out = own_rows(ids, x, np.arange(len(ids)), qids, q), ([], [], [])
+        most = max(int(np.ceil(part * len(x))), spread * k + 1)
+        for i in range(0, len(q), 64):
+            for n, worth in enumerate(far_sides(f, q[i : i + 64]), i):
+                rows = candidates(f, worth, len(x), reach, most)
+                rows = rows[rows != own[n]]
+                scores = x[rows] @ q[n]
                 keep = top(ids[rows], scores, k)
-                out.append((np.full(len(keep), i + n), ids[rows][keep], scores[keep]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+                for column, found in zip(out, (np.full(len(keep), n), ids[rows][keep], scores[keep]), strict=True):
+                    column.append(found)
+        return tuple(np.concatenate(c) for c in out)
 
-    return search(usable(df, key, vector, True), F.col("_id") % every == 0, k, per_shard, "double", shard_rows)
+    search = Search(usable(df, key, vector, True), every, build, shard_bytes)
+    asked = search.queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(search.shards - 1)))).withColumn("kth", F.lit(None).cast("double"))
+    return search.best(search.ask(asked, answer, "double"), k)
