@@ -6,7 +6,10 @@ placed by splitting the text at the same pattern: the pieces between matches and
 the matches give all positions by running sums.
 
 Base kinds (email, ip, card, phone) are kept whenever their own check passes,
-whatever the score. Added kinds (iban, ssn) need a score of ``least`` or more.
+whatever the score. Added kinds need a score of ``least`` or more, so the words around
+decide: a number in the form of an ssn, or a long token of letters and digits, counts only
+near a word that names it (ssn, password, token), an iban and a key id also without one, but
+an iban not near a word that speaks against it (order, invoice) unless another speaks for it.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "keyid": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without it has no match; null where no single character is needed.
-NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
+NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-", "keyid": "IA"}
 #: Score of a confirmed span, and what a context word nearby adds or takes.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.4, "keyid": 0.8, "secret": 0.3}
 WITH = {
     "email": r"(?i)\b(?:mail|contact|write|schreib|correo|courriel)",
     "ip": r"(?i)\b(?:ip|host|server|login|address)",
@@ -40,6 +45,8 @@ WITH = {
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|appel)",
     "iban": r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)",
     "ssn": r"(?i)\b(?:ssn|social|security|tax)",
+    "keyid": r"(?i)\b(?:key|aws|access|credential)",
+    "secret": r"(?i)(?:\b|_)(?:token|secret|passw|pwd|api.?key|credential)",
 }
 AGAINST = r"(?i)\b(?:order|invoice|version|serial|isbn|sku|build)\b"
 REACH = 40
@@ -96,7 +103,7 @@ def _placed(kind: str, pieces: Column, found: Column) -> Column:
 def _score(kind: str, text: Column, s: Column) -> Column:
     near = F.substring(text, F.greatest(s["start"] + 1 - REACH, F.lit(1)), F.least(s["start"], F.lit(REACH)) + (s["end"] - s["start"]) + REACH)
     up = F.when(near.rlike(WITH[kind]), 0.3).otherwise(0.0)
-    return F.least(F.lit(1.0), F.lit(SCORE[kind]) + up - F.when(near.rlike(AGAINST), 0.2).otherwise(0.0))
+    return F.round(F.least(F.lit(1.0), F.lit(SCORE[kind]) + up - F.when(near.rlike(AGAINST), 0.2).otherwise(0.0)), 2)
 
 
 def _is_good(kind: str, s: Column) -> Column:
@@ -109,7 +116,7 @@ def _span(order: int, kind: str, s: Column) -> Column:
 
 
 def find(docs: DataFrame, least: float = 0.6) -> DataFrame:
-    """Adds ``_text`` and ``pii``: array of (start, end, kind, score, base) in order.
+    """Spans of personal data with their scores. Adds ``_text`` and ``pii``: array of (start, end, kind, score, base) in order.
 
     Defined cases: a null text is an empty one, and neither has spans; all rows are
     kept, repeated ones too; other columns pass through unchanged, but for those named as what
@@ -118,7 +125,7 @@ def find(docs: DataFrame, least: float = 0.6) -> DataFrame:
     df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     kinds = list(PATTERNS)
     for k in kinds:
-        needed = F.contains(F.col("_text"), F.lit(NEEDS[k])) if k in NEEDS else F.col("_text").rlike("[0-9]")
+        needed = F.contains(F.col("_text"), F.lit(NEEDS[k])) if k in NEEDS else F.col("_text").rlike(WITH[k] if SCORE[k] < least and k not in BASE else "[0-9]")
         df = df.withColumn(f"_m_{k}", F.when(needed, F.regexp_extract_all("_text", F.lit(PATTERNS[k]), 0)))
     for k in kinds:
         m = F.col(f"_m_{k}")
@@ -139,11 +146,11 @@ def joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts of the base kinds, base_sha256, spans."""
+    """Per document: doc_id, counts of the base kinds, base_sha256, spans, and their scores in the same order."""
     found = find(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = joined(F.filter("pii", lambda s: s["base"]))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
