@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +28,13 @@ AFTER_DEMANDS = _LEAD + (
     r"(?:responsibilities|duties|what\s+you(?:'ll|\s+will)?\s+do|benefits?(?:\s+and\s+perks?)?|compensation|salary|about\s+(?:us|the\s+(?:company|role|team))|how\s+to\s+apply)\s*:?\s*$"
 )
 PLACEHOLDER_TITLES = ["", "untitled (manual)"]
+#: White space of Unicode, as a class of Java's patterns; its \\s has that of ASCII only.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,30};?)"
+#: Named references that count without a semicolon, longest first.
+_LEGACY = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+#: What references to the control characters 0x80 to 0x9F stand for: Windows-1252, where that has a character.
+_WINDOWS = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)]
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -45,17 +55,26 @@ def norm_text(c: Column) -> Column:
 def norm_company(c: Column) -> Column:
     """FN-3: normal form without country phrase, leading aggregator words and legal suffixes."""
     s = norm_text(c)
-    for phrase in COMPANY_PHRASES:
-        s = F.trim(F.regexp_replace(F.regexp_replace(s, phrase, " "), " +", " "))
-    for prefix in COMPANY_PREFIXES:  # one after another: a later one may not uncover an earlier one
-        s = F.regexp_replace(s, f"^(?:{prefix})+", "")
-    return F.trim(F.regexp_replace(s, f"(?:(?:^| )(?:{'|'.join(COMPANY_SUFFIXES)}))+$", ""))
+
+    def without_phrases(x: Column) -> Column:
+        out = x
+        for phrase in COMPANY_PHRASES:
+            out = F.trim(F.regexp_replace(F.replace(out, F.lit(phrase), F.lit(" ")), " +", " "))
+        return F.when(reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in COMPANY_PHRASES]), out).otherwise(x)
+
+    def without_prefixes(x: Column) -> Column:
+        out = x
+        for prefix in COMPANY_PREFIXES:  # one after another: a later one may not uncover an earlier one
+            out = F.regexp_replace(out, f"^(?:{prefix})+", "")
+        return F.when(x.rlike(f"^(?:{'|'.join(COMPANY_PREFIXES)})"), out).otherwise(x)
+
+    return F.coalesce(F.trim(F.regexp_replace(let(let(s, without_phrases), without_prefixes), f"(?:(?:^| )(?:{'|'.join(COMPANY_SUFFIXES)}))+$", "")), F.lit(""))
 
 
 def fingerprint(title: Column, company: Column) -> Column:
     """FN-4: company|title in normal form; empty where either is."""
-    t, c = norm_text(title), norm_company(company)
-    return F.when((t == "") | (c == ""), F.lit("")).otherwise(F.concat_ws("|", c, t))
+    made = let(F.struct(norm_text(title).alias("t"), norm_company(company).alias("c")), lambda p: F.when((p["t"] == "") | (p["c"] == ""), F.lit("")).otherwise(F.concat_ws("|", p["c"], p["t"])))
+    return F.coalesce(made, F.lit(""))  # never null, so joins on it don't test for that
 
 
 def words(c: Column) -> Column:
@@ -98,13 +117,42 @@ def est_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(c, F.lit(""))) / 4).cast("int"))
 
 
+def flat(c: Column) -> Column:
+    """Lower case, any white space as one blank; null becomes empty."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[{BLANK}]+", " ")
+
+
+def _character(code: Column) -> Column:
+    """The character that a numeric reference stands for."""
+    of = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    windows = F.get(F.array(*[F.lit(x) for x in _WINDOWS]), (code - 0x80).cast("int"))
+    nothing = code.between(1, 8) | code.isin(0x0B, 0x7F) | code.between(0x0E, 0x1F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(code.between(0x80, 0x9F), windows).when(nothing, "").otherwise(of)
+
+
+def _referred(e: Column) -> Column:
+    """What one character reference stands for; itself if for nothing."""
+    number = F.regexp_replace(e, "^&#[xX]?0*|;$", "")
+    value = lambda base: F.when(F.length(number) > 7, 0x110000).when(number == "", 0).otherwise(F.conv(number, base, 10).try_cast("long"))  # noqa: E731  longer ones are no characters
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # a constant
+    legacy = F.regexp_extract(F.substr(e, F.lit(2)), _LEGACY, 1)
+    begin = F.when(legacy != "", F.concat(F.element_at(named, legacy), F.substr(e, F.length(legacy) + 2))).otherwise(e)
+    out = F.when(e == "&amp;", "&").when(e == "&nbsp;", "\xa0").when(e == "&lt;", "<").when(e == "&gt;", ">").when(e == "&quot;", '"')
+    return out.when(e.rlike("^&#[xX]"), _character(value(16))).when(e.startswith("&#"), _character(value(10))).otherwise(F.coalesce(F.try_element_at(named, F.substr(e, F.lit(2))), begin))
+
+
+def unescape(c: Column) -> Column:
+    """Character references of HTML, named and numeric, read once; null becomes empty."""
+    c = F.coalesce(c, F.lit(""))
+    read = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), 0), _referred)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.flatten(F.zip_with(F.split(c, _REFERENCE, -1), read, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(c)
+
+
 def strip_html(c: Column) -> Column:
-    """FN-11: text of HTML: scripts, styles and tags go, common entities are read, blanks collapse."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)>", " ")
-    s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
-    for name, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(text))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """FN-11: text of HTML: scripts, styles and tags go, all character references are read, blanks collapse; lines stay."""
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    s = unescape(F.regexp_replace(s, r"(?s)<[^>]+>", " "))
+    return F.regexp_replace(F.regexp_replace(s, r"[ \t\xa0]+", " "), rf"^[{BLANK}]+|[{BLANK}]+\z", "")
 
 
 def quals_section(c: Column) -> Column:

@@ -52,25 +52,33 @@ def list_filter(jobs: DataFrame, status=None, source=None, date_from=None, date_
     return jobs
 
 
+def _alternatives(query: str) -> list[list[str]]:
+    """The words of each alternative; commas and bars part them outside quotes, and so does the word or."""
+    out: list[list[str]] = []
+    for branch in re.findall(r'(?:"[^"]*(?:"|\Z)|[^",|])+', query):
+        out.append([])
+        for quoted, phrase, word in re.findall(r'("([^"]*)")|(\S+)', branch):
+            term = (phrase if quoted else word).lower()
+            if term == "or":
+                out.append([])
+            elif term:
+                out[-1].append(term)
+    return [words for words in out if words]
+
+
 def compile_search(query: str) -> Column:
     """FLT-12: the search language as one condition.
 
-    Alternatives by comma, bar or OR; words of an alternative must all occur; quotes
-    keep a phrase together; title: and company: limit what follows to one column.
+    Alternatives by comma, bar or the word or; words of an alternative must all occur, each in the title
+    or the company; quotes keep a phrase together, with whatever is in it; title: or company: at the
+    start limits the whole query to one column. Without a word everything is found.
     """
-    if not query.strip():
-        return F.lit(True)
-    alternatives = []
-    for part in re.split(r"\s*(?:,|\||\bOR\b)\s*", query):
-        scope, words = ["title", "company"], []
-        for field, phrase, word in re.findall(r'(title:|company:)|"([^"]*)"|(\S+?(?=title:|company:|\s|$))', part):
-            if field:
-                scope = [field[:-1]]
-            elif phrase or word:
-                words.append(reduce(lambda a, b: a | b, [_any(F.col(c), [phrase or word]) for c in scope]))
-        if words:
-            alternatives.append(reduce(lambda a, b: a & b, words))
-    return reduce(lambda a, b: a | b, alternatives, F.lit(False)) if alternatives else F.lit(True)
+    scope, rest = ["title", "company"], (query or "").strip()
+    if found := re.match(r"(title|company):", rest, re.I):
+        scope, rest = [found[1].lower()], rest[found.end() :].strip()
+    hit = lambda word: reduce(lambda a, b: a | b, [_any(F.coalesce(c, F.lit("")), [word]) for c in scope])
+    found = [reduce(lambda a, b: a & b, map(hit, words)) for words in _alternatives(rest)]
+    return reduce(lambda a, b: a | b, found) if found else F.lit(True)
 
 
 def hide(jobs: DataFrame, statuses: list[str], sources: list[str], status=None, source=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,15 +11,22 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """The table as a checkpoint in the cluster's shared folder; a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir() and sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_base(spark))
     return df.checkpoint()
 
 
-def shared_folder(spark) -> str:
-    """A new folder beside the checkpoints, where driver and executors can meet."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else None)
+def _base(spark) -> str:
+    """The folder that the cluster names; a local session without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base
+
+
+def shared_folder(spark) -> str:
+    """A new folder beside the checkpoints, where driver and executors can meet."""
+    return f"{_base(spark).rstrip('/')}/{uuid.uuid4().hex}"

@@ -79,7 +79,7 @@ def apply_edits(jobs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame
     both = new.join(jobs.select("id", "title", "company"), "id")
     blank = [F.coalesce(clean(F.col(f"_{c}")) == "", F.lit(False)) & F.col(f"_{c}").isNotNull() for c in ("title", "company") if c in given]
     both = both.withColumn("_fp", fingerprint(after("title"), after("company"))).withColumn("_blank", blank[0] if len(blank) == 1 else (blank[0] | blank[1]) if blank else F.lit(False))
-    holders = jobs.select(fingerprint(F.col("title"), F.col("company")).alias("_fp"), "id").where("_fp != ''").groupBy("_fp").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    holders = jobs.select(fingerprint(F.col("title"), F.col("company")).alias("_fp"), "id").groupBy("_fp").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.bool_or(F.col("_fp") != "").alias("_real")).where("_real").drop("_real")
     both = both.join(holders, "_fp", "left").withColumn("_taken", F.coalesce((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")), F.lit(False)))
     names = F.lit("title" in given or "company" in given)
     both = both.withColumn("reason", F.when(F.col("_blank"), "blank").when(F.col("_taken") & names, "collision"))
@@ -205,7 +205,7 @@ def add_external(jobs: DataFrame, rows: DataFrame, as_of) -> tuple[DataFrame, Da
     """
     rows = _last(rows.withColumn("url", url_key(F.col("url"))).where("url != ''"), "url")
     by_url = jobs.select(url_key(F.col("url")).alias("url"), F.col("id").alias("_u")).where("url != ''").groupBy("url").agg(F.min("_u").alias("_u"))
-    by_fp = jobs.select(fingerprint(F.col("title"), F.col("company")).alias("_fp"), F.col("id").alias("_f")).where("_fp != ''").groupBy("_fp").agg(F.min("_f").alias("_f"))
+    by_fp = jobs.select(fingerprint(F.col("title"), F.col("company")).alias("_fp"), F.col("id").alias("_f")).groupBy("_fp").agg(F.min("_f").alias("_f"), F.bool_or(F.col("_fp") != "").alias("_real")).where("_real").drop("_real")
     real = ~is_placeholder(F.col("title"))
     found = rows.withColumn("_fp", F.when(real, fingerprint(F.col("title"), F.col("company")))).join(by_url, "url", "left").join(by_fp, "_fp", "left").withColumn("job_id", F.coalesce("_u", "_f")).drop("_u", "_f", "_fp")
     moved, status_events, stage_events = apply_status(jobs, found.where("job_id is not null").select("job_id", "seq", F.lit("APPLIED").alias("new_status")), as_of)

@@ -74,8 +74,8 @@ def exclude_guarded(patterns: DataFrame, guard: DataFrame) -> DataFrame:
 def already_judged(df: DataFrame, lab: DataFrame) -> DataFrame:
     """JON-4: adds ``judged``: (status, company, title) of the newest decision on the same fingerprint, or null."""
     key = fingerprint(F.col("title"), F.col("company"))
-    newest = lab.select(key.alias("_fp"), F.struct("status_updated_at", "id").alias("_at"), F.struct("status", "company", "title").alias("judged")).where("_fp != ''")
-    newest = newest.groupBy("_fp").agg(F.max_by("judged", "_at").alias("judged"))
+    newest = lab.select(key.alias("_fp"), F.struct("status_updated_at", "id").alias("_at"), F.struct("status", "company", "title").alias("judged"))
+    newest = newest.groupBy("_fp").agg(F.max_by("judged", "_at").alias("judged"), F.bool_or(F.col("_fp") != "").alias("_real")).where("_real").drop("_real")
     return df.withColumn("_fp", key).join(newest, "_fp", "left").drop("_fp")
 
 

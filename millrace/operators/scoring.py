@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.experience import max_experience, seniority
+from ..functions.experience import demands
 from ..functions.text import let, norm_title, quals_section, tokens
 
 # Skills and what counts as a mention.
@@ -120,7 +120,7 @@ def score(df: DataFrame, profiles: DataFrame, patterns: DataFrame, lexicon: dict
     df = penalty(df, patterns).join(known, "profile_id", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
     df = df.withColumn("_quals", quals).withColumn("_asked", skill_hits(evidence, lexicon)).withColumn("_named", F.when(F.col("_quals") != "", skill_hits(F.col("_quals"), lexicon)).otherwise(F.array()))
     df = df.withColumn("matched", F.array_intersect("_asked", "_own")).withColumn("missing", F.array_except("_asked", "_own")).withColumn("_twice", F.array_intersect("matched", "_named"))
-    df = df.withColumn("_years", max_experience(F.col("description"))).withColumn("_senior", seniority(F.col("description")))
+    df = df.withColumn("_demands", demands(F.col("description"))).withColumn("_years", F.col("_demands.years")).withColumn("_senior", F.col("_demands.senior"))
     points = F.least((F.size("matched") + F.size("_twice")) * PER_MATCH, F.lit(MATCH_CAP)) - F.least(F.size("missing") * PER_MISSING, F.lit(MISSING_CAP))
     junior = F.when(F.col("_years") == 0, 10).when(F.col("_years") == 1, 5).otherwise(0)
     total = F.lit(BASE) + points + junior - F.when(F.col("_senior").isNotNull(), SENIOR_COST).otherwise(0) + F.col("penalty")
@@ -136,7 +136,7 @@ def score(df: DataFrame, profiles: DataFrame, patterns: DataFrame, lexicon: dict
     df = df.withColumn("_notes", notes)
     reason = F.when(F.size("_notes") > 0, F.substring(F.array_join("_notes", "; "), 1, 280)).otherwise("no skill overlap detected")
     df = df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")).withColumn("score_reason", reason)
-    return df.drop("_own", "_quals", "_asked", "_named", "_twice", "_years", "_senior", "_notes", "penalty", "penalty_notes")
+    return df.drop("_own", "_quals", "_asked", "_named", "_twice", "_demands", "_years", "_senior", "_notes", "penalty", "penalty_notes")
 
 
 def rescore(jobs: DataFrame, profiles: DataFrame, patterns: DataFrame, only_zero: bool = True, with_description: bool = False) -> DataFrame:

@@ -131,8 +131,8 @@ REASON = "CASE doc_id % 5 WHEN 0 THEN 'location:cebu' WHEN 1 THEN concat('title-
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh posting as a held one, with a url of its own."""
-    d = raw_postings(spark, sf_dir).where("seq % 7 = 0").withColumn("doc_id", F.col("seq"))
+    """Every posting as a held one, with a url of its own."""
+    d = raw_postings(spark, sf_dir).withColumn("doc_id", F.col("seq"))
     return d.select(
         F.col("seq").alias("id"), F.col("site").alias("source"), "title", "company", F.expr("concat('https://held.example.com/', CAST(seq AS STRING))").alias("url"),
         F.expr(REASON).alias("filter_reason"), F.lit(None).cast("timestamp").alias("filtered_at"), (F.col("seq") % 4 == 0).alias("restored"),
@@ -142,4 +142,4 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 HELD_SQL = """
 held AS (SELECT seq AS id, site AS source, title, company, 'https://held.example.com/' || CAST(seq AS VARCHAR) AS url,
   CASE seq % 5 WHEN 0 THEN 'location:cebu' WHEN 1 THEN 'title-keyword:k' || CAST(seq % 11 AS VARCHAR) WHEN 2 THEN 'repeat-seen:skip:x' WHEN 3 THEN 'ai:judge' ELSE 'exp-gap:needs ' || CAST(seq % 9 AS VARCHAR) || ' yrs' END AS filter_reason,
-  seq % 4 = 0 AS restored FROM raw WHERE seq % 7 = 0)"""
+  seq % 4 = 0 AS restored FROM raw)"""

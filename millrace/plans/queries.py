@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, experience, location, salary, text, urls
 from ..operators import dedupe, gates, merge, mining, reports
+from ..operators.lineage import cut
 from . import bindings as b
 from .bindings import HISTORY_SQL, JOBS_SQL, RAW_SQL, STAGE_SQL
 from .registry import query
@@ -29,6 +31,14 @@ STOPS = "('" + "', '".join(text.STOP_WORDS) + "')"
 TOKENS = lambda c: f"list_distinct(list_filter({WORDS(c)}, lambda w: w NOT IN {STOPS}))"
 
 
+def _placed(df):
+    """Adds ``place``, the number of each row in the order of a sorted table: counts of the partitions before it, and the place within its own."""
+    parts = cut(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    before = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
+    place = F.coalesce("_before", F.lit(0)) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return parts.join(F.broadcast(before.drop("_n")), "_part").withColumn("place", place).drop("_part", "_at", "_before")
+
+
 @query("agg5_outcome_series", f"""
 WITH {JOBS_SQL}, {HISTORY_SQL},
 e AS (SELECT new_status, changed_at FROM hist UNION ALL SELECT status, status_updated_at FROM jobs WHERE id NOT IN (SELECT job_id FROM hist))
@@ -120,10 +130,15 @@ def list_filter(spark, d):
     return gates.list_filter(b.jobs(spark, d), status="NEW", date_from="1995-01-01", date_to="1996-12-31", search="a").select("id", "status", "date_posted")
 
 
+_HAS = lambda c, w: f"contains(lower(coalesce({c}, '')), '{w}')"
+
+
 @query("flt12_search", f"""
-WITH {JOBS_SQL} SELECT id FROM jobs WHERE (contains(lower(title), 'a') AND contains(lower(title), 'e')) OR contains(lower(company), '1 inc') OR contains(lower(title), 'x') OR contains(lower(company), 'x')""")
+WITH {JOBS_SQL} SELECT id, ({_HAS('title', 'a')} AND {_HAS('title', 'e')}) OR {_HAS('title', 'x')} AS scoped, {_HAS('company', '1 inc')} OR {_HAS('title', 'a, b')} OR {_HAS('company', 'a, b')} OR ({_HAS('company', '7')} AND {_HAS('title', 'lin')}) OR ({_HAS('company', '7')} AND {_HAS('company', 'lin')})
+  OR ({_HAS('title', '7')} AND ({_HAS('title', 'lin')} OR {_HAS('company', 'lin')})) OR {_HAS('title', '1 inc')} AS quoted, {_HAS('company', 'title:a')} AS inside FROM jobs""")
 def search(spark, d):
-    return b.jobs(spark, d).where(gates.compile_search('title:a e, company:"1 inc" OR x')).select("id")
+    found = lambda q, name: gates.compile_search(q).alias(name)
+    return b.jobs(spark, d).select("id", found("Title: a e, X", "scoped"), found('"1 INC" | "a, b" OR 7 lin', "quoted"), found("company:title:a", "inside"))
 
 
 @query("flt13_hide", f"WITH {JOBS_SQL} SELECT id, status, source FROM jobs WHERE status NOT IN ('SKIP', 'DUPLICATE') AND source <> 'src3'")
@@ -147,9 +162,9 @@ def in_progress(spark, d):
 
 
 @query("srt1_jobs_by_score", f"""
-WITH {JOBS_SQL}, r AS (SELECT id, score, scraped_at FROM jobs ORDER BY score DESC, scraped_at DESC, id LIMIT 500) SELECT * FROM r""")
+WITH {JOBS_SQL}, r AS (SELECT id, score, scraped_at, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, scraped_at DESC NULLS LAST, id DESC) AS BIGINT) AS place FROM jobs) SELECT * FROM r""")
 def jobs_by_score(spark, d):
-    return b.jobs(spark, d).select("id", "score", "scraped_at").orderBy(F.desc("score"), F.desc("scraped_at"), "id").limit(500)
+    return _placed(reports.sort_view(b.jobs(spark, d).select("id", "score", "scraped_at")))
 
 
 @query("fn4_fingerprint", f"WITH {RAW_SQL} SELECT seq, {NORM('title')} AS title_norm, {COMPANY('company')} AS company_norm, {FP('title', 'company')} AS fp FROM raw")

@@ -11,6 +11,7 @@ from ..sources import pages, payloads
 from ..streaming import ingest
 from . import bindings as b
 from .bindings import HISTORY_SQL, JOBS_SQL
+from .queries_more import _READ_ALL
 from .registry import query
 
 
@@ -42,11 +43,10 @@ def stream_current(spark, d):
     return _settled(spark, ingest.stream_current(_events(spark, d)))
 
 
-@query("src6_page_heads", """
-SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>([^&]*?)</title>', 1), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?is)<title>[^&]*?</title>')""")
+@query("src6_page_heads", f"""
+SELECT page_id, {_READ_ALL("trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1), '[ \t\n\r]+', ' ', 'g'))")} AS title FROM pages""")
 def page_heads(spark, d):
-    df = b.table(spark, d, "pages").where(F.col("html").rlike("(?is)<title>[^&]*?</title>"))
-    return pages.page_tags(df).select("page_id", F.col("title_tag").alias("title"))
+    return pages.page_tags(b.table(spark, d, "pages")).select("page_id", F.col("title_tag").alias("title"))
 
 
 @query("src6_extract_pages")

@@ -1,44 +1,8 @@
-"""Queries over whole tables, next to those whose SQL covers a part of the rows.
-
-fn27_format_salary, fn29_page_titles, min9_apply_rules and src6_page_heads keep their
-rows and SQL. What SQL can't express has none here; tests hold it against plain loops.
-"""
+"""Second names of queries over whole tables, kept from when the first covered a part of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions import salary, text
-from ..operators import mining
-from ..sources import pages
-from . import bindings as b
-from .queries_more import _paid, _rules
-from .registry import ORACLES, query
-
-
-@query("fn27_format_salary_all")
-def format_salary_all(spark, d):
-    """All orders, the yearly ones with their estimate a month."""
-    p = [F.col(f"p.{c}") for c in ("currency", "min", "max", "interval")]
-    months = [salary.to_monthly(c, p[3]) for c in p[1:3]]
-    return _paid(spark, d).select("id", salary.format_salary(*p, *months).alias("display"))
-
-
-@query("fn29_page_titles_all")
-def page_titles_all(spark, d):
-    """All jobs; a quarter of the page titles has none of the shapes."""
-    made = F.expr("CASE WHEN id % 4 = 3 THEN title WHEN id % 3 = 0 THEN concat(title, ' Job in Cebu City - Jobstreet') WHEN id % 3 = 1 THEN concat(company, ' hiring ', title, ' in Cebu City') ELSE concat(title, ' in Cebu City - ', company) END")
-    return b.jobs(spark, d).select("id", text.split_page_title(made).alias("t")).select("id", "t.*")
-
-
-@query("min9_apply_rules_all", ORACLES["min9_apply_rules"].replace("FROM lab WHERE id % 10 = 1", "FROM lab"))
-def apply_rules_all(spark, d):
-    """All labelled decisions count."""
-    jobs = b.jobs(spark, d)
-    return mining.apply_rules(jobs, _rules(spark), mining.labelled(jobs)).select("id", "filter_reason")
-
+from .registry import ORACLES, QUERIES, query
 
-@query("src6_page_heads_all")
-def page_heads_all(spark, d):
-    """All pages; entities are read, a page without a title has an empty one."""
-    return pages.page_tags(b.table(spark, d, "pages")).select("page_id", F.col("title_tag").alias("title"))
+for _name in ("fn27_format_salary", "fn29_page_titles", "min9_apply_rules", "src6_page_heads"):
+    query(f"{_name}_all", ORACLES[_name])(QUERIES[_name])

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from millrace.plans import registry
+from millrace.plans.bindings import JOBS_SQL
 from millrace.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +35,10 @@ SHAPES = [(r"(.+?)\s+job in\s+(.+?)\s*-\s*jobstreet\s*", (1, None, 2)), (r"(.+?)
 
 def test_every_job_has_its_page_title(spark):
     want = {}
-    for key, title, company in duckdb.execute(f"WITH {registry.ORACLES['fn29_page_titles'].split('WITH ')[1].split(' SELECT id, title, CASE')[0]} SELECT id, title, company FROM jobs".replace("FROM orders LEFT JOIN customer", f"FROM '{SF}/orders.parquet' LEFT JOIN '{SF}/customer.parquet'").replace("LEFT JOIN part ", f"LEFT JOIN '{SF}/part.parquet' ")).fetchall():
+    made = f"WITH {JOBS_SQL} SELECT id, title, company FROM jobs"
+    for table in ("orders", "customer", "part"):
+        made = made.replace(f" {table} ", f" '{SF}/{table}.parquet' ", 1)
+    for key, title, company in duckdb.execute(made).fetchall():
         text = title if key % 4 == 3 else [f"{title} Job in Cebu City - Jobstreet", f"{company} hiring {title} in Cebu City", f"{title} in Cebu City - {company}"][key % 3]
         want[key] = ("", "", "")
         for pattern, parts in SHAPES:
@@ -64,7 +68,45 @@ def test_titles_with_entities_and_without(spark):
     assert got == {i: loop(t) for i, t in rows} and got[1] == "R&D <lead> café"
 
 
-def test_all_decisions_count(spark):
-    count = lambda name: registry.QUERIES[name](spark, SF).where("filter_reason like 'repeat-seen:%'").count()
-    assert count("min9_apply_rules_all") > 3 * count("min9_apply_rules")
-    assert registry.ORACLES["min9_apply_rules_all"] != registry.ORACLES["min9_apply_rules"]
+def test_second_names_are_the_same_queries():
+    for name in ("fn27_format_salary", "fn29_page_titles", "min9_apply_rules", "src6_page_heads"):
+        assert registry.QUERIES[f"{name}_all"] is registry.QUERIES[name] and registry.ORACLES[f"{name}_all"] == registry.ORACLES[name]
+
+
+MARK = re.compile(r"(?:₱|PHP|\$|€|£|¥|₹)\s*[0-9][0-9,]*(?:\.[0-9]+)?", re.I)
+MONEY = re.compile(r"[₱$€£¥₹]|\b(?:PHP|USD|EUR|GBP|JPY|INR|AUD|CAD|SGD)\b")
+
+
+def line_around(text):
+    """The words within 150 characters of the first amount, as one line of 300."""
+    flat = re.sub(r"\s", " ", text)
+    m = MARK.search(flat)
+    begin, end = max(0, m.start() - 150), min(len(flat), m.end() + 150)
+    head = flat[:begin].rsplit(" ", 1)[-1] if begin and flat[begin] != " " else ""
+    return re.sub(r"\s+", " ", head + flat[begin:end] + flat[end:].split(" ", 1)[0]).strip()[:300].strip()
+
+
+def test_pay_is_found_within_whole_texts(spark):
+    texts = {i: t or "" for i, t in duckdb.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+    got = {r["doc_id"]: r["snippet"] for r in registry.QUERIES["fn28_pay_snippet"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    plain = {i: t for i, t in texts.items() if not MONEY.search(t)}
+    assert len(plain) > 0.5 * len(texts)
+    for i, t in plain.items():
+        if i % 3 == 0:
+            assert got[i] == line_around(f"{t} We pay ₱30,000 per month to you. {t}") and "₱30,000 per month" in got[i]
+        elif i % 3 == 1:
+            assert got[i] == ""  # fewer pesos than any pay
+
+
+def test_every_posting_has_its_salary(spark):
+    told = {0: ("PHP", 30000.0, 30000.0, "monthly", 30000.0), 1: ("USD", 42000.0, 42000.0, "yearly", 3500.0), 2: ("PHP", 500.0, 500.0, "daily", 11000.0), 3: ("USD", 1500000.0, 1500000.0, "yearly", 125000.0), 4: ("", None, None, "unknown", None)}
+    texts = {i: t or "" for i, t in duckdb.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+    rows = registry.QUERIES["prj2_normalize_salary"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        got = tuple(r[f"salary_{c}"] for c in ("currency", "min", "max", "interval", "monthly_min"))
+        if r["seq"] % 8 in told:
+            assert got == told[r["seq"] % 8], r
+        elif not MONEY.search(texts[r["seq"]]):
+            assert got == ("", None, None, "unknown", None) and r["salary_display"] == "" and r["salary_raw"] == ""
