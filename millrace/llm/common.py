@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,15 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared one.
 
-    The folder named by ``spark.checkpoint.dir`` is used; where that is unset (a
-    local session, as in tests) a temporary folder is made and set as such.
+    The folder named by ``spark.checkpoint.dir`` is used; where that is unset, a
+    session within one process (as in tests) makes a temporary one, and any other raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        base = found or "file://" + tempfile.mkdtemp(prefix="spark-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(base)
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
