@@ -44,7 +44,8 @@ def source_label(site: Column, url: Column, names: list[str] = JOB_LABELS) -> Co
 
 def canonical_url(c: Column) -> Column:
     """FN-6: one form of a link: https by default, lower-case scheme and host, no default port,
-    fragment, tracking parameters or slash at the end; path and query keep their case and escapes.
+    fragment, tracking parameters or slash at the end; path and query keep their case, and
+    the query's names and values are read and escaped anew.
 
     Sites with parameters that identify a posting keep those alone; a redirect of trabajo
     gives the path it wraps. Empty and null become empty.
@@ -55,12 +56,16 @@ def canonical_url(c: Column) -> Column:
     where = host(u)
     port = F.regexp_extract(part(r"^[^:/?#]+://([^/?#]*)"), ":([0-9]+)$", 1)
     path, params = part(r"^[^:/?#]+://[^/?#]*([^?#]*)"), F.filter(F.split(part(r"^[^?#]*\?([^#]*)"), "&"), lambda p: p != "")
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    read = lambda x: F.coalesce(F.try_url_decode(x), x)
+    escaped = lambda x: F.replace(F.replace(F.url_encode(read(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, F.lit("=")) + 1)).otherwise("")
+    anew = lambda p: F.concat(escaped(F.substring_index(p, "=", 1)), F.lit("="), escaped(value(p)))
+    key = lambda p: F.lower(read(F.substring_index(p, "=", 1)))
     only = lambda names: F.filter(params, lambda p: key(p).isin(names))
     kept = F.filter(params, lambda p: ~key(p).isin(TRACKING))
     for site, names in IDENTITY.items():
         kept = F.when(site_of(u) == site, only(names)).otherwise(kept)
-    query = F.array_join(kept, "&")
+    query = F.array_join(F.transform(kept, anew), "&")
     target = F.coalesce(F.try_url_decode(F.regexp_extract(u, r"[?&](?:url|u|redirect)=([^&#]+)", 1)), F.lit(""))
     inner = F.when(target.startswith("/"), F.regexp_extract(target, "^[^?#]*", 0)).when(F.contains(target, F.lit("trabajo")), F.regexp_extract(target, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)).otherwise("")
     wrapped = F.contains(where, F.lit("trabajo")) & (inner != "")

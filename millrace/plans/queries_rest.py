@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import experience, salary, text, urls
@@ -58,8 +55,7 @@ def demands(spark, d):
 WITH a AS (SELECT doc_id, CAST({_by_case(1)} AS INTEGER) AS years, {_by_case(2)} AS senior FROM documents)
 SELECT doc_id, CASE WHEN years > 2 THEN 'exp-gap:needs ' || years || ' yrs (ceiling 2)' WHEN senior IS NOT NULL THEN 'exp-gap:seniority signal (' || senior || ')' END AS reason FROM a""")
 def experience_gate(spark, d):
-    kept, held = experience.experience_gate(_asking(spark, d), 2)
-    return held.select("doc_id", "reason").unionByName(kept.select("doc_id", F.lit(None).cast("string").alias("reason")))
+    return _asking(spark, d).select("doc_id", experience.experience_reason(F.col("description"), 2).alias("reason"))
 
 
 @query("flt10_has_url", "SELECT page_id, page_id % 3 <> 0 AND trim(url) <> '' AS kept FROM pages")

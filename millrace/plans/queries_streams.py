@@ -22,25 +22,27 @@ def _events(spark, d):
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.expr("element_at(array('APPLIED','SKIP','MISMATCH','EXP_GAP','REJECTED'), CAST(event_id % 5 AS INT) + 1)").alias("new_status"), F.col("ts").alias("changed_at"))
 
 
-def _settled(spark, stream):
-    """The table a stream ends with, written whole by each batch and read back."""
+def _settled(spark, stream, key: str):
+    """The table a stream ends with: each batch adds the keys it changed under its number, and the last row of a key counts."""
     out = shared_folder(spark)
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")
-    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/table/batch={number}")
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    changes = spark.read.parquet(f"{out}/table")
+    rest = [c for c in stream.columns if c != key]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(key, *[f"_last.{c}" for c in rest])
 
 
 @query("str3_stream_outcomes", f"""
 WITH {HISTORY_SQL} SELECT CAST(changed_at AS DATE) AS day, count(*) FILTER (new_status = 'APPLIED') AS applied, count(*) FILTER (new_status = 'REJECTED') AS rejected, count(*) FILTER (new_status = 'SKIP') AS skipped,
   count(*) FILTER (new_status = 'MISMATCH') AS mismatch, count(*) FILTER (new_status = 'EXP_GAP') AS exp_gap FROM hist GROUP BY 1""")
 def stream_outcomes(spark, d):
-    return _settled(spark, ingest.stream_outcomes(_events(spark, d)))
+    return _settled(spark, ingest.stream_outcomes(_events(spark, d)), "day")
 
 
 @query("str5_stream_current", f"""
 WITH {HISTORY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY changed_at DESC, id DESC) AS n FROM hist) SELECT job_id, new_status AS status, changed_at FROM r WHERE n = 1""")
 def stream_current(spark, d):
-    return _settled(spark, ingest.stream_current(_events(spark, d)))
+    return _settled(spark, ingest.stream_current(_events(spark, d)), "job_id")
 
 
 @query("src6_page_heads", f"""

@@ -2,47 +2,52 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOG = "version bigint"
+
 
 class Snapshots:
-    """SRC-9: versions of one table under a folder, ``v=N`` each; the newest complete one counts.
+    """SRC-9: versions of one table under a folder; the newest in its log counts.
 
-    A version is complete when Spark has left _SUCCESS in it, so a lost writer leaves nothing
-    that is read. Paths go through Hadoop's file system, so shared stores work.
+    A version's rows are written first and its log line, a part file of its own, after them,
+    so a lost writer leaves nothing that is read. The last ``keep`` versions can be
+    read: rows lie in ``keep + 1`` folders that take turns, so a new version replaces the
+    oldest, which is no longer offered. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 3) -> None:
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
-    def _folder(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm.org.apache.hadoop.fs.Path
-
     def versions(self) -> list[int]:
-        fs, path, make = self._folder()
-        if not fs.exists(path):
+        try:
+            log = self.spark.read.schema(_LOG).json(f"{self.path}/log").orderBy(F.desc("version")).limit(self.keep)
+            return sorted(r["version"] for r in log.collect())
+        except AnalysisException:  # nothing is written yet
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(make(f"{self.path}/{n}/_SUCCESS")))
 
     def holds(self, batch: int) -> bool:
         """Whether a version of this batch, or a later one, is there."""
         return any(v > batch for v in self.versions())
 
+    def _rows(self, version: int) -> str:
+        return f"{self.path}/rows-{version % (self.keep + 1)}"
+
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1] if version is None else version}")
+        have = self.versions()
+        version = have[-1] if version is None else version
+        if version not in have:
+            raise ValueError(f"{self.path} has no version {version}, but {have}")
+        return self.spark.read.parquet(self._rows(version))
 
     def write(self, df: DataFrame, batch: int | None = None) -> int:
-        """Writes the next version, that of the batch plus one if a batch is named; older ones than ``keep`` go."""
+        """Writes the next version, that of the batch plus one if a batch is named."""
         have = self.versions()
         version = (have[-1] + 1 if have else 0) if batch is None else batch + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        fs, _, make = self._folder()
-        for old in self.versions()[: -self.keep]:
-            fs.delete(make(f"{self.path}/v={old}"), True)
+        df.write.mode("overwrite").parquet(self._rows(version))
+        self.spark.createDataFrame([(version,)], _LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
         return version
 
 

@@ -50,6 +50,8 @@ def test_search_language(spark):
 def test_experience_gate(spark, given, want):
     assert one(spark, lambda c: experience.experience_reason(c, 2), given) == want
     assert one(spark, lambda c: experience.experience_reason(c, 0), given) is None
+    kept, held = experience.experience_gate(spark.createDataFrame([(given,)], "description string"), 2)
+    assert (kept.count(), [r["reason"] for r in held.collect()]) == ((0, [want]) if want else (1, []))
 
 
 def test_html(spark):

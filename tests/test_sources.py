@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import merge, projections
@@ -92,7 +93,17 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
         ingest.stream_ingest(stream, store, lambda df: projections.to_jobs_rows(df, at), lambda jobs, new: merge.merge_postings(jobs, new, at)[0], f"{tmp_path}/state").awaitTermination()
         jobs = store.read()
         assert jobs.count() == 10 and jobs.select("id").distinct().count() == 10 and jobs.agg(F.max("id")).first()[0] == 10
-    assert len(store.versions()) == 3
+    assert store.versions() == [0, 1, 2]
+
+
+def test_versions_that_are_kept(spark, tmp_path):
+    store = Snapshots(spark, f"file://{tmp_path}/t", keep=2)
+    assert store.versions() == [] and not store.holds(0)
+    for n in range(5):
+        assert store.write(spark.range(n)) == n
+    assert store.versions() == [3, 4] and [store.read(v).count() for v in (3, 4)] == [3, 4] and store.read().count() == 4 and store.holds(3) and not store.holds(4)
+    with pytest.raises(ValueError, match="no version 2"):
+        store.read(2)
 
 
 def test_stream_dedupe(spark, tmp_path):
