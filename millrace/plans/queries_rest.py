@@ -362,7 +362,7 @@ _CARD_PAGE = """concat('<ul><li class="job card"><a href="/job-', page_id, '">',
 @query("src5_cards", "SELECT url, 'Dev ' || page_id AS title, '/job-' || page_id AS job_url, 'Acme & Co' AS company, 'Makati City' AS location, '₱' || (20000 + page_id) AS salary_raw, (page_id % 9) || ' days ago' AS age FROM pages")
 def cards(spark, d):
     made = b.table(spark, d, "pages").select("url", F.concat(F.coalesce("html", F.lit("")), F.expr(_CARD_PAGE)).alias("html"))
-    return pages.extract_cards(made)
+    return pages.extract_cards(made).drop("description")
 
 
 @query("src7_jsonld", """

@@ -4,85 +4,129 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.salary import pay_snippet
 from ..functions.text import bare_company, clean, is_wall, split_page_title, strip_html
 from ..functions.urls import canonical_url, site_of
 
-_FOUND = "url string, title_tag string, og_title string, h1 string, body string"
+# Where sites keep a posting's place and pay (attribute, values); a class may be one of several.
+HOOKS = {
+    "place": {"data-automation": ["jobLocation", "job-detail-location"], "data-testid": ["jobsearch-JobInfoHeader-companyLocation", "inlineHeader-companyLocation"], "data-test": ["location"], "class": ["job-location", "location", "top-card-layout__second-subline"]},
+    "pay": {"data-automation": ["jobSalary"]},
+}
+FOUND = ["title_tag", "og_title", "h1", "body", "og_site", "og_text", "main", "place", "pay"]
+_METAS = {"og:title": "og_title", "og:site_name": "og_site", "og:description": "og_text"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Tags(HTMLParser):
-    """Title, og:title, first h1, and the text outside scripts and styles."""
+    """Title, heading, metas, the text outside scripts and styles, and that of the first main part, place and pay."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.og, self.h1, self.body = [], "", [], []
-        self.within, self.h1_done = [], False
+        self.parts = {"title_tag": [], "h1": [], "body": [], "article": [], "main": [], "place": [], "pay": []}
+        self.metas = dict.fromkeys(_METAS.values(), "")
+        self.open: list[tuple[str, str | None]] = []  # tags, and what is gathered from them
+        self.done: set[str] = set()
+
+    def _hook(self, named: dict) -> str | None:
+        for name, places in HOOKS.items():
+            for attribute, values in places.items():
+                have = (named.get(attribute) or "").split() if attribute == "class" else [named.get(attribute)]
+                if name not in self.done and any(v in values for v in have):
+                    return name
+        return None
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
-        if tag == "meta" and named.get("property") == "og:title" and not self.og:
-            self.og = named.get("content") or ""
-        elif tag in ("title", "h1", "script", "style"):
-            self.within.append(tag)
+        if tag == "meta":
+            name = _METAS.get(named.get("property") or named.get("name") or "")
+            if name and not self.metas[name]:
+                self.metas[name] = (named.get("content") or "").strip()
+        if tag in _VOID:
+            return
+        kind = {"title": "title_tag", "h1": "h1", "article": "article", "main": "main", "script": "skip", "style": "skip"}.get(tag) or self._hook(named)
+        self.open.append((tag, None if kind in self.done else kind))
 
     def handle_endtag(self, tag):
-        if tag in self.within:
-            self.within = self.within[: len(self.within) - 1 - self.within[::-1].index(tag)]
-            self.h1_done |= tag == "h1"
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == tag:
+                # the first of each that holds text counts
+                self.done |= {kind for _, kind in self.open[at:] if kind and kind != "skip" and any(x.strip() for x in self.parts[kind])}
+                del self.open[at:]
+                return
 
     def handle_data(self, data):
-        if "script" in self.within or "style" in self.within:
-            return
-        if "title" in self.within:
-            self.title.append(data)
+        kinds = {kind for _, kind in self.open if kind}
+        if "skip" in kinds:
             return
-        if "h1" in self.within and not self.h1_done:
-            self.h1.append(data)
-        self.body.append(data)
-
+        for kind in kinds if "title_tag" not in kinds else {"title_tag"}:
+            self.parts[kind].append(data)
+        if "title_tag" not in kinds:
+            self.parts["body"].append(data)
 
-def _line(parts) -> str:
-    return " ".join(" ".join(parts).split())
+    def row(self) -> list[str]:
+        line = {kind: " ".join(" ".join(parts).split()) for kind, parts in self.parts.items()} | self.metas
+        line["main"] = line["article"] or line["main"]
+        return [line[name] for name in FOUND]
 
 
 def page_tags(pages: DataFrame) -> DataFrame:
-    """Adds title_tag, og_title, h1 and body of each page's html; null html gives empty fields.
+    """Adds the columns ``FOUND`` of each page's html; null html gives empty ones.
 
-    Pages are parsed one at a time in batches that Spark hands to a task.
+    The pages of a task are parsed one at a time; other columns pass through as Arrow arrays.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), *_FOUND.split(", ")[1:]])
+    at = pages.columns.index("html")
 
     def parse(batches):
         for batch in batches:
             rows = []
-            for html in batch["html"]:
+            for html in batch.column(at).to_pylist():
                 tags = _Tags()
                 tags.feed(html or "")
                 tags.close()
-                rows.append((_line(tags.title), tags.og.strip(), _line(tags.h1), _line(tags.body)))
-            found = pd.DataFrame(rows, columns=["title_tag", "og_title", "h1", "body"], index=batch.index, dtype=object)
-            yield pd.concat([batch, found], axis=1)
+                rows.append(tags.row())
+            found = [pa.array(x, pa.string()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * len(FOUND)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *FOUND])
+
+    return pages.mapInArrow(parse, StructType([*pages.schema.fields, *[StructField(c, StringType()) for c in FOUND]]))
+
 
-    return pages.mapInPandas(parse, schema)
+def _parted(title):
+    """struct (title, company) of "title - company" and the like: at the first kind of separator in it, the last part is the company."""
+    out = F
+    for sep in (" - ", " | ", " at ", " @ "):
+        company = F.substring_index(title, sep, -1)
+        out = out.when(F.contains(title, F.lit(sep)), F.struct(clean(F.left(title, F.length(title) - F.length(company) - len(sep))).alias("title"), bare_company(company).alias("company")))
+    return out.otherwise(F.struct(title.alias("title"), F.lit("").alias("company")))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """SRC-6: url, site, title, company, location, description, salary_raw, wall of pages (url, html).
 
     A shape found in the title tag or og:title gives its parts; else the title is og:title,
-    the first heading, or the title tag.
+    the first heading, or the title tag, parted from the company behind a dash, bar, at or @ (linkedin: at only). A company
+    named by og:site_name wins over that but on linkedin. The place that a site marks wins over the title's. The
+    description is the article, the main part, og:description, or the whole text, to 8,000 characters; pay
+    that a site marks wins over what the description says.
     """
-    df = page_tags(pages.select("url", "html")).withColumn("_og", split_page_title(F.col("og_title"))).withColumn("_tag", split_page_title(F.col("title_tag")))
+    df = page_tags(pages.select("url", "html")).withColumn("_og", split_page_title(F.col("og_title"))).withColumn("_tag", split_page_title(F.col("title_tag"))).withColumn("_site", site_of(F.col("url")))
     first = lambda *c: F.coalesce(*[F.nullif(clean(x), F.lit("")) for x in c], F.lit(""))
+    shaped, linkedin = first(F.col("_og.title"), F.col("_tag.title")), F.col("_site") == "linkedin"
+    named = F.when(linkedin, "").otherwise(first(F.col("_og.company"), F.col("_tag.company"), F.col("og_site")))
+    df = df.withColumn("_plain", first(F.col("og_title"), F.col("h1"), F.col("title_tag"))).withColumn("_named", F.when(linkedin, first(F.col("_og.company"), F.col("_tag.company"))).otherwise(named)).withColumn("_shaped", shaped)
+    at_only = F.when(F.contains("_plain", F.lit(" at ")), F.struct(clean(F.substring_index("_plain", " at ", 1)).alias("title"), bare_company(F.substring_index("_plain", " at ", -1)).alias("company"))).otherwise(F.struct(F.col("_plain").alias("title"), F.lit("").alias("company")))
+    whole = F.struct(F.col("_plain").alias("title"), F.lit("").alias("company"))
+    df = df.withColumn("_parts", F.when((F.col("_shaped") != "") | (F.col("_named") != ""), whole).when(linkedin, at_only).otherwise(_parted(F.col("_plain"))))
+    df = df.withColumn("_text", F.left(first(F.col("main"), F.col("og_text"), F.col("body")), F.lit(8000)))
     return df.select(
-        canonical_url(F.col("url")).alias("url"), site_of(F.col("url")).alias("site"), first(F.col("_og.title"), F.col("_tag.title"), F.col("og_title"), F.col("h1"), F.col("title_tag")).alias("title"),
-        bare_company(first(F.col("_og.company"), F.col("_tag.company"))).alias("company"), first(F.col("_og.location"), F.col("_tag.location")).alias("location"),
-        F.col("body").alias("description"), pay_snippet(F.col("body")).alias("salary_raw"), is_wall(F.col("body"), F.col("title_tag")).alias("wall"),
+        canonical_url(F.col("url")).alias("url"), F.col("_site").alias("site"), first(F.col("_shaped"), F.col("_parts.title")).alias("title"),
+        bare_company(first(F.col("_named"), F.col("_parts.company"))).alias("company"), bare_company(first(F.col("place"), F.col("_og.location"), F.col("_tag.location"))).alias("location"),
+        F.col("_text").alias("description"), F.when(F.col("pay") != "", F.left("pay", F.lit(300))).otherwise(pay_snippet(F.col("_text"))).alias("salary_raw"), is_wall(F.col("body"), F.col("title_tag")).alias("wall"),
     )
 
 
@@ -113,26 +157,32 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
     return p.select("url", clean(F.col("p.title")).alias("title"), clean(F.col("p.hiringOrganization.name")).alias("company"), region.alias("location"), F.to_date(F.left(F.col("p.datePosted"), F.lit(10))).alias("date_posted"), strip_html(F.col("p.description")).alias("description"), F.coalesce(pay, F.lit("")).alias("salary_raw"))
 
 
-_CARD = r"""(?is)<(?:article|li|div)\b[^>]*class="[^"]*\bcard\b[^"]*"[^>]*>(.*?)</(?:article|li)>"""
+_CARD = r"""(?is)(<(?:article|li|div)\b[^>]*class="[^"]*\b(?:card|job-item)\b[^"]*"[^>]*>.*?)</(?:article|li)>"""
 
 
 def extract_cards(pages: DataFrame) -> DataFrame:
-    """SRC-5: url, title, job_url, company, location, salary_raw, age of each card in result pages (url, html).
+    """SRC-5: url, title, job_url, company, location, salary_raw, age, description of each card in result pages (url, html).
 
-    A card is an article, list item or block of class card, ending at the next </article> or
-    </li>; its first link is the posting. Its spans are told apart by content: an age, pay, a
-    place of the region or country; the first two others are company, then location.
+    A card is an article, list item or block of class card or job-item, ending at the next </article> or
+    </li>; the link in its heading, else its first, is the posting, without query and fragment; data-url stands in for a missing one. Its
+    spans are told apart by content, whatever their order: an age, pay, a kind of contract, a place (of the region or country, or
+    with a comma); the first two others are company, then location. A muted paragraph is the age; the paragraph of class mb-0 describes.
     """
     cards = pages.select("url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_CARD), 1)).alias("c"))
     spans = F.transform(F.regexp_extract_all("c", F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), 1), strip_html)
     cards = cards.withColumn("s", F.filter(spans, lambda x: x != ""))
     is_age, is_pay = lambda x: x.rlike(r"(?i)\bago\b|^today$|^just now$"), lambda x: x.rlike(r"[₱$€£¥₹]|(?i)\bPHP\b")
-    is_place = lambda x: x.rlike(r"(?iu)manila|makati|taguig|quezon|pasig|cebu|davao|philippines|\bcity\b|remote")
-    is_type = lambda x: x.rlike(r"(?i)^(full|part)[- ]time$|^contract$|^permanent$|^temporary$|^internship$")
+    is_place = lambda x: x.rlike(r"(?iu)manila|makati|taguig|quezon|pasig|cebu|davao|philippines|\bcity\b|remote|,")
+    is_type = lambda x: x.rlike(r"(?i)^(full|part)[- ]time$|^contract$|^permanent$|^temporary$|^internship$|^freelance$")
     rest = F.filter("s", lambda x: ~(is_age(x) | is_pay(x) | is_type(x) | is_place(x)))
     pick = lambda test: F.coalesce(F.get(F.filter("s", test), F.lit(0)), F.lit(""))
     place = pick(lambda x: is_place(x) & ~is_age(x) & ~is_pay(x))
+    of = lambda pattern: F.regexp_extract("c", pattern, 1)
+    link = F.coalesce(F.nullif(of(r"""(?is)<h3\b[^>]*>.*?(<a\b.*?</a>)"""), F.lit("")), of(r"(?is)(<a\b.*?</a>)"))
+    target = F.coalesce(F.nullif(F.regexp_extract(link, r"""(?is)\bhref="([^"]*)""", 1), F.lit("")), of(r"""(?is)^<[^>]*\bdata-url="([^"]*)"""))
+    muted = strip_html(of(r"""(?is)<p\b[^>]*class="[^"]*\btext-muted\b[^"]*"[^>]*>(.*?)</p>"""))
     return cards.select(
-        "url", strip_html(F.regexp_extract("c", r"(?is)<a\b[^>]*>(.*?)</a>", 1)).alias("title"), F.regexp_extract("c", r"""(?is)<a\b[^>]*href="([^"]*)""", 1).alias("job_url"),
-        F.coalesce(F.get(rest, F.lit(0)), F.lit("")).alias("company"), F.when(place != "", place).otherwise(F.coalesce(F.get(rest, F.lit(1)), F.lit(""))).alias("location"), pick(is_pay).alias("salary_raw"), pick(is_age).alias("age"),
+        "url", strip_html(link).alias("title"), F.regexp_replace(clean(target), "[?#].*$", "").alias("job_url"), F.coalesce(F.get(rest, F.lit(0)), F.lit("")).alias("company"),
+        F.when(place != "", place).otherwise(F.coalesce(F.get(rest, F.lit(1)), F.lit(""))).alias("location"), pick(is_pay).alias("salary_raw"), F.when(muted != "", muted).otherwise(pick(is_age)).alias("age"),
+        strip_html(of(r"""(?is)<p\b[^>]*class="[^"]*\bmb-0\b[^"]*"[^>]*>(.*?)</p>""")).alias("description"),
     )

@@ -79,6 +79,25 @@ def test_cards(spark):
     assert [(r["title"], r["job_url"], r["company"], r["location"], r["salary_raw"], r["age"]) for r in rows] == [("Junior Dev", "/job-9", c, "Makati City", "₱20,000", "3 days ago") for c in ("Acme", "Beta")]
 
 
+def test_marked_places_pay_and_companies(spark):
+    html = [
+        ("https://ph.jobstreet.com/job/1", "<meta property='og:title' content='Dev - Acme Corp | Jobstreet'><div data-automation=jobSalary>₱30,000 – ₱40,000 a month</div><span class='x job-location'>Cebu <b>City</b></span><article>Body <p>text</p></article> more"),
+        ("https://www.linkedin.com/jobs/view/2", "<meta property='og:site_name' content='LinkedIn'><title>x</title><h1>Dev at Beta Inc — Manila</h1><main>Main text</main>"),
+        ("https://e.com/3", "<meta name='og:site_name' content='Gamma'><h1>Dev - Night</h1><meta property='og:description' content='told'>"), ("https://e.com/4", "<h1>Ops @ Delta | Jobs</h1><p>We pay ₱30,000 per month.</p>"),
+    ]
+    got = {r["url"][-1]: r for r in pages.extract_pages(spark.createDataFrame(html, "url string, html string")).collect()}
+    assert {i: (r["title"], r["company"], r["location"], r["description"]) for i, r in got.items()} == {
+        "1": ("Dev", "Acme Corp", "Cebu City", "Body text"), "2": ("Dev", "Beta Inc", "", "Main text"), "3": ("Dev - Night", "Gamma", "", "told"), "4": ("Ops @ Delta", "Jobs", "", "Ops @ Delta | Jobs We pay ₱30,000 per month."),
+    }
+    assert got["1"]["salary_raw"] == "₱30,000 – ₱40,000 a month" and "30,000" in got["4"]["salary_raw"]
+
+
+def test_cards_of_job_lists(spark):
+    card = '<li class="nf-job job-item" data-url="https://t/job-8?x=1#y"><h3><a>Senior Dev</a></h3><p class="text-muted"><small>2 days ago</small></p><div class="nf-job-list-info"><span>Lapu-Lapu, Visayas</span><span>Full-time</span><span>PHP 20,000</span><span>Acme</span></div><div class="nf-job-list-desc"><p class="mb-0">Writes <b>code</b></p></div></li>'
+    (r,) = pages.extract_cards(spark.createDataFrame([("u", f"<ul>{card}</ul>")], "url string, html string")).collect()
+    assert tuple(r) == ("u", "Senior Dev", "https://t/job-8", "Acme", "Lapu-Lapu, Visayas", "PHP 20,000", "2 days ago", "Writes code")
+
+
 JOBS = "id bigint, source string, title string, company string, url string, location string, description string, status string, stage string, scraped_at timestamp, last_seen timestamp, status_updated_at timestamp, applied_at timestamp, score int, salary_display string"
 
 
