@@ -183,25 +183,32 @@ class Reference:
     def longest(self, s: Words, i: int, end: int, low: int, high: int, least: int) -> int:
         """Length of the longest factor from word i on: at the window's first place, or another in a document before ``least``."""
         w, at = self.words, self.place[low:high]
-        at = np.concatenate((at[:1], at[1 : 8 * PLACES][self.ids[at[1 : 8 * PLACES]] < least]))[:PLACES]
-        length, alive = np.zeros(len(at), np.int64), np.arange(len(at))
-        most = np.minimum(end - i, self.end[at] - at)
-        step = 32
+        if len(at) > 1:
+            at = np.concatenate((at[:1], at[1 : 8 * PLACES][self.ids[at[1 : 8 * PLACES]] < least]))[:PLACES]
+        length = self._extended(s, i, end, at)
+        for n in np.argsort(-length, kind="stable") if len(at) > 1 else (0,):
+            of, own = slice(at[n], at[n] + length[n]), slice(i, i + length[n])
+            equal = same(s.wide, s.first[own], s.size[own], w.wide, w.first[of], w.size[of], s.data, w.data)
+            run = int(length[n]) if equal.all() else int(equal.argmin())
+            if run >= self.window:
+                return run
+        return 0
+
+    def _extended(self, s: Words, i: int, end: int, at: np.ndarray) -> np.ndarray:
+        """How many words from word i on have the hashes of those from each place on."""
+        w, most = self.words, np.minimum(end - i, self.end[at] - at)
+        if len(at) == 1:
+            equal = w.hash[at[0] : at[0] + most[0]] == s.hash[i : i + most[0]]
+            return most if equal.all() else np.array([int(equal.argmin())])
+        length, alive, step = np.zeros(len(at), np.int64), np.arange(len(at)), 32
         while len(alive):
-            here = length[alive]
-            k = here[:, None] + np.arange(step)
+            k = length[alive][:, None] + np.arange(step)
             inside = k < most[alive][:, None]
             equal = inside & (w.hash[np.minimum(at[alive][:, None] + k, len(w.hash) - 1)] == s.hash[np.minimum(i + k, len(s.hash) - 1)])
             run = np.where(equal.all(1), step, equal.argmin(1))
             length[alive] += run
             alive, step = alive[run == step], 256
-        for n in np.argsort(-length, kind="stable"):
-            of, own = np.arange(at[n], at[n] + length[n]), np.arange(i, i + length[n])
-            equal = same(s.wide, s.first[own], s.last[own] - s.first[own], w.wide, w.first[of], w.last[of] - w.first[of], s.data, w.data)
-            run = int(length[n]) if equal.all() else int(equal.argmin())
-            if run >= self.window:
-                return run
-        return 0
+        return length
 
     def parse(self, s: Words, windows: np.ndarray, begin: int, end: int, least: int) -> list[int]:
         """Factors of the segment of words [begin, end): first word and last word + 1 of each, counted from the segment's first."""

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,10 @@ class Words:
     hash: np.ndarray
     n_docs: int
 
+    @cached_property
+    def size(self) -> np.ndarray:
+        return self.last - self.first
+
     def per_doc(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
 
