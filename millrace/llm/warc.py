@@ -181,17 +181,50 @@ def _cells(sizes: DataFrame, shard_bytes: int, bits: int) -> list[tuple[int, int
         shift = max(0, min(shift - 1, max((r["high"] - r["low"]).bit_length() for r in over) - step))
 
 
-def _with_shard(df: DataFrame, cells: dict[bool, list[tuple[int, int, int]]], shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds the number of the shard: neighbouring cells together, as many as fit; pages with an id, then those without."""
+#: Leading bits of the payload's digest by which the rows of one large id are parted.
+_SHA_BITS = 8
+
+
+def _sha_part(sha: str = "sha"):
+    return F.shiftright(F.conv(F.hex(F.substring(sha, 1, 2)), 16, 10).cast("int"), 16 - _SHA_BITS)
+
+
+def _parted(marks: DataFrame, no_id: bool, cells: list[tuple[int, int, int]], shard_bytes: int) -> dict[int, dict[int, int]]:
+    """Bytes by leading digest bits of each id that holds more than a quarter of a shard by itself."""
+    large = [(key,) for shift, key, size in cells if not shift and size > shard_bytes / 4]
+    if not large:
+        return {}
+    keys = marks.sparkSession.createDataFrame(large, "_k long")  # four a shard at most
+    rows = marks.where(F.col("no_id") == no_id).join(F.broadcast(keys), F.col("key") == F.col("_k"), "left_semi")
+    out: dict[int, dict[int, int]] = {}
+    for r in rows.groupBy("key", _sha_part().alias("part")).agg(F.sum(F.col("n").cast("long") + 512).alias("bytes")).collect():
+        out.setdefault(r["key"], {})[r["part"]] = r["bytes"]
+    return out
+
+
+def _with_shard(df: DataFrame, cells: dict[bool, list[tuple[int, int, int]]], large: dict[bool, dict[int, dict[int, int]]], shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds the number of the shard: neighbouring cells together, as many as fit; pages with an id, then those without.
+
+    The rows of a large id are parted by the leading bits of their payloads' digests.
+    """
     found, shard = [F.lit(None).cast("int")], -1
     for no_id, ranges in cells.items():
-        tables, held = {}, 0
+        tables, parts, held = {}, [], 0
         shard += bool(ranges)
-        for shift, key, size in sorted(ranges, key=lambda c: c[1] << c[0]):
-            if held and held + size > shard_bytes:
-                held, shard = 0, shard + 1
-            held += size
-            tables.setdefault(shift, []).append((key, shard))
+        for shift, key, whole in sorted(ranges, key=lambda c: c[1] << c[0]):
+            by_part = {} if shift else large[no_id].get(key, {})
+            for part, size in sorted(by_part.items()) or [(None, whole)]:
+                if held and held + size > shard_bytes:
+                    held, shard = 0, shard + 1
+                held += size
+                if part is None:
+                    tables.setdefault(shift, []).append((key, shard))
+                else:
+                    parts.append((key, part, shard))
+        if parts:
+            table = df.sparkSession.createDataFrame(parts, f"_k{int(no_id)} long, _part{int(no_id)} int, _large{int(no_id)} int")
+            df = df.join(F.broadcast(table), (F.col("no_id") == no_id) & (F.col("key") == F.col(f"_k{int(no_id)}")) & (_sha_part() == F.col(f"_part{int(no_id)}")), "left")
+            found.append(F.col(f"_large{int(no_id)}"))
         for shift, rows in tables.items():
             name = f"{shift}_{int(no_id)}"
             table = df.sparkSession.createDataFrame(rows, f"_key{name} long, _shard{name} int")
@@ -214,7 +247,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
     their payload (refers_to is null in revisits of such a response; their WARC-Refers-To names
     it), and share a shard only if they share payload and url; of rows that share an id and payload
     one is a response and the others revisit that id; payloads of one id are told apart by
-    digest, each a response or a revisit of its own; rows of one id share a shard;
+    digest, each a response or a revisit of its own; rows of one id lie in one shard or, where they
+    hold more than a quarter of one, in neighbouring ones by digest, so only rows with the same id and payload must share a task;
     extra columns are ignored; no rows give an empty manifest.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
@@ -230,7 +264,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 26, file_bytes:
     verdict = marks.join(first, ["sha", "n"]).select("no_id", "key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first", "first_no_id")
     verdict = verdict.dropDuplicates(["no_id", "key", "sha"]).withColumn("kind", F.lit(0))
     both = verdict.unionByName(data.withColumn("first", F.lit(None).cast("long")).withColumn("first_no_id", F.lit(None).cast("boolean")).withColumn("kind", F.lit(1)))
-    both, n_shards = _with_shard(both, cells, shard_bytes)
+    large = {no_id: _parted(marks, no_id, found, shard_bytes) for no_id, found in cells.items()}
+    both, n_shards = _with_shard(both, cells, large, shard_bytes)
     both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("no_id", "key", "sha", "kind", "url")
 
     def scan(batches):

@@ -80,3 +80,23 @@ def test_shards_grow_where_there_would_be_too_many(spark, tmp_path):
     manifest = warc.write(pages, tmp_path.as_uri(), shard_bytes=1, most_shards=4)
     assert 1 < manifest.select("shard").distinct().count() <= 8
     assert warc.read(manifest, tmp_path.as_uri()).count() == 60
+
+
+def test_rows_of_one_large_id_spread_over_shards(spark, tmp_path):
+    rows = [(5, "u", f"{i % 60} " * 400) for i in range(120)] + [(None, "v", f"n{i}" * 600) for i in range(10)] + [(i, "w", f"{i} " * 400) for i in range(20)]
+    written = []
+    for name in ("one", "two"):
+        folder = tmp_path / name
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2 + len(name))
+        manifest = warc.write(pages, folder.as_uri(), shard_bytes=1 << 13)
+        written.append(sorted(map(tuple, manifest.collect())))
+    assert written[0] == written[1] and len({r[0] for r in written[0]}) > 15
+    got = warc.read(manifest, folder.as_uri(), payload=True).collect()
+    assert len(got) == len(rows) and len({h["WARC-Record-ID"] for h in heads(manifest, folder)}) == len(rows)
+    first = {}
+    for i, _, text in rows:
+        first[text] = min(first.get(text, 10**9), 10**9 if i is None else i)
+    for r in got:
+        if r["record_type"] == "response" and r["page_id"] is not None:
+            assert first[r["html"]] == r["page_id"]
+    assert sum(r["record_type"] == "response" for r in got) == len(first)
