@@ -69,7 +69,7 @@ def candidates(f: dict, worth: np.ndarray, n: int, reach: float, most: int) -> n
 
 
 def approximate_top_k(
-    df: DataFrame, every: int, k: int = 20, trees: int = 64, leaf: int = 96, reach: float = 0.2, part: float = 0.1, spread: int = 10, key: str = "vec_id", vector: str = "embedding", shard_bytes: int = 1 << 25
+    df: DataFrame, every: int, k: int = 20, trees: int = 64, leaf: int = 48, reach: float = 0.2, part: float = 0.1, spread: int = 12, key: str = "vec_id", vector: str = "embedding", shard_bytes: int = 1 << 25
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, nearest first.
 

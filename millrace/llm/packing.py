@@ -5,6 +5,9 @@ inside its partition. The partitions' totals, one row each, are summed up to the
 offset of every partition. Pass 2 adds both, cuts each document where a multiple of
 the sequence length falls, and writes a boundary record for every piece. No text or
 ids are shuffled. All sequences but the last are full.
+
+What goes through one window and to every task is a row for each task of pass 1: with input
+partitions of 128 MB that is under a million rows, some 20 MB, at 100 TB.
 """
 
 from __future__ import annotations

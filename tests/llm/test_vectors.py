@@ -56,7 +56,7 @@ def test_forest_ranks_a_tenth_of_the_rows_and_finds_nine_tenths_of_the_nearest(s
     scores = x[queries] @ x.T
     scores[np.arange(len(queries)), queries] = -np.inf
     nearest = np.argsort(-scores, axis=1)[:, :20]
-    f = knn_forest.forest(x, 64, 96)
+    f = knn_forest.forest(x, 64, 48)
     ranked = [knn_forest.candidates(f, w, len(x), 0.2, len(x) // 10) for w in knn_forest.far_sides(f, x[queries])]
     assert max(map(len, ranked)) == len(x) // 10
     assert np.mean([len(np.intersect1d(a, b)) / 20 for a, b in zip(ranked, nearest, strict=True)]) > 0.95
