@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 6, block_byt
     def third_round(left: pa.Table, masks: pa.Table) -> pa.Table:
         out: dict[tuple[int, bytes], tuple[bytes, int]] = {}
         chunk = left["chunk"][0].as_py() if left.num_rows else 0
-        if left.num_rows and masks.num_rows:
+        if left.num_rows:  # a block without answers may repeat itself
             block = _Block(left, window, phrase, True)
             for digest, text, (doc, _, _, source) in block.passages(block.segments(masks, buckets, chunk, window)):
                 out.setdefault((source, digest), (text, int(block.ids[doc])))  # ids ascend
@@ -333,11 +333,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 6, block_byt
     def finish(left: pa.Table, masks: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out_schema.empty_table()
-        some = masks.num_rows > 0
-        block = _Block(left, window, phrase, some)
+        block = _Block(left, window, phrase, True)
         answers = _answers(masks, 3)
         found: dict[int, list[tuple[int, int]]] = {}
-        for digest, _, (doc, start, _, source) in block.passages(block.segments(masks, buckets, left["chunk"][0].as_py(), window)) if some else ():
+        for digest, _, (doc, start, _, source) in block.passages(block.segments(masks, buckets, left["chunk"][0].as_py(), window)):
             factors = np.frombuffer(answers[digest, source][1], np.int32).reshape(-1, 2) + start
             found.setdefault(doc, []).extend(map(tuple, factors.tolist()))
         removed, spans, factors, digests, kept = [], [], [], [], []

@@ -84,6 +84,14 @@ def test_odd_rows(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_a_document_that_only_repeats_itself(spark):
+    rows = [(1, "a a a a " * 30), (2, " ".join(f"w{i % 25}" for i in range(100))), (3, " ".join(f"v{i}" for i in range(100)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1 << 8, 1 << 21):
+        got, _ = found(df, block_bytes=size)
+        assert got == plain(rows) and [r[2] for r in got] == [119, 75, 0]
+
+
 def test_parse_takes_the_longest_factor_and_looks_across_boundaries():
     w = lambda name, n: [f"{name}{i}" for i in range(n)]
     a, b = w("a", 40), w("b", 40)
