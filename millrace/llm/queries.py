@@ -13,6 +13,7 @@ from . import (
     q08_knn_forest,
     q09_warc,
     q10_sharding,
+    q11_alignment,
 )
 
 _MODULES = (
@@ -26,6 +27,7 @@ _MODULES = (
     q08_knn_forest,
     q09_warc,
     q10_sharding,
+    q11_alignment,
 )
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL}
