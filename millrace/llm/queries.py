@@ -14,6 +14,7 @@ from . import (
     q09_warc,
     q10_sharding,
     q11_alignment,
+    q12_filter_audit,
 )
 
 _MODULES = (
@@ -28,6 +29,7 @@ _MODULES = (
     q09_warc,
     q10_sharding,
     q11_alignment,
+    q12_filter_audit,
 )
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL}
