@@ -15,6 +15,7 @@ from . import (
     q10_sharding,
     q11_alignment,
     q12_filter_audit,
+    q13_url_filter,
 )
 
 _MODULES = (
@@ -30,6 +31,7 @@ _MODULES = (
     q10_sharding,
     q11_alignment,
     q12_filter_audit,
+    q13_url_filter,
 )
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL}
