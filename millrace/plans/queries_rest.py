@@ -8,7 +8,7 @@ from ..functions import experience, salary, text, urls
 from ..operators import dedupe, gates, merge, mining, projections, reports, scoring
 from ..operators.lineage import shared_folder
 from ..sources import pages, payloads
-from ..sources.snapshots import Snapshots
+from ..sources.buckets import JobBuckets
 from ..streaming import ingest
 from . import bindings as b
 from .bindings import HELD_SQL, JOBS_SQL, RAW_SQL
@@ -411,18 +411,39 @@ def stream_dedupe(spark, d):
     return left.groupBy(F.when(F.col("fp") != "", F.col("fp")).otherwise(F.concat(F.lit("|"), F.col("url_key"))).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str1_stream_ingest", f"""
-WITH {RAW_SQL}, k AS (SELECT seq, source_rank, title, {FP('title', 'company')} AS fp, {URL('job_url')} AS u FROM raw), x AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY source_rank, seq) AS i FROM k), y AS (SELECT * FROM x WHERE i = 1), z AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY source_rank, seq) AS j FROM y)
-SELECT u AS url, trim(coalesce(title, '')) AS title, CAST(1 AS BIGINT) AS n FROM z WHERE j = 1 OR fp = ''""")
-def stream_ingest(spark, d):
-    """The postings are landed twice; the second time nothing is added."""
+_FIRST_SQL = lambda name, rows: f"{name}_k AS (SELECT seq, source_rank, title, {FP('title', 'company')} AS fp, {URL('job_url')} AS u FROM raw WHERE {rows}), {name}_x AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY source_rank, seq) AS i FROM {name}_k), {name}_y AS (SELECT * FROM {name}_x WHERE i = 1 OR u = ''), {name}_z AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY source_rank, seq) AS j FROM {name}_y), {name} AS (SELECT * FROM {name}_z WHERE j = 1 OR fp = '')"
+
+
+def _light(rows):
+    return rows.select("seq", F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("company", F.lit("")).alias("company"), F.col("url_key").alias("url"), F.lit("NEW").alias("status"), F.col("description"))
+
+
+def _ingested(spark, d, parts) -> "JobBuckets":
+    """The jobs after each part of the postings was landed and streamed in."""
     folder = shared_folder(spark)
-    store = Snapshots(spark, f"{folder}/jobs")
+    like = b.jobs(spark, d).withColumn("salary_display", F.lit(""))
+    store = JobBuckets(spark, f"{folder}/jobs", like.schema, buckets=16)
     raw = b.raw_postings(spark, d).withColumn("url_key", urls.url_key(F.col("job_url")))
-    store.write(b.jobs(spark, d).limit(0).withColumn("salary_display", F.lit("")))
-    for _ in range(2):
-        raw.write.mode("append").parquet(f"{folder}/in")
+    for rows in parts:
+        raw.where(rows).write.mode("append").parquet(f"{folder}/in")
         stream = ingest.read_parquet_stream(spark, f"{folder}/in", raw, per_batch=1000)
-        light = lambda rows: rows.select("seq", F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("company", F.lit("")).alias("company"), F.col("url_key").alias("url"), F.lit("NEW").alias("status"), F.col("description"))
-        ingest.stream_ingest(stream, store, light, lambda jobs, new: merge.merge_postings(jobs, new, AS_OF)[0], f"{folder}/state").awaitTermination()
-    return store.read().groupBy("url", "title").agg(F.count(F.lit(1)).alias("n"))
+        ingest.stream_ingest(stream, store, _light, lambda jobs, new: merge.merge_postings(jobs, new, AS_OF)[0], f"{folder}/state").awaitTermination()
+    return store
+
+
+@query("str1_stream_ingest", f"""
+WITH {RAW_SQL}, {_FIRST_SQL("a", "true")}
+SELECT u AS url, trim(coalesce(title, '')) AS title, CAST(1 AS BIGINT) AS n FROM a""")
+def stream_ingest(spark, d):
+    """The postings are landed twice; the second time nothing is added."""
+    return _ingested(spark, d, ["true", "true"]).read().groupBy("url", "title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("str1_ingest_batches", f"""
+WITH {RAW_SQL}, {_FIRST_SQL("a", "seq % 3 <> 0")}, {_FIRST_SQL("c", "seq % 3 = 0")},
+n AS (SELECT * FROM c WHERE (fp = '' OR fp NOT IN (SELECT fp FROM a)) AND (u = '' OR u NOT IN (SELECT u FROM a)))
+SELECT u AS url, trim(coalesce(title, '')) AS title, CAST(0 AS BIGINT) AS batch FROM a UNION ALL SELECT u, trim(coalesce(title, '')), 1 FROM n""")
+def ingest_batches(spark, d):
+    """Two landings; which batch added a job is told by its id."""
+    jobs = _ingested(spark, d, ["seq % 3 != 0", "seq % 3 = 0"]).read()
+    return jobs.select("url", "title", (F.shiftright("id", 32) - 1).alias("batch"))

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from . import queries, queries_more, queries_rest, queries_streams, queries_whole  # noqa: E402, F401  registers all
+from . import queries, queries_more, queries_rest, queries_streams  # noqa: E402, F401  registers all

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import merge, projections
 from millrace.sources import pages, payloads
-from millrace.sources.snapshots import Snapshots
+from millrace.sources.buckets import PER_BATCH, JobBuckets
 from millrace.streaming import ingest
 
 
@@ -103,26 +103,14 @@ JOBS = "id bigint, source string, title string, company string, url string, loca
 
 def test_ingest_twice_adds_nothing(spark, tmp_path):
     at = "2026-01-31"
-    store = Snapshots(spark, f"file://{tmp_path}/jobs")
-    store.write(spark.createDataFrame([], JOBS))
+    store = JobBuckets(spark, f"file://{tmp_path}/jobs", spark.createDataFrame([], JOBS).schema, buckets=4)
     raw = spark.range(40).selectExpr("id AS seq", "concat('Dev ', id % 10) AS title", "'Acme' AS company", "concat('https://x/', id % 20) AS job_url", "concat('https://x/', id % 20) AS url_key", "CAST(0 AS INT) AS source_rank", "'' AS location", "'about' AS description", "'indeed' AS site")
     for part in (0, 1):
         raw.repartition(2).write.mode("append").parquet(f"{tmp_path}/raw")
         stream = ingest.read_parquet_stream(spark, f"{tmp_path}/raw", raw)
         ingest.stream_ingest(stream, store, lambda df: projections.to_jobs_rows(df, at), lambda jobs, new: merge.merge_postings(jobs, new, at)[0], f"{tmp_path}/state").awaitTermination()
         jobs = store.read()
-        assert jobs.count() == 10 and jobs.select("id").distinct().count() == 10 and jobs.agg(F.max("id")).first()[0] == 10
-    assert store.versions() == [0, 1, 2]
-
-
-def test_versions_that_are_kept(spark, tmp_path):
-    store = Snapshots(spark, f"file://{tmp_path}/t", keep=2)
-    assert store.versions() == [] and not store.holds(0)
-    for n in range(5):
-        assert store.write(spark.range(n)) == n
-    assert store.versions() == [3, 4] and [store.read(v).count() for v in (3, 4)] == [3, 4] and store.read().count() == 4 and store.holds(3) and not store.holds(4)
-    with pytest.raises(ValueError, match="no version 2"):
-        store.read(2)
+        assert jobs.count() == 10 and jobs.agg(F.max("id")).first()[0] == PER_BATCH + 10 and jobs.select("id").distinct().count() == 10
 
 
 def test_stream_dedupe(spark, tmp_path):

@@ -26,7 +26,7 @@ def test_every_order_has_its_pay(spark):
         z, kind = a + key % 1000, key % 5
         span = short(a) if a == z else f"{short(a)}–{short(z)}"
         want[key] = [f"PHP {span}/mo" if z >= 5000 else "", f"USD {short(a)}/yr (~USD {short(a / 12)}/mo)", span, "", ""][kind]
-    got = {r["id"]: r["display"] for r in registry.QUERIES["fn27_format_salary_all"](spark, SF).collect()}
+    got = {r["id"]: r["display"] for r in registry.QUERIES["fn27_format_salary"](spark, SF).collect()}
     assert got == want and sum("/yr (~USD" in x for x in got.values()) == sum(k % 5 == 1 for k in want) > 0
 
 
@@ -45,7 +45,7 @@ def test_every_job_has_its_page_title(spark):
             if found := re.fullmatch(pattern, text.strip(), re.I):
                 want[key] = tuple(found[i].strip() if i else "" for i in parts)
                 break
-    got = {r["id"]: (r["title"], r["company"], r["location"]) for r in registry.QUERIES["fn29_page_titles_all"](spark, SF).collect()}
+    got = {r["id"]: (r["title"], r["company"], r["location"]) for r in registry.QUERIES["fn29_page_titles"](spark, SF).collect()}
     assert got == want
     assert sum(x == ("", "", "") for x in got.values()) > 300 and any(" in " in x[1] for x in got.values())
 
@@ -57,7 +57,7 @@ def loop(text):
 
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 def test_every_page_has_its_title(spark, sf):
-    got = {r["page_id"]: r["title"] for r in registry.QUERIES["src6_page_heads_all"](spark, sf).collect()}
+    got = {r["page_id"]: r["title"] for r in registry.QUERIES["src6_page_heads"](spark, sf).collect()}
     want = {i: loop(t) for i, t in duckdb.execute(f"SELECT page_id, html FROM '{sf}/pages.parquet'").fetchall()}
     assert got == want and any("&" in x for x in got.values())
 
