@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.location import in_region
 from ..functions.text import desc_snippet, est_tokens, fingerprint, let, loc_tokens, norm_company, norm_title, parse_verdicts, phrases, tokens
 from .reports import top_n_per_side
-from .scoring import rule_sets, skill_hits
+from .patterns import rule_hits
+from .scoring import skill_hits
 
 GOOD, BAD = ["APPLIED", "REVIEWED"], ["REJECTED", "SKIP", "MISMATCH", "EXP_GAP"]
 
@@ -88,12 +89,8 @@ def token_hits(df: DataFrame, patterns: DataFrame, kind: str, key: str = "seq")
 
 def phrase_hits(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """JON-6: adds ``phrase_hits``: mined phrases that are substrings of the normal title."""
-    df = df.join(F.broadcast(rule_sets(patterns).select("_phrases")))
-    return df.withColumn("phrase_hits", _inside(F.col("title"))).drop("_phrases")
-
-
-def _inside(title: Column) -> Column:
-    return let(norm_title(title), lambda t: F.filter("_phrases", lambda p: F.contains(t, p)))
+    df = rule_hits(df, patterns.where("kind = 'phrase'"), {}, norm_title(F.col("title")))
+    return df.withColumn("phrase_hits", F.col("_hits.phrase")).drop("_hits")
 
 
 def apply_rules(df: DataFrame, patterns: DataFrame, lab: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
@@ -102,17 +99,16 @@ def apply_rules(df: DataFrame, patterns: DataFrame, lab: DataFrame, lexicon: dic
     Order: decided before, place (outside the region only), title word, title phrase,
     company, skill. Hits are listed in sorted order.
     """
-    df = already_judged(df, lab).join(F.broadcast(rule_sets(patterns)))
     company = F.lower(F.trim(F.coalesce("company", F.lit(""))))
-    places = F.when(~in_region(F.col("location")), F.sort_array(F.array_intersect(loc_tokens(F.col("location")), "_locations")))
-    words, phrases_in = F.sort_array(F.array_intersect(tokens(F.col("title")), "_keywords")), _inside(F.col("title"))
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    skills = F.sort_array(F.array_intersect(skill_hits(text, lexicon), "_skills"))
+    values = {"location": F.when(~in_region(F.col("location")), loc_tokens(F.col("location"))), "keyword": tokens(F.col("title")), "company": F.array(company), "skill": skill_hits(text, lexicon)}
+    df = rule_hits(already_judged(df, lab), patterns, values, norm_title(F.col("title")))
+    places, words, phrases_in, skills = (F.col(f"_hits.{k}") for k in ("location", "keyword", "phrase", "skill"))
     seen = F.concat(F.lit("repeat-seen:"), F.lower("judged.status"), F.lit(":"), F.substring("judged.company", 1, 40), F.lit("|"), F.substring("judged.title", 1, 40))
     listed = lambda name, hits, by: let(hits, lambda h: F.when(F.size(h) > 0, F.concat(F.lit(f"{name}:"), F.array_join(h, by))))
-    by_company = F.when((company != "") & F.array_contains("_companys", company), F.concat(F.lit("company:"), company))
+    by_company = F.when(F.size("_hits.company") > 0, F.concat(F.lit("company:"), company))
     reason = F.coalesce(seen, listed("location", places, ","), listed("title-keyword", words, ","), listed("title-phrase", phrases_in, "|"), by_company, listed("desc-skill", skills, ","))
-    return df.withColumn("filter_reason", reason).drop("judged", "_keywords", "_phrases", "_companys", "_locations", "_skills")
+    return df.withColumn("filter_reason", reason).drop("judged", "_hits")
 
 
 def assign_chunks(df: DataFrame, size: int, most: int, order: list[str]) -> DataFrame:

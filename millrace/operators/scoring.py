@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.experience import demands
 from ..functions.text import let, norm_title, quals_section, tokens
+from .patterns import rule_hits
 
 # Skills and what counts as a mention.
 SKILLS = {
@@ -80,32 +81,19 @@ def flatten_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_id", F.lower(F.array_join(parts, "\n")).alias("text"))
 
 
-def rule_sets(patterns: DataFrame, most: int = 100_000) -> DataFrame:
-    """One row of sorted arrays from patterns (kind, value), kinds keyword, phrase, company, location, skill.
-
-    The row goes to every task, so more than ``most`` rules are an error; words, places and
-    companies beyond that are matched by value with token_hits.
-    """
-    kinds = ["keyword", "phrase", "company", "location", "skill"]
-    too_many = F.raise_error(F.lit(f"more than {most} rules: use token_hits"))
-    values = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value"))))
-    return patterns.agg(*[F.when(F.count(F.lit(1)) > most, too_many).otherwise(values(k)).alias(f"_{k}s") for k in kinds])
-
-
 def penalty(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """SCO-2: adds ``penalty`` (0 or less) and ``penalty_notes`` for a posting's company and title."""
-    df = df.join(F.broadcast(rule_sets(patterns)))
     company = F.lower(F.trim(F.coalesce("company", F.lit(""))))
-    df = df.withColumn("_avoided", (company != "") & F.array_contains("_companys", company)).withColumn("_norm", norm_title(F.col("title")))
-    df = df.withColumn("_hits", F.sort_array(F.array_intersect(tokens(F.col("title")), "_keywords"))).withColumn("_inside", F.slice(F.filter("_phrases", lambda p: F.contains(F.col("_norm"), p)), 1, 2))
-    avoided, hits, inside = F.col("_avoided"), F.col("_hits"), F.col("_inside")
+    df = rule_hits(df, patterns, {"keyword": tokens(F.col("title")), "company": F.array(company)}, norm_title(F.col("title")))
+    df = df.withColumn("_avoided", F.size("_hits.company") > 0).withColumn("_words", F.col("_hits.keyword")).withColumn("_inside", F.slice("_hits.phrase", 1, 2)).drop("_hits")
+    avoided, hits, inside = F.col("_avoided"), F.col("_words"), F.col("_inside")
     words = F.when(F.size(hits) > 0, F.least(F.size(hits) * WORD_COST, F.lit(WORD_CAP))).when(F.size(inside) > 0, WORD_COST).otherwise(0)
     notes = F.array_compact(F.array(
         F.when(avoided, F.concat(F.lit("avoided company ("), F.trim("company"), F.lit(")"))),
         F.when(F.size(hits) > 0, F.concat(F.lit("reject-pattern: "), F.array_join(F.slice(hits, 1, 3), ","))).when(F.size(inside) > 0, F.concat(F.lit("reject-pattern: "), F.array_join(inside, "|"))),
     ))
     cost = -(F.when(avoided, COMPANY_COST).otherwise(0) + words)
-    return df.withColumn("penalty", cost.cast("int")).withColumn("penalty_notes", notes).drop("_keywords", "_phrases", "_companys", "_locations", "_skills", "_avoided", "_norm", "_hits", "_inside")
+    return df.withColumn("penalty", cost.cast("int")).withColumn("penalty_notes", notes).drop("_avoided", "_words", "_inside")
 
 
 def score(df: DataFrame, profiles: DataFrame, patterns: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:

@@ -138,8 +138,6 @@ def test_sorts_and_small_operators(spark):
     assert grown.where("id = 2").select("seen", F.col("status_updated_at").cast("date").cast("string")).first() == (7, "2026-01-02")
     rules = spark.createDataFrame([("keyword", "cold"), ("company", "cold")], "kind string, value string")
     assert mining.exclude_guarded(rules, rules.where("kind = 'company'")).collect() == [("keyword", "cold")]
-    with pytest.raises(Exception, match="more than 1 rules"):
-        scoring.rule_sets(rules, 1).select("_keywords").collect()
     kind = "profile_id string, summary struct<variants:array<string>>, skills array<struct<group:string,items:array<string>>>, experience array<struct<title:string,bullets:array<string>>>, soft_skills array<string>"
     profile = spark.createDataFrame([("p", (["python"],), None, None, None)], kind)
     stored = df.withColumn("profile_id", F.lit("p")).withColumn("title", F.lit("Python")).withColumn("score_reason", F.lit("old"))
