@@ -134,9 +134,14 @@ def _referred(e: Column) -> Column:
     """What one character reference stands for; itself if for nothing."""
     number = F.regexp_replace(e, "^&#[xX]?0*|;$", "")
     value = lambda base: F.when(F.length(number) > 7, 0x110000).when(number == "", 0).otherwise(F.conv(number, base, 10).try_cast("long"))  # noqa: E731  longer ones are no characters
-    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # a constant
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, sign in html5.items():
+        by_letter.setdefault(name[0], {})[name] = sign
+    # a constant; a map is searched entry by entry, so names are parted by their first letter
+    letters = F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+    named = F.try_element_at(letters, F.substr(e, F.lit(2), F.lit(1)))
     legacy = F.regexp_extract(F.substr(e, F.lit(2)), _LEGACY, 1)
-    begin = F.when(legacy != "", F.concat(F.element_at(named, legacy), F.substr(e, F.length(legacy) + 2))).otherwise(e)
+    begin = F.when(legacy != "", F.concat(F.try_element_at(named, legacy), F.substr(e, F.length(legacy) + 2))).otherwise(e)
     out = F.when(e == "&amp;", "&").when(e == "&nbsp;", "\xa0").when(e == "&lt;", "<").when(e == "&gt;", ">").when(e == "&quot;", '"')
     return out.when(e.rlike("^&#[xX]"), _character(value(16))).when(e.startswith("&#"), _character(value(10))).otherwise(F.coalesce(F.try_element_at(named, F.substr(e, F.lit(2))), begin))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean
+from .text import clean, let
 
 # Known sites, label names, parameters that only track, parameters that identify.
 SITES = ["indeed", "linkedin", "jobstreet", "glassdoor", "trabajo", "greenhouse", "lever", "ashby", "remoteok", "kalibrr", "jora", "grabjobs"]
@@ -20,7 +20,7 @@ def url_key(c: Column) -> Column:
 
 
 def host(c: Column) -> Column:
-    return F.lower(F.regexp_extract(clean(c), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(clean(c), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#]*@)?([^/?#:]*)", 1))
 
 
 def _first_name(c: Column, names: list[str], default: Column) -> Column:
@@ -43,38 +43,44 @@ def source_label(site: Column, url: Column, names: list[str] = JOB_LABELS) -> Co
 
 
 def canonical_url(c: Column) -> Column:
-    """FN-6: one form of a link: https by default, lower-case scheme and host, no default port,
-    fragment, tracking parameters or slash at the end; path and query keep their case, and
-    the query's names and values are read and escaped anew.
+    """FN-6: one form of a link: https by default, lower-case scheme and host, no login, default port,
+    parameters of the last segment, fragment, tracking parameters or slash at the end; path and query keep
+    their case, and the query's names and values are read and escaped anew.
 
     Sites with parameters that identify a posting keep those alone; a redirect of trabajo
-    gives the path it wraps. Empty and null become empty.
+    gives the path it wraps (in url, else u, else redirect). A text without a host is only put in lower case. Empty and null become empty.
     """
-    raw = clean(c)
-    u = F.when(F.contains(raw, F.lit("://")), raw).otherwise(F.concat(F.lit("https://"), raw))
-    part = lambda pattern, group=1: F.regexp_extract(u, pattern, group)
-    where = host(u)
-    port = F.regexp_extract(part(r"^[^:/?#]+://([^/?#]*)"), ":([0-9]+)$", 1)
-    path, params = part(r"^[^:/?#]+://[^/?#]*([^?#]*)"), F.filter(F.split(part(r"^[^?#]*\?([^#]*)"), "&"), lambda p: p != "")
+    start = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)"
+    segment = lambda x: F.regexp_replace(x, r";[^/]*\z", "")
     read = lambda x: F.coalesce(F.try_url_decode(x), x)
-    escaped = lambda x: F.replace(F.replace(F.url_encode(read(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    escaped = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, F.lit("=")) + 1)).otherwise("")
-    anew = lambda p: F.concat(escaped(F.substring_index(p, "=", 1)), F.lit("="), escaped(value(p)))
-    key = lambda p: F.lower(read(F.substring_index(p, "=", 1)))
-    only = lambda names: F.filter(params, lambda p: key(p).isin(names))
-    kept = F.filter(params, lambda p: ~key(p).isin(TRACKING))
-    for site, names in IDENTITY.items():
-        kept = F.when(site_of(u) == site, only(names)).otherwise(kept)
-    query = F.array_join(F.transform(kept, anew), "&")
-    target = F.coalesce(F.try_url_decode(F.regexp_extract(u, r"[?&](?:url|u|redirect)=([^&#]+)", 1)), F.lit(""))
-    inner = F.when(target.startswith("/"), F.regexp_extract(target, "^[^?#]*", 0)).when(F.contains(target, F.lit("trabajo")), F.regexp_extract(target, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)).otherwise("")
-    wrapped = F.contains(where, F.lit("trabajo")) & (inner != "")
-    path, query = F.when(wrapped, inner).otherwise(path), F.when(wrapped, "").otherwise(query)
-    out = F.concat(
-        F.lower(part("^([^:/?#]+)://")), F.lit("://"), where, F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)),
-        F.regexp_replace(path, "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
-    )
-    return F.when(raw == "", "").when(where == "", F.regexp_replace(F.lower(u), "/+$", "")).otherwise(F.regexp_replace(out, "/+$", ""))
+    pair = lambda p: F.struct(read(F.substring_index(p, "=", 1)).alias("n"), read(value(p)).alias("v"))
+
+    def parts(u: Column) -> Column:
+        place = F.regexp_replace(F.regexp_extract(u, start, 2), "^.*@", "")
+        params = F.transform(F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != ""), pair)
+        where = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(place, "^[^:]*", 0))
+        port = F.coalesce(F.regexp_extract(place, r":0*([0-9]{1,5})\z", 1).try_cast("int"), F.lit(0))
+        return F.struct(u.alias("u"), F.lower(F.regexp_extract(u, start, 1)).alias("scheme"), F.lower(where).alias("where"), port.alias("port"), segment(F.regexp_extract(u, start + "([^?#]*)", 3)).alias("path"), params.alias("params"))
+
+    def target(p: Column) -> Column:
+        given = lambda n: F.nullif(F.try_element_at(F.filter(p["params"], lambda x: x["n"] == n), F.lit(-1))["v"], F.lit(""))
+        return F.when(F.contains(p["where"], F.lit("trabajo")), F.coalesce(given("url"), given("u"), given("redirect"))).otherwise(F.lit(None))
+
+    def joined(p: Column) -> Column:
+        names = F.filter(p["params"], lambda x: ~F.lower(x["n"]).isin(TRACKING))
+        only = lambda known: F.filter(p["params"], lambda x: F.lower(x["n"]).isin(known))
+        for site, known in IDENTITY.items():
+            names = F.when(site_of(p["u"]) == site, only(known)).otherwise(names)
+        query = F.array_join(F.transform(names, lambda x: F.concat(escaped(x["n"]), F.lit("="), escaped(x["v"]))), "&")
+        wrapped = lambda t: F.when(t.startswith("/"), t).when(F.contains(t, F.lit("trabajo")), segment(F.regexp_extract(t, start + "([^?#]*)", 3))).otherwise("")
+        rest = let(let(target(p), wrapped), lambda inner: F.when(inner != "", inner).otherwise(F.concat(F.regexp_replace(p["path"], "/+$", ""), let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))))
+        out = F.concat(p["scheme"], F.lit("://"), p["where"], F.when(p["port"].isin(0, 80, 443), "").otherwise(F.concat(F.lit(":"), p["port"].cast("string"))), rest)
+        return F.regexp_replace(F.when(p["where"] == "", F.lower(p["u"])).otherwise(out), "/+$", "")
+
+    linked = let(clean(c), lambda raw: F.when(F.contains(raw, F.lit("://")) | (raw == ""), raw).otherwise(F.concat(F.lit("https://"), raw)))
+    return let(let(linked, parts), joined)
 
 
 def clean_id_url(c: Column, name: str) -> Column:

@@ -24,9 +24,14 @@ _case = lambda c, names, default: "CASE " + " ".join(f"WHEN contains({c}, '{n}')
 @query("fn6_canonical_url", f"""
 WITH p AS (SELECT page_id, trim(url) AS u, lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path,
   array_to_string(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN {_quoted(urls.TRACKING)}), '&') AS q FROM pages)
-SELECT page_id, regexp_replace(lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) || '://' || host || regexp_replace(path, '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END, '/+$', '') AS url FROM p""")
+SELECT page_id, regexp_replace(lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) || '://' || host || regexp_replace(path, '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END, '/+$', '') AS url,
+  url AS with_login, url AS with_params, lower(substr(u, strpos(u, '://') + 3)) || '?u=http://x.y/z' AS no_scheme FROM p""")
 def canonical_url(spark, d):
-    return b.table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
+    """Each link as it is, with a login, with parameters of its last segment, and without a scheme before another link."""
+    u, one = F.trim("url"), urls.canonical_url
+    params = F.regexp_replace(u, r"^([^?#]*[^?#/])/?(?=[?#]|\z)", "$1;jsessionid=A1")
+    pages = b.table(spark, d, "pages")
+    return pages.select("page_id", one(u).alias("url"), one(F.replace(u, F.lit("://"), F.lit("://me:x@"))).alias("with_login"), one(params).alias("with_params"), one(F.concat(F.substr(u, F.instr(u, "://") + 3), F.lit("?u=http://x.y/z"))).alias("no_scheme"))
 
 
 @query("fn8_source_label", f"""

@@ -341,10 +341,10 @@ def posting_array(spark, d):
     return payloads.read_posting_array(spark, path).select("title", "date_posted", "job_url", "description", "location")
 
 
-@query("src3_listed_board", "SELECT 'Job ' || doc_id AS title, 'b' || doc_id // 50 AS company, CASE WHEN doc_id % 3 = 0 THEN 'Remote' WHEN doc_id % 3 = 1 THEN '' ELSE 'Pasig' END AS location, 'Hi ' || lang AS description FROM documents WHERE doc_id % 5 <> 0")
+@query("src3_listed_board", "SELECT 'Job ' || doc_id AS title, 'b' || doc_id // 50 AS company, CASE WHEN doc_id % 3 = 0 THEN 'Remote' WHEN doc_id % 3 = 1 THEN '' ELSE 'Pasig' END AS location, 'Hi List<' || lang || '> & more' AS description FROM documents WHERE doc_id % 5 <> 0")
 def listed_board(spark, d):
     path = _landed(spark, d, """struct(concat('Job ', doc_id) AS title, CASE doc_id % 5 WHEN 0 THEN false WHEN 1 THEN true END AS isListed, CASE WHEN doc_id % 3 = 2 THEN 'Pasig' END AS location, doc_id % 3 = 0 AS isRemote, '2026-01-01T00:00:00Z' AS publishedAt,
-      concat('https://x/', doc_id) AS jobUrl, concat('<p>Hi</p> ', lang) AS descriptionHtml)""", "struct(concat('b', file) AS board, items AS jobs)")
+      concat('https://x/', doc_id) AS jobUrl, concat('<p>Hi</p> List&lt;', lang, '&gt; &amp; more') AS descriptionHtml)""", "struct(concat('b', file) AS board, items AS jobs)")
     return payloads.read_listed_board(spark, path).select("title", "company", "location", "description")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -157,32 +158,138 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
     return p.select("url", clean(F.col("p.title")).alias("title"), clean(F.col("p.hiringOrganization.name")).alias("company"), region.alias("location"), F.to_date(F.left(F.col("p.datePosted"), F.lit(10))).alias("date_posted"), strip_html(F.col("p.description")).alias("description"), F.coalesce(pay, F.lit("")).alias("salary_raw"))
 
 
-_CARD = r"""(?is)(<(?:article|li|div)\b[^>]*class="[^"]*\b(?:card|job-item)\b[^"]*"[^>]*>.*?)</(?:article|li)>"""
+class _Node:
+    """A tag with its attributes and what it holds: texts and tags."""
+
+    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
+        self.tag, self.attrs, self.held = tag, attrs, []
+
+    def has(self, name: str) -> bool:
+        return name in (self.attrs.get("class") or "").split()
+
+    def tags(self):
+        """All tags inside, in order."""
+        for x in self.held:
+            if isinstance(x, _Node):
+                yield x
+                yield from x.tags()
+
+    def texts(self):
+        for x in self.held:
+            if isinstance(x, str):
+                yield x
+            elif x.tag not in ("script", "style"):
+                yield from x.texts()
+
+    def text(self) -> str:
+        return " ".join(" ".join(self.texts()).split())
+
+    def first(self, *tests) -> _Node | None:
+        """The first tag inside that passes the first test, inside that the next, and so on."""
+        if not tests:
+            return self
+        return next((found for x in self.tags() if tests[0](x) and (found := x.first(*tests[1:]))), None)
+
+
+class _Tree(HTMLParser):
+    """The tags of a page as a tree. An end tag closes the nearest open one of its name; a list item ends where the next begins."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = _Node("", {})
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "li":
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].tag in ("ul", "ol", "menu"):
+                    break
+                if self.open[at].tag == "li":
+                    del self.open[at:]
+                    break
+        node = _Node(tag, dict(attrs))
+        self.open[-1].held.append(node)
+        if tag not in _VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == tag:
+                del self.open[at:]
+                return
+
+    def handle_data(self, data):
+        self.open[-1].held.append(data)
+
+
+# Classes of cards, kinds of contract.
+CARD_CLASSES = ["card", "job-item"]
+CONTRACTS = ["full-time", "full time", "part-time", "part time", "contract", "permanent", "temporary", "internship", "freelance"]
+_AGO, _PAY = re.compile(r"\bago\b|^today$|^just now$", re.I), re.compile(r"[₱$€£¥₹]|\bPHP\b", re.I)
+_REGION = re.compile(r"manila|makati|taguig|quezon|pasig|cebu|davao|philippines|\bcity\b|remote", re.I)
+CARD = ["title", "job_url", "company", "location", "salary_raw", "age", "description"]
+
+
+def _card(node: _Node) -> list[str]:
+    tag, of = lambda name: lambda x: x.tag == name, lambda name, kind: lambda x: x.tag == name and x.has(kind)
+    found = dict.fromkeys(CARD, "")
+    for x in (node.first(lambda x: x.has("nf-job-list-info")) or node).tags():
+        text = x.text() if x.tag == "span" else ""
+        if not text or text.lower() in CONTRACTS:
+            continue
+        named = bool(_REGION.search(text))
+        if _AGO.search(text):
+            found["age"] = found["age"] or text
+        elif _PAY.search(text):
+            found["salary_raw"] = found["salary_raw"] or text
+        elif not found["location"] and (named or "," in text):
+            found["location"] = text
+        elif not found["company"]:
+            found["company"] = text
+        elif not found["location"]:
+            found["location"] = text
+    if _REGION.search(found["company"]) and found["location"] and not _REGION.search(found["location"]):
+        # a place stands where the employer does, and the employer's comma made it a place
+        found["company"], found["location"] = found["location"], found["company"]
+    link = node.first(tag("h3"), tag("a")) or node.first(tag("a"))
+    muted = node.first(of("p", "text-muted"), tag("small")) or node.first(of("p", "text-muted"))
+    told = node.first(lambda x: x.has("nf-job-list-desc"), of("p", "mb-0")) or node.first(of("p", "mb-0"))
+    found["title"] = link.text() if link else ""
+    found["job_url"] = re.sub(r"[?#].*$", "", ((link and link.attrs.get("href")) or node.attrs.get("data-url") or "").strip(), flags=re.S)
+    found["age"] = (muted.text() if muted else "") or found["age"]
+    found["description"] = told.text() if told else ""
+    return [found[c] for c in CARD]
+
+
+def _cards(html: str) -> list[list[str]]:
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    is_card = lambda x: any(x.has(c) for c in CARD_CLASSES)
+    return [_card(x) for x in tree.root.tags() if is_card(x) and not any(is_card(y) for y in x.tags())]
 
 
 def extract_cards(pages: DataFrame) -> DataFrame:
     """SRC-5: url, title, job_url, company, location, salary_raw, age, description of each card in result pages (url, html).
 
-    A card is an article, list item or block of class card or job-item, ending at the next </article> or
-    </li>; the link in its heading, else its first, is the posting, without query and fragment; data-url stands in for a missing one. Its
-    spans are told apart by content, whatever their order: an age, pay, a kind of contract, a place (of the region or country, or
-    with a comma); the first two others are company, then location. A muted paragraph is the age; the paragraph of class mb-0 describes.
+    A card is a tag of class card or job-item, whatever its name, with all it holds; one that holds other cards is
+    their list. The link in its heading, else its first, is the posting, without query and fragment; data-url
+    stands in for a missing one. Spans are told apart by content: an age, pay, a kind of contract, a
+    place (of the region or country, or with a comma); the first other is the company, and a second one the
+    location if there is none. A company that is a place of the region changes with a location that only has a comma. A muted paragraph is the age; the paragraph of
+    class mb-0 describes. Pages without the name of such a class are not parsed.
     """
-    cards = pages.select("url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_CARD), 1)).alias("c"))
-    spans = F.transform(F.regexp_extract_all("c", F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), 1), strip_html)
-    cards = cards.withColumn("s", F.filter(spans, lambda x: x != ""))
-    is_age, is_pay = lambda x: x.rlike(r"(?i)\bago\b|^today$|^just now$"), lambda x: x.rlike(r"[₱$€£¥₹]|(?i)\bPHP\b")
-    is_place = lambda x: x.rlike(r"(?iu)manila|makati|taguig|quezon|pasig|cebu|davao|philippines|\bcity\b|remote|,")
-    is_type = lambda x: x.rlike(r"(?i)^(full|part)[- ]time$|^contract$|^permanent$|^temporary$|^internship$|^freelance$")
-    rest = F.filter("s", lambda x: ~(is_age(x) | is_pay(x) | is_type(x) | is_place(x)))
-    pick = lambda test: F.coalesce(F.get(F.filter("s", test), F.lit(0)), F.lit(""))
-    place = pick(lambda x: is_place(x) & ~is_age(x) & ~is_pay(x))
-    of = lambda pattern: F.regexp_extract("c", pattern, 1)
-    link = F.coalesce(F.nullif(of(r"""(?is)<h3\b[^>]*>.*?(<a\b.*?</a>)"""), F.lit("")), of(r"(?is)(<a\b.*?</a>)"))
-    target = F.coalesce(F.nullif(F.regexp_extract(link, r"""(?is)\bhref="([^"]*)""", 1), F.lit("")), of(r"""(?is)^<[^>]*\bdata-url="([^"]*)"""))
-    muted = strip_html(of(r"""(?is)<p\b[^>]*class="[^"]*\btext-muted\b[^"]*"[^>]*>(.*?)</p>"""))
-    return cards.select(
-        "url", strip_html(link).alias("title"), F.regexp_replace(clean(target), "[?#].*$", "").alias("job_url"), F.coalesce(F.get(rest, F.lit(0)), F.lit("")).alias("company"),
-        F.when(place != "", place).otherwise(F.coalesce(F.get(rest, F.lit(1)), F.lit(""))).alias("location"), pick(is_pay).alias("salary_raw"), F.when(muted != "", muted).otherwise(pick(is_age)).alias("age"),
-        strip_html(of(r"""(?is)<p\b[^>]*class="[^"]*\bmb-0\b[^"]*"[^>]*>(.*?)</p>""")).alias("description"),
-    )
+
+    def parse(batches):
+        for batch in batches:
+            rows = [(url, *card) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for card in _cards(html)]
+            columns = list(zip(*rows, strict=True)) or [()] * (len(CARD) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["url", *CARD])
+
+    named = pages.where(F.col("html").rlike("|".join(CARD_CLASSES))).select(F.col("url").cast("string").alias("url"), "html")
+    return named.mapInArrow(parse, ", ".join(f"{c} string" for c in ["url", *CARD]))

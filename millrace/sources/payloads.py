@@ -69,7 +69,7 @@ def read_listed_board(spark: SparkSession, path: str, site: str = "ashby") -> Da
     place = clean(F.col("location"))
     return _raw(
         df, title=clean(F.col("title")), company=F.col("board"), location=F.when((place == "") & F.coalesce("isRemote", F.lit(False)), "Remote").otherwise(place), date_posted=parse_iso(F.col("publishedAt")),
-        job_url=clean(F.col("jobUrl")), description=_text(F.col("descriptionHtml")), site=F.lit(site), matched_search_term=F.concat(F.lit("board:"), F.col("board")),
+        job_url=clean(F.col("jobUrl")), description=strip_html(F.col("descriptionHtml")), site=F.lit(site), matched_search_term=F.concat(F.lit("board:"), F.col("board")),
     )
 
 

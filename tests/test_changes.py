@@ -20,7 +20,7 @@ def one(spark, expression, value):
     return spark.range(1).select(F.lit(value).cast("string").alias("c")).select(expression(F.col("c")).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("given", "want"), [("https://ph.indeed.com/viewjob?jk=ABC123&from=mobRdr&tk=xyz&xpse=1", "https://ph.indeed.com/viewjob?jk=ABC123"), ("https://PH.TRABAJO.ORG/job-abc/", "https://ph.trabajo.org/job-abc"), ("ph.trabajo.org/job-abc", "https://ph.trabajo.org/job-abc"), ("https://e.com:443/A?b=C&utm_source=x#y", "https://e.com/A?b=C"), ("https://ph.trabajo.org/go/1?url=%2Fjob-q%2F", "https://ph.trabajo.org/job-q"), ("https://e.com/x?q=a+b%2fc&t=%C3%A9*~&z&utm_id=1", "https://e.com/x?q=a+b%2Fc&t=%C3%A9%2A~&z="), ("https://e.com/x?Q=%zz", "https://e.com/x?Q=%25zz"), ("", ""), (None, "")])
+@pytest.mark.parametrize(("given", "want"), [("https://ph.indeed.com/viewjob?jk=ABC123&from=mobRdr&tk=xyz&xpse=1", "https://ph.indeed.com/viewjob?jk=ABC123"), ("https://PH.TRABAJO.ORG/job-abc/", "https://ph.trabajo.org/job-abc"), ("ph.trabajo.org/job-abc", "https://ph.trabajo.org/job-abc"), ("https://e.com:443/A?b=C&utm_source=x#y", "https://e.com/A?b=C"), ("https://ph.trabajo.org/go/1?url=%2Fjob-q%2F", "https://ph.trabajo.org/job-q"), ("https://e.com/x?q=a+b%2fc&t=%C3%A9*~&z&utm_id=1", "https://e.com/x?q=a+b%2Fc&t=%C3%A9%2A~&z="), ("https://e.com/x?Q=%zz", "https://e.com/x?Q=%25zz"), ("foo.com/?u=http://x.y/z", "foo.com/?u=http://x.y/z"), ("https://user:pw@x.com/a", "https://x.com/a"), ("https://x.com/a;b/job;jsessionid=12A?x=1", "https://x.com/a;b/job?x=1"), ("https://ph.trabajo.org/go/1?redirect=/b&url=/job-1/", "https://ph.trabajo.org/job-1"), ("https://ph.trabajo.org/go/1?redirect=/b&url=&u=https%3A%2F%2Ftrabajo.org%2Fjob-2%2F%3Fx", "https://ph.trabajo.org/job-2"), ("https://a@b@X.com:0080/", "https://x.com"), ("http://[::1]:8080/a", "http://::1:8080/a"), ("://x", "://x"), ("HTTP://X.com:8443?a", "http://x.com:8443?a="), ("", ""), (None, "")])
 def test_canonical_url(spark, given, want):
     assert one(spark, urls.canonical_url, given) == want
 

@@ -98,6 +98,32 @@ def test_cards_of_job_lists(spark):
     assert tuple(r) == ("u", "Senior Dev", "https://t/job-8", "Acme", "Lapu-Lapu, Visayas", "PHP 20,000", "2 days ago", "Writes code")
 
 
+def test_cards_in_any_shape(spark):
+    shapes = [
+        '<div class="card"><h3><a href="/1?x">One</a></h3><span>Acme</span><span>Cebu</span></div><div class="card"><a href="/2">Two</a><div><span>Beta</span></div></div>',
+        "<ul><li class='job-item x'><a href='/3'>Three</a><ul><li>in<li>side</ul><span>Gamma</span><br><span>Pasig City</span><img src=x><span>&#8369;5</span></li><li class=card><a>Four</a><span>Makati</span><span>Acme, Inc.</span></ul>",
+        '<div class="card list"><ul><li class="job-item"><a href="/5">Five</a><span>A, B</span><span>Taguig</span><li class="job-item"><a href="/6">Six</a><script>var a="<span>x</span>";</script></ul></div>',
+        '<div class="cardinal job-items"><a href="/7">No</a></div><p class="card"/><article class="card">a</p><a href="/8">Ei<b>ght</b></a>',
+        None, "", "card <",
+    ]
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(shapes)], "url string, html string")
+    got = sorted(tuple(r)[:5] for r in pages.extract_cards(df).collect())
+    assert got == [
+        ("0", "One", "/1", "Acme", "Cebu"), ("0", "Two", "/2", "Beta", ""), ("1", "Four", "", "Acme, Inc.", "Makati"), ("1", "Three", "/3", "Gamma", "Pasig City"), ("2", "Five", "/5", "A, B", "Taguig"),
+        ("2", "Six", "/6", "", ""), ("3", "", "", "", ""), ("3", "Ei ght", "/8", "", ""),
+    ]
+
+
+def test_nested_lists_stay_in_their_card(spark):
+    def block(depth, at):
+        inner = "".join(f"<ul><li>{block(depth - 1, f'{at}{i}')}</li></ul>" for i in range(2)) if depth else ""
+        return f"<div><span>s{at}</span>{inner}</div>"
+
+    html = "".join(f"<li class=card>{block(d, d)}<a href='/{d}'>T{d}</a></li>" for d in range(5))
+    got = [tuple(r)[1:4] for r in pages.extract_cards(spark.createDataFrame([("u", html)], "url string, html string")).collect()]
+    assert got == [(f"T{d}", f"/{d}", f"s{d}") for d in range(5)]
+
+
 JOBS = "id bigint, source string, title string, company string, url string, location string, description string, status string, stage string, scraped_at timestamp, last_seen timestamp, status_updated_at timestamp, applied_at timestamp, score int, salary_display string"
 
 
