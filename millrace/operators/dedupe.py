@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fingerprint, norm_company, norm_text, words
 from ..functions.urls import url_key
 from .lineage import cut
+from .spread import spread_join
 
 ARCHIVED = ["DUPLICATE", "EXPIRED"]
 
@@ -103,20 +104,25 @@ def fuzzy_pairs(jobs: DataFrame, overlap: float = 0.6) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the edges (a, b) can reach.
 
-    Labels take the smallest label next to them and then jump to their label's label, until
-    none changes; each round is a checkpoint.
+    Alternating stars: the larger neighbours of each id are tied to the smallest id next to it, then the
+    smaller ones, until every id is tied to its component's smallest. Chains halve, so rounds grow with the logarithm of
+    their length; a hub's edges move to its smallest neighbour and are never one task's group: an id with more than a
+    thousandth of the edges gets its minimum by broadcast. Each round is a checkpoint.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    up, down = F.greatest("a", "b"), F.least("a", "b")
+    now = cut(edges.where("a != b").select(up.alias("u"), down.alias("v")).distinct())
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["id"] == near["a"]).select("id", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = new.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        new = cut(new.join(jump, "new", "left").select("id", F.least("new", "far").alias("label"), "old"))
-        changed = new.where("label != old").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        total = now.count()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = cut(spread_join(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = spread_join(large, low, "u", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        now = cut(small.distinct())
+        roots = now.select("v").distinct()
+        # done when no id is tied twice and none that others are tied to is tied itself
+        if not now.select("u").unionByName(roots.withColumnRenamed("v", "u")).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
 
 
 def fuzzy_groups(jobs: DataFrame, overlap: float = 0.6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gates import IN_PROGRESS, OFFERS, compile_search, is_due
+from .lineage import cut
 
 OUTCOMES = {"applied": ["APPLIED"], "rejected": ["REJECTED"], "skipped": ["SKIP"], "mismatch": ["MISMATCH"], "exp_gap": ["EXP_GAP"]}
 
@@ -60,10 +61,24 @@ def stage_before_out(stage_history: DataFrame) -> DataFrame:
 
 
 def usage_budget(ledger: DataFrame, most_calls: int, most_tokens: int) -> DataFrame:
-    """AGG-12: running calls and tokens of each bucket and day, and whether a cap is passed."""
-    w = Window.partitionBy("bucket", F.to_date("ts")).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    out = ledger.withColumn("calls", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("tokens").over(w))
-    return out.withColumn("over", (F.col("calls") > most_calls) | (F.col("total") > most_tokens))
+    """AGG-12: running calls and tokens of each bucket and day, and whether a cap is passed.
+
+    Rows are cut by range into slices of equal size, numbered within their slice, and moved up by what
+    the slices before hold of the same bucket and day, so a day with all rows is spread over all tasks.
+    """
+    slices = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    day = ["bucket", "_day"]
+    rows = cut(ledger.withColumn("_day", F.to_date("ts")).repartitionByRange(slices, *day, "ts", "id").withColumn("_slice", F.spark_partition_id()))
+    held = rows.groupBy(*day, "_slice").agg(F.count(F.lit(1)).alias("_calls"), F.sum("tokens").alias("_total"))
+    before = Window.partitionBy(*day).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(*[F.col(c).alias(f"{c}_") for c in (*day, "_slice")], F.sum("_calls").over(before).alias("_calls"), F.sum("_total").over(before).alias("_total"))
+    starts = starts.where("_calls is not null")  # a slice goes on with one day of the slice before at most, so these are fewer than the slices
+    w = Window.partitionBy(*day, "_slice").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("calls", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("tokens").over(w))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*day, "_slice")]
+    out = out.join(F.broadcast(starts), same, "left").withColumn("calls", F.col("calls") + F.coalesce("_calls", F.lit(0)))
+    out = out.withColumn("total", F.when(F.col("_total").isNull(), F.col("total")).otherwise(F.coalesce("total", F.lit(0)) + F.col("_total")))
+    return out.select(*ledger.columns, "calls", "total", ((F.col("calls") > most_calls) | (F.col("total") > most_tokens)).alias("over"))
 
 
 def timeline(status_history: DataFrame, stage_history: DataFrame) -> DataFrame:
@@ -78,10 +93,17 @@ def top_n_per_side(labelled: DataFrame, n: int) -> DataFrame:
     return labelled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def source_health(notes: DataFrame) -> DataFrame:
-    """AGG-6: notes (source, rows, error) per source: searches, rows, distinct errors of 160 characters, and a warning when searched in vain."""
-    out = notes.groupBy("source").agg(F.count(F.lit(1)).alias("searches"), F.sum("rows").alias("rows"), F.sort_array(F.collect_set(F.substring("error", 1, 160))).alias("errors"))
-    return out.withColumn("warning", F.coalesce("rows", F.lit(0)) == 0)
+def source_health(notes: DataFrame, most: int = 1000) -> DataFrame:
+    """AGG-6: notes (source, rows, error) per source: searches, rows, errors of 160 characters, how many distinct ones there are, and a warning when searched in vain.
+
+    ``errors`` are the distinct ones in order, of more than ``most`` the most frequent.
+    """
+    each = notes.groupBy("source", F.substring("error", 1, 160).alias("_error")).agg(F.count(F.lit(1)).alias("_n"), F.sum("rows").alias("_rows"))
+    totals = each.groupBy("source").agg(F.sum("_n").alias("searches"), F.sum("_rows").alias("rows"), F.count("_error").alias("n_errors"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("_n"), "_error"))
+    told = each.where("_error is not null").withColumn("_place", place).where(F.col("_place") <= most).groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list("_error")).alias("errors"))
+    out = totals.join(told, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
+    return out.select("source", "searches", "rows", "errors", "n_errors", (F.coalesce("rows", F.lit(0)) == 0).alias("warning"))
 
 
 def term_audit(raw: DataFrame, kept: DataFrame, column: str = "matched_search_term") -> DataFrame:

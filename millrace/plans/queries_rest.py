@@ -157,7 +157,7 @@ def all_held(spark, d):
 
 @query("agg6_source_health", """
 WITH n AS (SELECT event_type AS source, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(abs(value)) AS INTEGER) END AS rows, CASE WHEN event_type = 'error' THEN 'timeout of user ' || user_id || repeat('.', 200) END AS error FROM events)
-SELECT source, count(*) AS searches, CAST(sum(rows) AS BIGINT) AS rows, coalesce(md5(string_agg(DISTINCT left(error, 160), ',' ORDER BY left(error, 160))), md5('')) AS errors, sum(rows) = 0 AS warning FROM n GROUP BY 1""")
+SELECT source, count(*) AS searches, CAST(sum(rows) AS BIGINT) AS rows, coalesce(md5(string_agg(DISTINCT left(error, 160), ',' ORDER BY left(error, 160))), md5('')) AS errors, count(DISTINCT left(error, 160)) AS n_errors, sum(rows) = 0 AS warning FROM n GROUP BY 1""")
 def source_health(spark, d):
     bad = F.col("event_type") == "error"
     notes = b.table(spark, d, "events").select(
