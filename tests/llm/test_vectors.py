@@ -57,7 +57,8 @@ def test_forest_ranks_a_tenth_of_the_rows_and_finds_nine_tenths_of_the_nearest(s
     scores[np.arange(len(queries)), queries] = -np.inf
     nearest = np.argsort(-scores, axis=1)[:, :20]
     f = knn_forest.forest(x, 64, 48)
-    ranked = [knn_forest.candidates(f, w, len(x), 0.2, len(x) // 10) for w in knn_forest.far_sides(f, x[queries])]
+    gains = knn_forest.cosines(f, x, 0.2)
+    ranked = [knn_forest.candidates(f, w, np.ones(len(x)), gains, 0.2, len(x) // 10) for w in knn_forest.far_sides(f, x[queries])]
     assert max(map(len, ranked)) == len(x) // 10
     assert np.mean([len(np.intersect1d(a, b)) / 20 for a, b in zip(ranked, nearest, strict=True)]) > 0.95
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
@@ -67,16 +68,36 @@ def test_forest_ranks_a_tenth_of_the_rows_and_finds_nine_tenths_of_the_nearest(s
     assert np.mean([len(found[q] & set(b)) / 20 for q, b in zip(queries.tolist(), nearest.tolist(), strict=True)]) > 0.95
 
 
-def test_forest_recall_on_the_given_table(spark):
-    df = read_table(spark, "/root/testdata/sf0.01", "embeddings")
-    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in df.collect()]
-    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
-    found, right = approximate_top_k(df, 20, 20).collect(), 0
-    for q in ids[ids % 20 == 0]:
-        s = x @ x[ids == q][0]
-        s[ids == q] = -np.inf
-        right += len({r["vec_id"] for r in found if r["query_id"] == q} & set(ids[np.argsort(-s)[:20]].tolist()))
-    assert right / len(found) >= 0.9
+def recall(spark, x, every, **options):
+    """The whole query's recall against brute force; each answer is as long as it has to be."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    found, right = approximate_top_k(df, every, 20, **options).collect(), 0
+    queries = range(0, len(x), every)
+    assert len(found) == 20 * len(queries)
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        right += len({r["vec_id"] for r in found if r["query_id"] == q} & set(np.argsort(-s)[:20].tolist()))
+    return right / len(found)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_forest_recall_on_the_given_tables(spark, sf):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in read_table(spark, f"/root/testdata/{sf}", "embeddings").collect())
+    assert recall(spark, np.array([v for _, v in rows], float), 20) >= 0.95
+
+
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_forest_recall_where_norms_differ(spark, sigma):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 64)) * np.exp(sigma * rng.normal(size=(20_000, 1)))
+    assert recall(spark, x, 400) >= 0.95
+    assert recall(spark, x[:6000], 400, shard_bytes=1 << 20) >= 0.95
+
+
+def test_forest_recall_where_all_vectors_lean_one_way(spark):
+    rng = np.random.default_rng(7)
+    assert recall(spark, rng.normal(size=(10_000, 64)) + 3 * rng.normal(size=(1, 64)), 200) >= 0.95
 
 
 def test_copies_of_one_vector_do_not_make_a_large_leaf():
