@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import from_millis, parse_iso
 from ..functions.text import clean, strip_html
 from ..operators.gates import first_term
+from .json_arrays import read_array, read_objects
 
 RAW_COLUMNS = ["title", "company", "location", "date_posted", "job_url", "description", "site", "matched_search_term"]
 
@@ -23,9 +24,9 @@ _LISTED = "board string, jobs array<struct<title:string,isListed:boolean,locatio
 _FEED = "position string, company string, tags array<string>, location string, date string, url string, apply_url string, description string, salary_min double, salary_max double, legal string"
 
 
-def _board(given: Column | None = None) -> Column:
+def _board(given: Column | None = None, file: Column | None = None) -> Column:
     """The board named in the payload, else the name of its file."""
-    file = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
+    file = F.regexp_extract(F.input_file_name() if file is None else file, r"([^/]+?)(?:\.json)?$", 1)
     return file if given is None else F.coalesce(given, file)
 
 
@@ -54,7 +55,7 @@ def read_board_payloads(spark: SparkSession, lists: str, details: str, site: str
 
 def read_posting_array(spark: SparkSession, path: str, site: str = "lever") -> DataFrame:
     """SRC-2: flat arrays, a file a board: milliseconds, nested place, plain text before stripped HTML."""
-    df = spark.read.schema(_ARRAY).json(path, multiLine=True).withColumn("board", _board())
+    df = read_objects(spark, path).select(_board(file=F.col("file")).alias("board"), F.from_json("text", _ARRAY).alias("_o")).select("board", "_o.*")
     plain = F.nullif(clean(F.col("descriptionPlain")), F.lit(""))
     return _raw(
         df, title=clean(F.col("text")), company=F.col("board"), location=clean(F.col("categories.location")), date_posted=from_millis(F.col("createdAt")),
@@ -78,7 +79,7 @@ def read_feed(spark: SparkSession, path: str, terms: list[str], site: str = "rem
 
     The notice is the entry without a position.
     """
-    df = spark.read.schema(_FEED).json(path, multiLine=True).where(clean(F.col("position")) != "")
+    df = read_array(spark, path, _FEED).where(clean(F.col("position")) != "")
     text = F.concat_ws(" ", "position", "company", F.array_join(F.coalesce("tags", F.array()), " "))
     amount = lambda c: F.concat(F.lit("$"), F.format_number(F.col(c), 0))
     pay = F.when((F.col("salary_min") > 0) & (F.col("salary_max") > 0), F.concat(amount("salary_min"), F.lit(" - "), amount("salary_max"), F.lit(" per year")))
