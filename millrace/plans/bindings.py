@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work on whole texts: rows over all cores where the files of a small table are fewer than these."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 STATUS = "element_at(array('NEW','REVIEWED','APPLIED','SKIP','MISMATCH','EXP_GAP','EXPIRED','DUPLICATE'), CAST(o_orderkey % 8 AS INT) + 1)"
 STAGE = "element_at(array('APPLIED','INITIAL','TECHNICAL','FINAL','OFFER','OUT'), CAST(o_custkey % 6 AS INT) + 1)"
 SUFFIX = "element_at(array(' Inc','',' Corp PH',' Co.',' in the Philippines'), CAST(o_custkey % 5 AS INT) + 1)"

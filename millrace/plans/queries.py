@@ -218,7 +218,7 @@ def to_monthly(spark, d):
 @query("fn20_max_experience", f"""
 WITH {RAW_SQL} SELECT seq, CASE seq % 7 WHEN 0 THEN 0 WHEN 1 THEN CAST(seq % 12 AS INTEGER) WHEN 2 THEN 3 END AS years FROM raw""")
 def max_experience(spark, d):
-    return b.raw_postings(spark, d).select("seq", experience.max_experience(F.col("description")).alias("years"))
+    return b.spread(b.raw_postings(spark, d).select("seq", "description")).select("seq", experience.max_experience(F.col("description")).alias("years"))
 
 
 @query("flt4_location_gate", f"""
@@ -235,7 +235,7 @@ WITH {RAW_SQL}, g AS (SELECT seq, CASE WHEN seq % 7 = 1 AND seq % 12 > 2 THEN 'e
   AND coalesce(NOT contains(lower(title), 'senior') AND (contains(lower(title), 'developer') OR contains(lower(title), 'engineer')), false) AND coalesce(NOT contains(lower(company), 'acme 7'), true) AS ok FROM raw)
 SELECT seq, reason, CASE WHEN reason IS NOT NULL THEN 'held' WHEN ok THEN 'kept' ELSE 'dropped' END AS outcome FROM g""")
 def apply_gates(spark, d):
-    return gates.apply_gates(b.raw_postings(spark, d), ["developer", "engineer"], ["senior"], ["acme 7"], 2).select("seq", "reason", "outcome")
+    return gates.apply_gates(b.spread(b.raw_postings(spark, d)), ["developer", "engineer"], ["senior"], ["acme 7"], 2).select("seq", "reason", "outcome")
 
 
 @query("win1_dedupe_first", f"""

@@ -43,12 +43,12 @@ _by_case = lambda i: "CASE doc_id % 12 " + " ".join(f"WHEN {n} THEN {_sql_text(a
 
 
 def _asking(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", F.concat_ws(". ", F.coalesce("text", F.lit("")), F.expr(_by_case(0))).alias("description"))
+    return b.spread(b.table(spark, d, "documents").select("doc_id", F.concat_ws(". ", F.coalesce("text", F.lit("")), F.expr(_by_case(0))).alias("description")))
 
 
 @query("fn21_demands", f"SELECT doc_id, CAST({_by_case(1)} AS INTEGER) AS years, {_by_case(2)} AS senior FROM documents")
 def demands(spark, d):
-    return _asking(spark, d).select("doc_id", experience.max_experience(F.col("description")).alias("years"), experience.seniority(F.col("description")).alias("senior"))
+    return _asking(spark, d).select("doc_id", experience.demands(F.col("description")).alias("_d")).select("doc_id", "_d.years", "_d.senior")
 
 
 @query("flt7_experience_gate", f"""
@@ -68,7 +68,7 @@ def has_url(spark, d):
 def pay_snippet(spark, d):
     """Whole texts with pay in the middle of them; held against a plain loop in the tests."""
     made = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(t, ' We pay ₱30,000 per month to you. ', t) WHEN 1 THEN concat(t, ' PHP 500 and more, 3 years. ', t) ELSE t END")
-    return b.table(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit(""))).select("doc_id", salary.pay_snippet(made).alias("snippet"))
+    return b.spread(b.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))).select("doc_id", salary.pay_snippet(made).alias("snippet"))
 
 
 _LINE = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"

@@ -111,7 +111,7 @@ def page_heads(spark, d):
 
 @query("src6_extract_pages")
 def extract_pages(spark, d):
-    return pages.extract_pages(b.table(spark, d, "pages"))
+    return pages.extract_pages(b.spread(b.table(spark, d, "pages").select("url", "html")))
 
 
 @query("snk1_job_sheet", f"""
