@@ -81,24 +81,27 @@ def title_classes(jobs: DataFrame) -> DataFrame:
     return classes.withColumn("words", F.array_distinct(words(F.col("title"))))
 
 
-def fuzzy_pairs(jobs: DataFrame, overlap: float = 0.6) -> DataFrame:
+def fuzzy_pairs(jobs: DataFrame, overlap: float = 0.6, most: int = 1000) -> DataFrame:
     """JON-11: (a, b, subset): pairs of titles of one company whose words are subsets or overlap enough.
 
     Copies of a title are one class, named by its smallest id. Candidates share a rare word:
     a subset holds the rarest word of the smaller title, and titles that overlap by a share t of
-    the larger one share one of the n - ceil(t * n) + 1 rarest words of each.
+    the larger one share one of the n - ceil(t * n) + 1 rarest words of each, and are not further apart in length than t. A word of a company
+    that more than ``most`` titles hold is cut into parts of about that many; the other side goes to each part.
     """
     classes = title_classes(jobs).select(F.col("first_id").alias("id"), F.col("company").alias("c"), F.col("words").alias("t"), F.size("words").alias("n"))
-    each = classes.withColumn("w", F.explode("t"))
-    often = each.groupBy("c", "w").agg(F.count(F.lit(1)).alias("often"))
+    each = cut(classes.withColumn("w", F.explode("t")).withColumn("k", F.xxhash64("c", "w")))
+    often = each.groupBy("k").agg(F.count(F.lit(1)).alias("often"))  # only orders words and sizes parts, so a chance meeting of hashes is no matter
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "w"))
-    each = each.join(often, ["c", "w"]).withColumn("at", place).withColumn("first", F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(overlap)) + 1)
-    probe = each.where("first or at = 1").select("c", "w", *[F.col(x).alias(f"{x}1") for x in ("id", "t", "n", "at", "first")])
-    index = each.select("c", "w", *[F.col(x).alias(f"{x}2") for x in ("id", "t", "n", "first")])
-    met = probe.join(index, ["c", "w"]).where("id1 != id2 and ((at1 = 1 and n1 <= n2) or (first1 and first2))")
+    each = spread_join(each, often, "k").drop("k").withColumn("at", place).withColumn("first", F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(overlap)) + 1)
+    parts = F.ceil(F.col("often") / F.lit(most)).cast("int")
+    probe = each.where("first or at = 1").select("c", "w", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), *[F.col(x).alias(f"{x}1") for x in ("id", "t", "n", "at", "first")])
+    index = each.select("c", "w", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(x).alias(f"{x}2") for x in ("id", "t", "n", "first")])
+    near = (F.least("n1", "n2") >= F.lit(overlap) * F.greatest("n1", "n2")) & F.col("first1") & F.col("first2")
+    met = probe.join(index, ["c", "w", "part"]).where((F.col("id1") != F.col("id2")) & (F.expr("at1 = 1 and n1 <= n2") | near))
     pairs = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.size(F.array_intersect("t1", "t2")).alias("k"), F.least("n1", "n2").alias("low"), F.greatest("n1", "n2").alias("high"))
     subset = F.col("k") == F.col("low")
-    return pairs.dropDuplicates(["a", "b"]).where(subset | (F.col("k") >= F.lit(overlap) * F.col("high"))).select("a", "b", subset.alias("subset"))
+    return pairs.where(subset | (F.col("k") >= F.lit(overlap) * F.col("high"))).dropDuplicates(["a", "b"]).select("a", "b", subset.alias("subset"))
 
 
 def components(edges: DataFrame) -> DataFrame:

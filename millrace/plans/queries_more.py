@@ -124,17 +124,19 @@ def verdicts(spark, d):
 
 @query("prj1_jobs_rows", f"""
 WITH {RAW_SQL} SELECT seq, trim(coalesce(title, '')) AS title, company, {URL('job_url')} AS url, nullif(location, '') AS location, CASE seq % 8 WHEN 0 THEN 'PHP 30k/mo' WHEN 1 THEN 'USD 42k/yr (~USD 3,500/mo)' WHEN 2 THEN 'PHP 500/day'
-  WHEN 3 THEN 'USD 1500k/yr (~USD 125k/mo)' WHEN 4 THEN '' END AS display, CASE WHEN seq % 8 = 2 THEN 11000.0::DOUBLE END AS monthly FROM raw""")
+  WHEN 3 THEN 'USD 1500k/yr (~USD 125k/mo)' WHEN 4 THEN '' END AS display,
+  CASE seq % 8 WHEN 0 THEN 30000 WHEN 1 THEN 3500 WHEN 2 THEN 11000 WHEN 3 THEN 125000 END::DOUBLE AS monthly_min, CASE seq % 8 WHEN 0 THEN 30000 WHEN 1 THEN 3500 WHEN 2 THEN 11000 WHEN 3 THEN 125000 END::DOUBLE AS monthly_max,
+  CASE seq % 8 WHEN 0 THEN 'monthly' WHEN 1 THEN 'yearly' WHEN 2 THEN 'daily' WHEN 3 THEN 'yearly' ELSE 'unknown' END AS cadence FROM raw""")
 def jobs_rows(spark, d):
-    """Pay told in the posting; where it tells none, prj2_normalize_salary has what the description says."""
-    rows = projections.to_jobs_rows(b.raw_postings(spark, d), AS_OF)
-    return rows.select("seq", "title", "company", "url", "location", F.when(F.col("seq") % 8 <= 4, F.col("salary_display")).alias("display"), F.when(F.col("seq") % 8 == 2, F.col("salary_monthly_min")).alias("monthly"))
+    """Amounts a month and cadence of every posting; the display where the posting tells its pay, else it is in prj2_normalize_salary."""
+    rows = projections.to_jobs_rows(b.spread(b.raw_postings(spark, d)), AS_OF)
+    return rows.select("seq", "title", "company", "url", "location", F.when(F.col("seq") % 8 <= 4, F.col("salary_display")).alias("display"), F.col("salary_monthly_min").alias("monthly_min"), F.col("salary_monthly_max").alias("monthly_max"), F.col("salary_interval").alias("cadence"))
 
 
 @query("prj2_normalize_salary")
 def normalize_salary(spark, d):
     """All eight salary columns of every posting, from its text, amounts or description; held against plain loops in the tests."""
-    rows = projections.normalize_salary(b.raw_postings(spark, d))
+    rows = projections.normalize_salary(b.spread(b.raw_postings(spark, d)))
     return rows.select("seq", *projections.SALARY)
 
 

@@ -61,3 +61,24 @@ def test_errors_of_a_source(spark):
     notes = spark.createDataFrame([("a", 0, f"e{i % 7}") for i in range(20)] + [("a", 0, None), ("b", 3, None), (None, 0, "x" * 200)], "source string, rows int, error string")
     got = {r.source: tuple(r)[1:] for r in reports.source_health(notes, most=3).collect()}
     assert got == {"a": (21, 0, ["e0", "e1", "e2"], 7, True), "b": (1, 3, [], 0, False), None: (1, 0, ["x" * 160], 1, True)}
+
+
+def test_pairs_within_one_company(spark):
+    r = random.Random(8)
+    titles = [" ".join(r.sample(["dev", "java", "senior", "web", "lead", *[f"x{i}" for i in range(12)]], r.randint(1, 6))) for _ in range(250)]
+    jobs = spark.createDataFrame([(i, "dev " + t if i % 2 else t, "Acme", "NEW") for i, t in enumerate(titles)], "id long, title string, company string, status string")
+    want = None
+    for most in (1000, 7):
+        got = {(x.a, x.b): x.subset for x in dedupe.fuzzy_pairs(jobs, most=most).collect()}
+        assert want is None or got == want
+        want = got
+    first = {}
+    for x in jobs.collect():
+        first.setdefault(x.title, (x.id, frozenset(x.title.split())))
+    brute = {}
+    for i, (a, s) in enumerate(sorted(first.values(), key=lambda v: v[0])):
+        for b, t in sorted(first.values(), key=lambda v: v[0])[i + 1 :]:
+            k = len(s & t)
+            if k == min(len(s), len(t)) or k >= 0.6 * max(len(s), len(t)):
+                brute[a, b] = k == min(len(s), len(t))
+    assert want == brute
