@@ -103,7 +103,7 @@ def source_health(notes: DataFrame, most: int = 1000) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("_n"), "_error"))
     told = each.where("_error is not null").withColumn("_place", place).where(F.col("_place") <= most).groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list("_error")).alias("errors"))
     out = totals.join(told, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
-    return out.select("source", "searches", "rows", "errors", "n_errors", (F.coalesce("rows", F.lit(0)) == 0).alias("warning"))
+    return out.select("source", "searches", "rows", "errors", (F.coalesce("rows", F.lit(0)) == 0).alias("warning"), "n_errors")
 
 
 def term_audit(raw: DataFrame, kept: DataFrame, column: str = "matched_search_term") -> DataFrame:

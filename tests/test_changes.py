@@ -120,7 +120,7 @@ def test_salary_edit_and_reports(spark):
     once = projections.correct_salary(df, edits)
     assert projections.correct_salary(once, blank).where("id = 1").select("salary_display", "salary_min").first() == ("", None)
     notes = spark.createDataFrame([("a", 0, "x"), ("a", 0, "x"), ("b", 3, None)], "source string, rows int, error string")
-    assert sorted(map(tuple, reports.source_health(notes).collect())) == [("a", 2, 0, ["x"], True), ("b", 1, 3, [], False)]
+    assert sorted(map(tuple, reports.source_health(notes).collect())) == [("a", 2, 0, ["x"], True, 1), ("b", 1, 3, [], False, 0)]
     assert merge.heal_report(df, once).first() == (0, 1, 1)
     assert reports.run_summary(spark.createDataFrame([("new",), ("url",), ("held",)], "outcome string")).first() == (3, 0, 1, 1, 1)
 

@@ -60,7 +60,7 @@ def test_one_bucket_and_day(spark):
 def test_errors_of_a_source(spark):
     notes = spark.createDataFrame([("a", 0, f"e{i % 7}") for i in range(20)] + [("a", 0, None), ("b", 3, None), (None, 0, "x" * 200)], "source string, rows int, error string")
     got = {r.source: tuple(r)[1:] for r in reports.source_health(notes, most=3).collect()}
-    assert got == {"a": (21, 0, ["e0", "e1", "e2"], 7, True), "b": (1, 3, [], 0, False), None: (1, 0, ["x" * 160], 1, True)}
+    assert got == {"a": (21, 0, ["e0", "e1", "e2"], True, 7), "b": (1, 3, [], False, 0), None: (1, 0, ["x" * 160], True, 1)}
 
 
 def test_pairs_within_one_company(spark):
