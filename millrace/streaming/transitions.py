@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "status string, stage string, applied_at bigint, at bigint, id bigint, stale_at bigint"
+_STATE = "status string, stage string, applied_at bigint, at bigint, id bigint, stale_at bigint, times array<bigint>, ids array<bigint>, statuses array<string>"
+_NEW = ("NEW", None, None, None, None, None, [], [], [])
 OUT = "job_id bigint, id bigint, kind string, changed_at timestamp, old_status string, new_status string, old_stage string, new_stage string, applied_at timestamp"
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 
@@ -34,57 +35,49 @@ class Transitions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", _STATE)
-        self.waiting = handle.getMapState("waiting", "at bigint, id bigint", "status string")
 
     def _read(self) -> tuple:
-        return tuple(self.now.get()) if self.now.exists() else ("NEW", None, None, None, None, None)
+        held = self.now.get()
+        return tuple(held) if held is not None else _NEW
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark, late, ready = timerValues.getCurrentWatermarkInMs(), [], []
-        state = self._read()
+        state, late = self._read(), set()
+        waiting = dict(zip(zip(state[6], state[7], strict=True), state[8], strict=True))
         applied = (state[3], state[4]) if state[3] is not None else (-(2**63), 0)
         for batch in rows:
             for at, number, status in zip(batch["at"].tolist(), batch["id"].tolist(), batch["new_status"].tolist(), strict=True):
-                if (at, number) == applied:
-                    continue
                 if (at, number) < applied:
-                    late.append((at, number, status))
-                elif at <= mark:
-                    ready.append((at, number, status))
-                elif not self.waiting.containsKey((at, number)):
-                    self.waiting.updateValue((at, number), (status,))
-                    self.handle.registerTimer(at)
-        yield self._frame(key[0], self._apply(sorted(set(ready))), [(None, *x) for x in sorted(set(late))])
+                    late.add((at, number, status))
+                elif (at, number) != applied:
+                    waiting.setdefault((at, number), status)
+        yield self._settle(key[0], state, waiting, timerValues.getCurrentWatermarkInMs(), sorted(late))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        ready = sorted((*k, v[0]) for k, v in self.waiting.iterator() if k[0] <= until)
-        for at, number, _ in ready:
-            self.waiting.removeKey((at, number))
-        done = self._apply(ready)
-        stale, state = [], self._read()
-        if self.stale and state[5] is not None and state[5] <= until:
-            stale.append((until, state))
-            self.now.update((*state[:5], None))
-        yield self._frame(key[0], done, [], stale)
-
-    def _apply(self, changes: list[tuple[int, int, str]]) -> list[tuple]:
-        out, state = [], self._read()
-        for at, number, status in changes:
-            old, stage, before = state[0], state[1], state[2]
+        state = self._read()
+        yield self._settle(key[0], state, dict(zip(zip(state[6], state[7], strict=True), state[8], strict=True)), timerValues.getCurrentWatermarkInMs(), [])
+
+    def _settle(self, job: int, state: tuple, waiting: dict, mark: int, late: list) -> pd.DataFrame:
+        """Applies what the watermark has passed, in order; one timer waits for what comes next."""
+        done, stale = [], []
+        status, stage, applied_at, last, number, stale_at = state[:6]
+        for at, n in sorted(k for k in waiting if k[0] <= mark):
+            old, before, status = status, stage, waiting.pop((at, n))
             put = status == "APPLIED"
+            stage, applied_at, last, number = (stage or "APPLIED") if put else None, at if put else None, at, n
             stale_at = at + self.stale if self.stale else None
-            if self.stale:
-                self.handle.registerTimer(stale_at)
-            state = (status, (stage or "APPLIED") if put else None, at if put else None, at, number, stale_at)
-            out.append((number, "change", at, old, status, stage, state[1], state[2]))
-        if changes:
-            self.now.update(state)
-        return out
-
-    def _frame(self, job: int, done: list, late: list, stale: list = ()) -> pd.DataFrame:
-        rows = [(job, *x) for x in done] + [(job, number, "late", at, None, status, None, None, None) for _, at, number, status in late]
-        rows += [(job, None, "stale", at, s[0], s[0], s[1], s[1], s[2]) for at, s in stale]
+            done.append((n, "change", at, old, status, before, stage, applied_at))
+        if stale_at is not None and stale_at <= mark:
+            stale, stale_at = [(stale_at, (status, stage, applied_at))], None
+        left = sorted(waiting)
+        self.now.update((status, stage, applied_at, last, number, stale_at, [k[0] for k in left], [k[1] for k in left], [waiting[k] for k in left]))
+        following = min([*(k[0] for k in left[:1]), *([stale_at] if stale_at else [])], default=None)
+        if following is not None:
+            self.handle.registerTimer(following)
+        return self._frame(job, done, late, stale)
+
+    def _frame(self, job: int, done: list, late: list, stale: list) -> pd.DataFrame:
+        rows = [(job, *x) for x in done] + [(job, number, "late", at, None, status, None, None, None) for at, number, status in late]
+        rows += [(job, None, "stale", at, status, status, stage, stage, applied) for at, (status, stage, applied) in stale]
         out = pd.DataFrame(rows, columns=_NAMES)
         for c in ("changed_at", "applied_at"):
             out[c] = pd.to_datetime(pd.to_numeric(out[c]), unit="ms")
@@ -92,7 +85,7 @@ class Transitions(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for status, stage, at in zip(initialState["status"].tolist(), initialState["stage"].tolist(), initialState["applied_ms"].tolist(), strict=True):
-            self.now.update((status, stage if isinstance(stage, str) else None, None if pd.isna(at) else int(at), None, None, None))
+            self.now.update((status, stage if isinstance(stage, str) else None, None if pd.isna(at) else int(at), *_NEW[3:]))
 
     def close(self) -> None:
         pass
@@ -102,8 +95,7 @@ def stream_transitions(events: DataFrame, delay: str = "1 day", stale_days: int
     """STR-5: a row for each change of a job (job_id, id, new_status, changed_at), in append mode; session: ``use_rocksdb``.
 
     ``kind``: change (applied in order of changed_at and id once the watermark has passed it), late
-    (a later one was applied before; nothing changes), stale (no change for ``stale_days`` after the last, told in a batch after that of the
-    change). Rows
+    (a later one was applied before; nothing changes), stale (no change for ``stale_days`` after the last, once the watermark has passed that time). Rows
     carry the old and new status and stage and the time of application: rows of changes with different values are the histories, the last one is the
     current state. ``jobs`` (id, status, stage, applied_at) are where the stream's jobs start; others start as NEW. Times count in milliseconds.
     """

@@ -123,7 +123,7 @@ def test_transitions(spark, tmp_path):
         (1, 1, "NEW", "APPLIED", None, "APPLIED"), (1, 2, "APPLIED", "SKIP", "APPLIED", None), (1, 3, "SKIP", "APPLIED", None, "APPLIED"), (1, 10, "APPLIED", "REVIEWED", "APPLIED", None),
         (2, 4, "NEW", "SKIP", None, None), (2, 6, "SKIP", "SKIP", None, None), (3, 5, "APPLIED", "SKIP", "FINAL", None), (3, 7, "SKIP", "APPLIED", None, "APPLIED"), (9, 8, "NEW", "SKIP", None, None),
     ]
-    assert sorted((x.job_id, x.new_status) for x in out if x.kind == "stale") == [(2, "SKIP"), (3, "APPLIED")]
+    assert sorted((x.job_id, x.new_status) for x in out if x.kind == "stale") == [(1, "REVIEWED"), (2, "SKIP"), (3, "APPLIED"), (9, "SKIP")]
     # the same as MUT-8, one change after another
     full = "id bigint, status string, stage string, status_updated_at timestamp, applied_at timestamp"
     now = spark.createDataFrame([(1, "NEW", None, None, None), (3, "APPLIED", "FINAL", None, None)], full)
