@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import experience, salary, text, urls
-from ..operators import dedupe, gates, merge, mining, projections, reports, scoring
+from ..operators import dedupe, gates, merge, mining, projections, ranking, reports, scoring
 from ..operators.lineage import shared_folder
 from ..sources import pages, payloads
 from ..sources.buckets import JobBuckets
@@ -230,6 +230,35 @@ def rescore(spark, d):
     return scoring.rescore(jobs, _profiles(spark), _rules(spark).where("kind != 'phrase'")).select("id", "score")
 
 
+_MASK = lambda c: " + ".join(f"CASE WHEN {' OR '.join(f'contains({c}, {a!r})' for a in aliases)} THEN {1 << i} ELSE 0 END" for i, aliases in enumerate(scoring.SKILLS.values()))
+_PICK = lambda key, add, by, most: "[" + ", ".join(f"CASE WHEN {key} * {i + add} % {by} < {most} THEN '{s}' END" for i, s in enumerate(scoring.SKILLS)) + "]"
+_LISTED = lambda key, add, by, most, mark: f"array_to_string(list_filter({_PICK(key, add, by, most)}, lambda x: x IS NOT NULL), '{mark}')"
+
+
+def _picked(key, add, by, most):
+    return F.array_compact(F.array(*[F.when(F.col(key) * (i + add) % by < most, F.lit(s)) for i, s in enumerate(scoring.SKILLS)]))
+
+
+@query("sco1_top_postings", f"""
+WITH {RAW_SQL}, a AS (SELECT *, {_LISTED('seq', 5, 23, 3, ', ')} AS skills FROM raw), t AS (SELECT seq, title, company, CASE WHEN seq % 4 < 2 THEN skills ELSE '' END AS quals, description || CASE WHEN seq % 4 < 2 THEN chr(10) || 'Requirements:' || chr(10) || '- ' || skills WHEN seq % 4 = 2 THEN ' ' || skills ELSE '' END AS description FROM a),
+e AS (SELECT seq, lower(coalesce(title, '') || chr(10) || CASE WHEN quals <> '' THEN quals ELSE description END) AS told, lower(quals) AS q, CASE seq % 7 WHEN 0 THEN 10 WHEN 1 THEN CASE seq % 12 WHEN 0 THEN 10 WHEN 1 THEN 5 WHEN 2 THEN 0 ELSE -15 END ELSE 0 END
+  - CASE WHEN lower(trim(company)) = 'acme 7' THEN 25 ELSE 0 END - CASE WHEN contains(lower(title), 'analyst') OR contains(lower(title), 'backend') OR contains(lower(title), 'data engineer') THEN 10 ELSE 0 END AS own FROM t),
+m AS (SELECT seq, coalesce(own, 0) AS own, {_MASK('told')} AS asked, {_MASK('q')} AS named FROM e), p AS (SELECT c_custkey, 'core' || chr(10) || lower({_LISTED('c_custkey', 3, 17, 4, ' ')}) AS has FROM customer), o AS (SELECT c_custkey, {_MASK('has')} AS has FROM p),
+s AS (SELECT c_custkey AS profile_id, seq AS id, greatest(0, least(100, 50 + least(5 * CAST(bit_count(asked & has) + bit_count(named & has) AS INTEGER), 30) - least(4 * CAST(bit_count(asked) - bit_count(asked & has) AS INTEGER), 20) + own)) AS score FROM m, o),
+r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS rank FROM s) SELECT profile_id, CAST(rank AS INTEGER) AS rank, id, CAST(score AS INTEGER) AS score FROM r WHERE rank <= 50""")
+def top_postings(spark, d):
+    """The 50 best of all postings for each customer's profile."""
+    skills, held = _picked("seq", 5, 23, 3), F.col("seq") % 4
+    listed = F.array_join(skills, ", ")
+    more = F.when(held < 2, F.concat(F.lit("\nRequirements:\n- "), listed)).when(held == 2, F.concat(F.lit(" "), listed)).otherwise("")
+    raw = b.spread(b.raw_postings(spark, d)).select(F.col("seq").alias("id"), "title", "company", F.concat("description", more).alias("description"))
+    core = F.array(F.struct(F.lit("Core").alias("group"), _picked("c_custkey", 3, 17, 4).alias("items")))
+    none = {"summary": "struct<variants:array<string>>", "experience": "array<struct<title:string,bullets:array<string>>>", "soft_skills": "array<string>"}
+    people = b.table(spark, d, "customer").select(F.col("c_custkey").alias("profile_id"), core.alias("skills"), *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
+    rules = spark.createDataFrame([("keyword", "analyst"), ("keyword", "backend"), ("phrase", "data engineer"), ("company", "acme 7")], "kind string, value string")
+    return ranking.top_postings(people, raw, rules)
+
+
 @query("min10_judge_requests", f"""
 WITH {RAW_SQL}, {JOBS_SQL}, {_LABELLED}, l AS (SELECT DISTINCT {FP('title', 'company')} AS fp FROM lab), n AS (SELECT seq, title, company, {_LINE('description')} AS s, row_number() OVER (ORDER BY seq) - 1 AS n FROM raw WHERE {FP('title', 'company')} NOT IN (SELECT fp FROM l WHERE fp <> '')),
 c AS (SELECT CAST(n // 40 AS INTEGER) AS chunk, n % 40 AS i, CAST(n % 40 AS VARCHAR) || ' | ' || coalesce(title, '') || ' | ' || company || ' | ' || {_SNIPPET('s', 400)} AS line FROM n WHERE n < 120)
