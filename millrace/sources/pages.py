@@ -138,16 +138,21 @@ _POSTING = (
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """SRC-7: url, title, company, location, date_posted, description, salary_raw of the first JobPosting in a page's JSON-LD.
+    """SRC-7: url, title, company, location, date_posted, description, salary_raw of the first JobPosting in each page's JSON-LD.
 
-    A blob may be an object, a list, or an object with @graph. Pages without a posting give no row.
+    A blob may be an object, a list, or an object with @graph. Pages without a posting give no row; pages that share a url
+    are told apart, each gives its own.
     """
     blobs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    one = pages.select("url", F.posexplode(blobs).alias("_at", "_text")).withColumn("_text", F.trim("_text"))
-    graph = F.get_json_object("_text", "$.@graph")
-    items = F.when(F.col("_text").startswith("["), F.from_json("_text", f"array<{_POSTING}>")).when(graph.isNotNull(), F.from_json(graph, f"array<{_POSTING}>")).otherwise(F.array(F.from_json("_text", _POSTING)))
-    found = one.select("url", "_at", F.posexplode(items).alias("_i", "p")).where("p.`@type` = 'JobPosting'")
-    p = found.groupBy("url").agg(F.min_by("p", F.struct("_at", "_i")).alias("p"))
+    many = f"array<{_POSTING}>"
+
+    def items(text):
+        graph = F.get_json_object(text, "$.@graph")
+        read = F.when(text.startswith("["), F.from_json(text, many)).when(graph.isNotNull(), F.from_json(graph, many)).otherwise(F.array(F.from_json(text, _POSTING)))
+        return F.coalesce(read, F.array().cast(many))
+
+    found = F.filter(F.flatten(F.transform(blobs, lambda x: items(F.trim(x)))), lambda p: p["@type"] == "JobPosting")
+    p = pages.select("url", F.explode(F.slice(found, 1, 1)).alias("p"))
     place = F.when(F.col("p.jobLocation").startswith("["), F.get_json_object("p.jobLocation", "$[0].address")).otherwise(F.get_json_object("p.jobLocation", "$.address"))
     value = F.col("p.baseSalary.value")
     low, high = F.coalesce(value["minValue"], value["value"]), F.coalesce(value["maxValue"], value["value"])

@@ -73,6 +73,13 @@ def test_jsonld_in_each_shape(spark):
     assert {(r["title"], r["company"], r["location"], str(r["date_posted"]), r["salary_raw"]) for r in rows} == {("Dev", "Acme", "Taguig", "2026-01-05", "PHP 30000 - PHP 40000 per month")}
 
 
+def test_jsonld_of_pages_with_one_url(spark):
+    named = lambda t: LD % json.dumps(POSTING | {"title": t})
+    rows = [("a", named("One") + named("Other")), ("a", LD % "{broken" + LD % "[{}, {" + named("Two")), ("a", LD % json.dumps({"@type": "WebPage"})), (None, named("Three"))]
+    got = pages.extract_jsonld(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted((r["url"] or "", r["title"]) for r in got) == [("", "Three"), ("a", "One"), ("a", "Two")]
+
+
 def test_cards(spark):
     card = '<div class="job card x"><a href="/job-9">Junior Dev</a><span>Makati City</span><span>Acme</span><span>₱20,000</span><span>Full-time</span><span>3 days ago</span></div>'
     rows = pages.extract_cards(spark.createDataFrame([("u", f"<ul>{card.replace('div', 'li')}{card.replace('div', 'li').replace('Acme', 'Beta')}</ul>"), ("v", None)], "url string, html string")).orderBy("company").collect()
