@@ -48,10 +48,13 @@ def stream_current(spark, d):
 
 
 def _landings(spark, rows, parts, make, name: str = "out"):
-    """What streams in append mode have left after each part of the rows was landed, in order: ``make`` gives a stream by name from the landed rows."""
+    """What streams in append mode have left after each part of the rows was landed, in order: ``make`` gives a stream by name from the landed rows.
+
+    A part has at most 64 files, which a stream reads as one batch (100 files).
+    """
     folder = shared_folder(spark)
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.where(part).coalesce(64).write.mode("append").parquet(f"{folder}/in")
         for key, stream in make(ingest.read_parquet_stream(spark, f"{folder}/in", rows)).items():
             sink = stream.writeStream.format("parquet").option("path", f"{folder}/{key}").option("checkpointLocation", f"{folder}/state-{key}")
             sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()

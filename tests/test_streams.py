@@ -106,6 +106,22 @@ def test_first_row_wins(spark, tmp_path, seed):
 EVENTS = "job_id bigint, id bigint, new_status string, changed_at string"
 
 
+def test_jobs_of_a_bucket_share_one_state(spark, tmp_path):
+    """Many jobs in few buckets: all changes once and in order, those without a time of application among them."""
+    day = F.expr("timestamp'2026-01-01' + make_dt_interval(CAST(id % 10 AS INT), 0, 0, CAST(id % 7 AS INT))")
+    rows = spark.range(6000).select((F.col("id") % 1500).alias("job_id"), "id", F.expr("element_at(array('APPLIED', 'SKIP', 'NEW'), CAST(id % 3 AS INT) + 1)").alias("new_status"), day.alias("changed_at"))
+    last = spark.createDataFrame([(10**6, 10**6, "SKIP", "2026-02-01 00:00:00")], EVENTS).withColumn("changed_at", F.to_timestamp("changed_at"))
+    out = landed(spark, tmp_path, [rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), last], lambda s: transitions.stream_transitions(s, "20 days", buckets=8), True).collect()
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.changed_at, r.id)):
+        want.setdefault(r.job_id, []).append((r.id, r.new_status))
+    got = {}
+    for r in sorted(out, key=lambda r: (r.changed_at, r.id)):
+        assert r.kind == "change" and (r.applied_at == r.changed_at) == (r.new_status == "APPLIED") and r.old_status == (got[r.job_id][-1][1] if r.job_id in got else "NEW")
+        got.setdefault(r.job_id, []).append((r.id, r.new_status))
+    assert got == want
+
+
 def test_transitions(spark, tmp_path):
     day = lambda d, h=0: f"2026-01-{d:02d} {h:02d}:00:00"
     rows = [
