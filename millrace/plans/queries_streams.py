@@ -109,7 +109,7 @@ def stream_transitions(spark, d):
 @query("src6_page_heads", f"""
 SELECT page_id, {_READ_ALL("trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1), '[ \t\n\r]+', ' ', 'g'))")} AS title FROM pages""")
 def page_heads(spark, d):
-    return pages.page_tags(b.table(spark, d, "pages")).select("page_id", F.col("title_tag").alias("title"))
+    return pages.page_tags(b.table(spark, d, "pages").select("page_id", "html"), ["title_tag"], ["page_id"]).select("page_id", F.col("title_tag").alias("title"))
 
 
 @query("src6_extract_pages")

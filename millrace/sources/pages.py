@@ -76,25 +76,38 @@ class _Tags(HTMLParser):
         return [line[name] for name in FOUND]
 
 
-def page_tags(pages: DataFrame) -> DataFrame:
-    """Adds the columns ``FOUND`` of each page's html; null html gives empty ones.
+#: Characters of html that are parsed before what was found in them is handed on.
+PARSED_CHARS = 1 << 22
 
-    The pages of a task are parsed one at a time; other columns pass through as Arrow arrays.
+
+def page_tags(pages: DataFrame, names: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds the columns ``names`` (of ``FOUND``, else all) of each page's html; null html gives empty ones. Of the given columns ``keep`` stay, else all.
+
+    Pages come to Python a few at a time, by their bytes, and are parsed one at a time; only what was found in the last
+    ``PARSED_CHARS`` characters is held. Other columns pass through as Arrow arrays.
     """
-    at = pages.columns.index("html")
+    names = FOUND if names is None else names
+    kept = pages.columns if keep is None else keep
+    spots, at = [FOUND.index(c) for c in names], pages.columns.index("html")
+    held = [pages.columns.index(c) for c in kept]
 
     def parse(batches):
         for batch in batches:
-            rows = []
-            for html in batch.column(at).to_pylist():
+            begin, chars, rows = 0, 0, []
+            for end, html in enumerate(batch.column(at), 1):
+                text = html.as_py() or ""
                 tags = _Tags()
-                tags.feed(html or "")
+                tags.feed(text)
                 tags.close()
-                rows.append(tags.row())
-            found = [pa.array(x, pa.string()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * len(FOUND)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *FOUND])
+                row = tags.row()
+                rows.append([row[i] for i in spots])
+                chars += len(text)
+                if chars >= PARSED_CHARS or end == batch.num_rows:
+                    found = [pa.array(x, pa.string()) for x in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(begin, end - begin) for i in held], *found], [*kept, *names])
+                    begin, chars, rows = end, 0, []
 
-    return pages.mapInArrow(parse, StructType([*pages.schema.fields, *[StructField(c, StringType()) for c in FOUND]]))
+    return pages.mapInArrow(parse, StructType([*[pages.schema[c] for c in kept], *[StructField(c, StringType()) for c in names]]))
 
 
 def _parted(title):
@@ -115,7 +128,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     description is the article, the main part, og:description, or the whole text, to 8,000 characters; pay
     that a site marks wins over what the description says.
     """
-    df = page_tags(pages.select("url", "html")).withColumn("_og", split_page_title(F.col("og_title"))).withColumn("_tag", split_page_title(F.col("title_tag"))).withColumn("_site", site_of(F.col("url")))
+    df = page_tags(pages.select("url", "html"), keep=["url"]).withColumn("_og", split_page_title(F.col("og_title"))).withColumn("_tag", split_page_title(F.col("title_tag"))).withColumn("_site", site_of(F.col("url")))
     first = lambda *c: F.coalesce(*[F.nullif(clean(x), F.lit("")) for x in c], F.lit(""))
     shaped, linkedin = first(F.col("_og.title"), F.col("_tag.title")), F.col("_site") == "linkedin"
     named = F.when(linkedin, "").otherwise(first(F.col("_og.company"), F.col("_tag.company"), F.col("og_site")))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans import registry
 from millrace.plans.bindings import JOBS_SQL
@@ -105,3 +106,11 @@ def test_every_posting_has_its_salary(spark):
             assert got == told[r["seq"] % 8], r
         elif not MONEY.search(texts[r["seq"]]):
             assert got == ("", None, None, "unknown", None) and r["salary_display"] == "" and r["salary_raw"] == ""
+
+
+def test_titles_of_many_large_pages(spark):
+    """More html than a worker holds at once: found columns are cut where the pages are, and only those asked for come back."""
+    rows = spark.range(60, numPartitions=2).select((F.col("id") + 0).alias("page_id"), F.concat(F.lit("<title>t"), "id", F.lit("</title><p>"), F.repeat(F.lit("x "), 100_000)).alias("html"), F.lit("u").alias("url"))
+    out = pages.page_tags(rows, ["title_tag"], ["page_id"])
+    assert out.columns == ["page_id", "title_tag"] and sorted(map(tuple, out.collect())) == [(i, f"t{i}") for i in range(60)]
+    assert sorted((r["page_id"], r["h1"], r["url"]) for r in pages.page_tags(rows).collect()) == [(i, "", "u") for i in range(60)]
