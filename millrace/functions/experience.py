@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import flat, let
 
-# Phrases that ask for years, waive them, or speak of seniority.
+# Phrases that ask for years, waive them, or speak of seniority. The first letters are looked at before the word boundary, which is what costs.
 _YEAR = r"(?:years?['’]?|yrs?|y\.?o\.?e\.?)(?![A-Za-z])"
 _WORDS = r"[\p{L}\p{N}_-]+"
 _FILL = rf"(?:\s+{_WORDS}){{0,4}}\s+"
 _WORK = "(?:experience|work|employment|development|engineering|programming|coding|exposure|testing|design|support|administration|operations|it|software|tech|industry|field|role)"
-NONE = r"\b(?:no\s+experience|fresh\s+graduates?|entry[- ]levels?|0\s*years?\s*experience)\b"
+NONE = r"(?=[nfe0])\b(?:no\s+experience|fresh\s+graduates?|entry[- ]levels?|0\s*years?\s*experience)\b"
 YEARS = [
     (rf"(\d{{1,2}})\b(?:\s*[-–to]+\s*(\d{{1,2}}))?\s*\+?\s*{_YEAR}{_FILL}experience\b", 2),
     (rf"experience\s*[:\-]?\s*(?:of|with|for|in)?\s*(\d{{1,2}})\b\s*\+?\s*{_YEAR}", 1),
@@ -21,12 +21,12 @@ YEARS = [
     (r"(\d{1,2})\s*\+?\s*y\.?o\.?e\.?(?![A-Za-z])|(\d{1,2})\s*\+\s*yrs?(?![A-Za-z])", 2),
 ]
 SENIOR = [
-    r"\b(?:senior|sr\.?|lead|principal|staff|head|architect)\s+(?:developer|engineer|programmer|analyst|qa|tester|devops|designer|consultant|specialist|administrator|support)\b"
-    r"|\b(?:team|tech)\s*lead\b|\bengineering\s+manager\b",
-    r"\b(?:extensive\s+experience|proven\s+(?:experience|track\s+record)|seasoned\s+(?:professional|developer|engineer)|lead\s+a\s+team|manage\s+a\s+team"
+    r"(?=[slpha])\b(?:senior|sr\.?|lead|principal|staff|head|architect)\s+(?:developer|engineer|programmer|analyst|qa|tester|devops|designer|consultant|specialist|administrator|support)\b"
+    r"|(?=t)\b(?:team|tech)\s*lead\b|(?=e)\bengineering\s+manager\b",
+    r"(?=[epslm])\b(?:extensive\s+experience|proven\s+(?:experience|track\s+record)|seasoned\s+(?:professional|developer|engineer)|lead\s+a\s+team|manage\s+a\s+team"
     r"|mentor\s+(?:junior|engineers?|a\s+team|your\s+team)|leadership\s+experience)\b",
-    r"\b([3-9]|1\d)\s*\+?\s*years?\s+(?:preferred|desired|favour(?:ed|able)|favor(?:ed|able)|a\s+plus)\b",
-    r"\b([3-9]|1\d)\s*\+\s*years?(?![A-Za-z])",
+    r"(?=[1-9])\b([3-9]|1\d)\s*\+?\s*years?\s+(?:preferred|desired|favour(?:ed|able)|favor(?:ed|able)|a\s+plus)\b",
+    r"(?=[1-9])\b([3-9]|1\d)\s*\+\s*years?(?![A-Za-z])",
 ]
 
 

@@ -119,8 +119,8 @@ def est_tokens(c: Column) -> Column:
 
 def flat(c: Column) -> Column:
     """Lower case, any white space as one blank; null becomes empty."""
-    # single blanks are most of them, and stay as they are
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[{BLANK}&&[^ ]][{BLANK}]*| [{BLANK}]+", " ")
+    # single blanks are most of them, and stay as they are; a look at whether a character is a printable one of ASCII spares most of them the class
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"(?=[^!-~])(?:[{BLANK}&&[^ ]][{BLANK}]*| (?=[^!-~])[{BLANK}]+)", " ")
 
 
 def _character(code: Column) -> Column:

@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.experience import demands
-from ..functions.text import let, quals_section
+from ..functions.text import quals_section
 from .lineage import cut
-from .scoring import BASE, MATCH_CAP, MISSING_CAP, PER_MATCH, PER_MISSING, SENIOR_COST, SKILLS, flatten_profiles, mentions, penalty
+from .scoring import BASE, MATCH_CAP, MISSING_CAP, PER_MATCH, PER_MISSING, SENIOR_COST, SKILLS, flatten_profiles, penalty
 from .spread import spread_join
 
 #: Skills in a word of a mask; a signed long has 63 bits.
@@ -24,14 +25,44 @@ PARTS = 16
 _FOUND = "own string, found array<struct<score: int, id: bigint>>"
 
 
-def masks(c: Column, lexicon: dict[str, list[str]]) -> Column:
-    """The skills mentioned in a text as bits, in words of 62; null is a text without any."""
-    entries = list(lexicon.values())
+_automata: dict[tuple, tuple] = {}
+
+
+def _aliases(entries: tuple[tuple[str, ...], ...]) -> tuple:
+    """(automaton over all aliases, bits of those that every text holds), built once a worker; its values are the skills as bits of one number."""
+    if entries not in _automata:
+        import ahocorasick
+
+        automaton, bits = ahocorasick.Automaton(), {}
+        for i, aliases in enumerate(entries):
+            for alias in aliases:
+                bits[alias] = bits.get(alias, 0) | 1 << i
+        always = bits.pop("", 0)
+        for alias, value in bits.items():
+            automaton.add_word(alias, value)
+        automaton.make_automaton()
+        _automata[entries] = automaton, always
+    return _automata[entries]
 
-    def word(low: Column, part: list[list[str]]) -> Column:
-        return sum((F.when(mentions(low, aliases), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, aliases in enumerate(part)), F.lit(0).cast("long"))
 
-    return let(F.lower(F.coalesce(c, F.lit(""))), lambda low: F.array(*[word(low, entries[i : i + BITS]) for i in range(0, len(entries), BITS)]))
+def masks(c: Column, lexicon: dict[str, list[str]]) -> Column:
+    """The skills mentioned in a text as bits, in words of 62; null is a text without any. A text is read once, whatever the number of aliases."""
+    entries = tuple(tuple(aliases) for aliases in lexicon.values())
+    words, all_bits = range(0, len(entries), BITS), (1 << BITS) - 1
+
+    @F.arrow_udf("array<bigint>")
+    def read(text: pa.Array) -> pa.Array:
+        automaton, always = _aliases(entries)
+        out = []
+        for t in text:
+            found = always
+            if len(automaton):
+                for _, bits in automaton.iter(t.as_py()):
+                    found |= bits
+            out.append([found >> i & all_bits for i in words])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return read(F.lower(F.coalesce(c, F.lit(""))))
 
 
 def _classes(postings: DataFrame, patterns: DataFrame, n: int, lexicon: dict[str, list[str]]) -> DataFrame:

@@ -75,3 +75,13 @@ def test_shards_that_can_not_help_are_not_visited(spark):
         index.best(ranking._own(text), 5, None, 64)
         read.append(len(seen) * 64)
     assert sum(read) / len(read) < len(classes) / 3
+
+
+def test_texts_are_read_once_for_all_aliases(spark):
+    lexicon = {f"s{i}": [f"word{i} ", "ord6" if i == 3 else f"x{i}y"] for i in range(70)} | {"all": [""], "same": ["x1y"], "accent": ["café"]}
+    df = spark.createDataFrame([("Word61 X1Y",), ("CAFÉ x69yx2y",), ("",), (None,)], "t string")
+    found = df.select(ranking.masks(F.col("t"), lexicon).alias("m"))
+    assert "contains(" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    for row, text in zip(found.collect(), ["word61 x1y", "café x69yx2y", "", ""], strict=True):
+        want = sum(1 << i for i, aliases in enumerate(lexicon.values()) if any(a in text for a in aliases))
+        assert row["m"] == [want & ((1 << 62) - 1), want >> 62]
