@@ -68,7 +68,11 @@ def norm_company(c: Column) -> Column:
             out = F.regexp_replace(out, f"^(?:{prefix})+", "")
         return F.when(x.rlike(f"^(?:{'|'.join(COMPANY_PREFIXES)})"), out).otherwise(x)
 
-    return F.coalesce(F.trim(F.regexp_replace(let(let(s, without_phrases), without_prefixes), f"(?:(?:^| )(?:{'|'.join(COMPANY_SUFFIXES)}))+$", "")), F.lit(""))
+    def without_suffixes(x: Column) -> Column:
+        out = F.trim(F.regexp_replace(x, f"(?:(?:^| )(?:{'|'.join(COMPANY_SUFFIXES)}))+$", ""))
+        return F.when(F.substring_index(x, " ", -1).isin(COMPANY_SUFFIXES), out).otherwise(F.trim(x))  # none without a last word that is one
+
+    return F.coalesce(let(let(let(s, without_phrases), without_prefixes), without_suffixes), F.lit(""))
 
 
 def fingerprint(title: Column, company: Column) -> Column:

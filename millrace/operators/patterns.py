@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +49,37 @@ def _matchers(shard) -> tuple[dict[str, set], Phrases]:
     return _built[shard.value["number"]]
 
 
+def _lists(n: int, rows: np.ndarray, values: pa.Array) -> pa.Array:
+    """n lists; ``values`` are in the order of the rows that hold them."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _among(lists: pa.Array, known: set) -> pa.Array:
+    """Of each list the known values, each once, sorted. A value is looked up once, however many rows of the batch hold it."""
+    parents, values = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists).dictionary_encode()
+    names = values.dictionary.to_pylist()
+    met = sorted(v for v in names if v in known)
+    place = {v: i for i, v in enumerate(met)}
+    places = np.array([place.get(v, -1) for v in names] + [-1], np.int64)[values.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+    keep = places >= 0
+    pairs = np.unique(parents[keep] * max(1, len(met)) + places[keep])
+    return _lists(len(lists), pairs // max(1, len(met)), pa.array(met, pa.string()).take(pa.array(pairs % max(1, len(met)))))
+
+
+def _inside(texts: pa.Array, phrases: Phrases) -> pa.Array:
+    """The phrases that each text holds; equal texts of a batch are read once."""
+    coded = texts.dictionary_encode()
+    found = pa.array([phrases.inside(t) for t in coded.dictionary.to_pylist()] + [[]], pa.list_(pa.string()))
+    return found.take(coded.indices.fill_null(len(coded.dictionary)))
+
+
 def _matcher(shard):
     @F.arrow_udf(_HITS)
     def match(keyword: pa.Array, location: pa.Array, company: pa.Array, skill: pa.Array, text: pa.Array) -> pa.Array:
         sets, phrases = _matchers(shard)
-        found = [pa.array([sorted(sets[k].intersection(x)) if x else [] for x in a.to_pylist()], pa.list_(pa.string())) for k, a in zip(KINDS, (keyword, location, company, skill), strict=False)]
-        found.append(pa.array([phrases.inside(t) for t in text.to_pylist()], pa.list_(pa.string())))
-        return pa.StructArray.from_arrays(found, KINDS)
+        found = [_among(a, sets[k]) for k, a in zip(KINDS, (keyword, location, company, skill), strict=False)]
+        return pa.StructArray.from_arrays([*found, _inside(text, phrases)], KINDS)
 
     return match
 

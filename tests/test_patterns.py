@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import mining, patterns
@@ -33,3 +34,25 @@ def test_a_million_phrases(spark):
     for i in range(0, 20_000, 37):
         w, x = f"w{i % 6000}", f"x{i * 7919 % 200_003}"
         assert found[i] == sorted(v for v in (f"{w} {x[:n]}" for n in range(2, len(x) + 1)) if v in values)
+
+
+def test_values_of_a_batch_are_looked_up_once():
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + [None]
+    lists = [None if i % 9 == 0 else r.choices(words, k=r.randrange(6)) for i in range(500)]
+    texts = [None if i % 7 == 0 else " ".join(w or "" for w in x or []) for i, x in enumerate(lists)]
+    for known in (set(), {"w1"}, {"w39", "w7", "w11", "none"}):
+        array = pa.array([["w7"], *lists], pa.list_(pa.string())).slice(1)
+        assert patterns._among(array, known).to_pylist() == [sorted(known.intersection(x or [])) for x in lists]
+        found = patterns._inside(pa.array(["w7", *texts]).slice(1), patterns.Phrases(sorted(known)))
+        assert found.to_pylist() == [sorted(k for k in known if k in (t or "")) for t in texts]
+    assert patterns._among(pa.array([], pa.list_(pa.string())), {"a"}).to_pylist() == []
+
+
+def test_decided_rows_need_no_other_rule(spark):
+    df = spark.createDataFrame([(1, "Cold Caller", "Acme", None, "docker"), (2, "Cold Caller", "Beta", None, "docker")], "seq bigint, title string, company string, location string, description string")
+    lab = spark.createDataFrame([(1, "SKIP", "Cold Caller", "Acme", "2026-01-01")], "id long, status string, title string, company string, status_updated_at string")
+    rules = spark.createDataFrame([("keyword", "cold"), ("skill", "Docker")], "kind string, value string")
+    out = mining.apply_rules(df, rules, lab)
+    assert out.columns == [*df.columns, "filter_reason"]
+    assert {r["seq"]: r["filter_reason"] for r in out.collect()} == {1: "repeat-seen:skip:Acme|Cold Caller", 2: "title-keyword:cold"}
